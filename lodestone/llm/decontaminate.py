@@ -90,10 +90,12 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
 
 
 class FMIndex:
-    """Backward search over text (symbols below ``size``) by the ranks of a wavelet matrix."""
+    """Backward search over text (symbols below ``size``) by the ranks of a wavelet matrix.
+
+    Symbols are kept one higher: 0 is the end alone, so that it is told from separators."""
 
     def __init__(self, text: np.ndarray, size: int, sample: int = SAMPLE) -> None:
-        text = np.append(text, 0)
+        text, size = np.append(text + 1, 0), size + 1
         sa = suffix_array(text)
         self.n = len(text)
         self.bwt = text[sa - 1]
@@ -126,7 +128,7 @@ class FMIndex:
         lo, hi = np.zeros(len(phrases), np.int64), np.full(len(phrases), self.n, np.int64)
         live = np.arange(len(phrases))
         for k in reversed(range(phrases.shape[1])):
-            c = phrases[live, k]
+            c = phrases[live, k] + 1
             lo[live] = self.first[c] + self.rank(c, lo[live])
             hi[live] = self.first[c] + self.rank(c, hi[live])
             live = live[lo[live] < hi[live]]
