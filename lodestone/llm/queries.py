@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import read
 from .decontaminate import contamination, digest
 from .language_id import language_id, learn
+from .near_dedup import near_duplicates
 from .token_counts import token_counts
 
 
@@ -22,6 +23,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(docs, learn(docs))
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read(spark, sf_dir, "documents"), shingle=4)
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")))
 
@@ -29,6 +34,7 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_counts": op3_token_counts,
     "op6_language_id": op6_language_id,
+    "op7_near_dedup": op7_near_dedup,
     "op9_decontaminate": op9_decontaminate,
 }
 
