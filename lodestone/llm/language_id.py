@@ -169,3 +169,17 @@ def language_id(df: DataFrame, model: LanguageFilter, id_col: str = "doc_id", te
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lang, pa.string()), pa.array(score)], names=["doc_id", "held_out", "lang_pred", "score"])
 
     return map_arrow(rows, predict, f"doc_id {kind}, held_out boolean, lang_pred string, score double").withColumnRenamed("doc_id", id_col)
+
+
+def keep_known(df: DataFrame, model: LanguageFilter, text_col: str = "text", least: float = 0.0) -> DataFrame:
+    """The rows whose language can be told with a score above ``least``, all columns kept."""
+    at = [c.lower() for c in df.columns].index(text_col.lower())
+    names = [f"c{i}" for i in range(len(df.columns))]
+
+    def pick(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        lang, score = decide(model, batch.column(at))
+        keep = np.array([x != UNKNOWN for x in lang], dtype=bool) & (score > least)
+        yield batch.filter(pa.array(keep))
+
+    plain = df.toDF(*names)
+    return plain.mapInArrow(lambda batches: (out for b in batches if b.num_rows for out in pick(b)), plain.schema).toDF(*df.columns)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 import public_tokenizers
@@ -11,13 +12,22 @@ from .common import read
 from .decontaminate import contamination, digest
 from .language_id import language_id, learn
 from .near_dedup import near_duplicates
+from .pieces import encode
+from .pseudonyms import personal_data
 from .token_counts import token_counts
 
+#: Key of the pseudonyms where the environment names no other.
+KEY = os.environ.get("LODESTONE_PSEUDONYM_KEY", "lodestone public demonstration key")
+
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(read(spark, sf_dir, "documents"), KEY)
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return language_id(docs, learn(docs))
@@ -27,14 +37,20 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"), shingle=4)
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_counts": op3_token_counts,
+    "op4_pii": op4_pii,
     "op6_language_id": op6_language_id,
     "op7_near_dedup": op7_near_dedup,
+    "op8_sentencepiece": op8_sentencepiece,
     "op9_decontaminate": op9_decontaminate,
 }
 
