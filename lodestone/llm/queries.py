@@ -7,19 +7,34 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import read
 from .decontaminate import contamination, digest
 from .language_id import language_id, learn
 from .near_dedup import near_duplicates
 from .pieces import encode
+from .pivot_search import exact_top_k
 from .pseudonyms import personal_data
 from .token_counts import token_counts
+from .toxicity import learn as learn_toxicity
+from .toxicity import toxicity
 
 #: Key of the pseudonyms where the environment names no other.
 KEY = os.environ.get("LODESTONE_PSEUDONYM_KEY", "lodestone public demonstration key")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    found = toxicity(docs, learn_toxicity(docs, read(spark, sf_dir, "labels")))
+    return found.select("doc_id", "held_out", "score", "predicted", F.size("offending").alias("n_offending"), F.to_json("offending").alias("offending"))
+
+
+def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings")
+    return exact_top_k(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -46,6 +61,8 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
+    "op2_exact_topk": op2_exact_topk,
     "op3_token_counts": op3_token_counts,
     "op4_pii": op4_pii,
     "op6_language_id": op6_language_id,
@@ -54,4 +71,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontaminate": op9_decontaminate,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_WHOLE = "list_transform(embedding, lambda x: floor(64 * x::double)::bigint)"
+
+ORACLE_SQL: dict[str, str] = {
+    "op2_exact_topk": f"""with v as (select vec_id, {_WHOLE} as e from embeddings where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select q.vec_id as query_id, v.vec_id, list_inner_product(list_transform(q.e, lambda x: x::double), list_transform(v.e, lambda x: x::double))::bigint as score from v, (select * from v where vec_id % 20 = 0) q where v.vec_id <> q.vec_id)
+select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int as rank, vec_id, score from s qualify rank <= 20""",
+}
