@@ -16,6 +16,7 @@ from .near_dedup import near_duplicates
 from .pieces import encode
 from .pivot_search import exact_top_k
 from .pseudonyms import personal_data
+from .substrings import repeated_strings
 from .token_counts import token_counts
 from .toxicity import learn as learn_toxicity
 from .toxicity import toxicity
@@ -43,6 +44,10 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data(read(spark, sf_dir, "documents"), KEY)
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_strings(read(spark, sf_dir, "documents")).drop("spans")
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return language_id(docs, learn(docs))
@@ -65,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_topk": op2_exact_topk,
     "op3_token_counts": op3_token_counts,
     "op4_pii": op4_pii,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_language_id": op6_language_id,
     "op7_near_dedup": op7_near_dedup,
     "op8_sentencepiece": op8_sentencepiece,
