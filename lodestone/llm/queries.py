@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read
+from .compact_windows import near_passages
 from .decontaminate import contamination, digest
 from .language_id import language_id, learn
 from .near_dedup import near_duplicates
@@ -65,6 +66,10 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")))
 
 
+def op10_near_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_passages(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_exact_topk": op2_exact_topk,
@@ -75,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_near_dedup": op7_near_dedup,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_decontaminate": op9_decontaminate,
+    "op10_near_passages": op10_near_passages,
 }
 
 _WHOLE = "list_transform(embedding, lambda x: floor(64 * x::double)::bigint)"
