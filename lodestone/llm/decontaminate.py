@@ -13,7 +13,8 @@ A phrase (window) is ``window`` consecutive words of an item; an item of fewer w
 but not none, is one phrase.  Phrases are grouped by length, each group with its own
 index.  Documents never shuffle and never meet: only the benchmark travels.  It is
 read by the driver in blocks of ``block_words`` words, so that what a task gets is
-bounded; each further block is one more pass, whose spans are merged by document place.
+bounded; each further block is one more pass over the rows of a task, which merges its spans
+with those before.
 
 Null or empty text has no words; null ids and repeated rows pass through; an empty
 benchmark hits nothing.  Words and phrases compare by 64-bit hashes of words.
@@ -23,7 +24,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import Blocks, only
+from .common import only
 
 WINDOW = 10
 SAMPLE = 8
@@ -229,16 +229,16 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_words: int
 
 
 def _scan_rows(groups: list[Phrases], names: np.ndarray):
+    """Adds a block's spans and items to those that the rows bring along."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = Blocks()
         for batch in batches:
             for s in K.slabs(batch.column(1), 0):
                 n_words, spans, items = scan(groups, s)
-                ids = batch.column(0).slice(s.lo, s.hi - s.lo)
-                yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array([place() for _ in n_words], pa.int64()), pa.array(n_words, pa.int64()), pa.array([x.tolist() for x in spans], pa.list_(pa.int64())), pa.array([names[x].tolist() for x in items], pa.list_(pa.string()))],
-                    names=["id", "place", "n_words", "spans", "items"],
-                )
+                part = batch.slice(s.lo, s.hi - s.lo)
+                spans = [merge_spans([np.array(x, dtype=np.int64), y]).tolist() if x else y.tolist() for x, y in zip(part.column(3).to_pylist(), spans, strict=True)]
+                items = [sorted({*x, *names[y].tolist()}) if x else names[y].tolist() for x, y in zip(part.column(4).to_pylist(), items, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))], names=["id", "text", "n_words", "spans", "items"])
 
     return run
 
@@ -261,20 +261,10 @@ def contamination(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
     alternating) and the ids, as text, of ``items`` with a phrase in it."""
     rows = only(df, id=id_col, text=text_col)
     kind = rows.schema["id"].dataType.simpleString()
-    schema = f"id {kind}, place long, n_words long, spans array<bigint>, items array<string>"
-    passes = []
-    for ids, texts in _blocks(benchmark, item_col, text_col, block_words):
-        passes.append(rows.mapInArrow(_scan_rows(phrases_of(ids, texts, window), np.array(ids, dtype=object)), schema))
-    if len(passes) < 2:
-        out = passes[0] if passes else rows.mapInArrow(_scan_rows([], np.array([], dtype=object)), schema)
-    else:
-
-        def merge(table: pa.Table) -> pa.Table:
-            spans = merge_spans([np.array(x, dtype=np.int64) for x in table.column("spans").to_pylist()])
-            items = sorted({i for x in table.column("items").to_pylist() for i in x})
-            return table.slice(0, 1).set_column(3, "spans", pa.array([spans.tolist()], pa.list_(pa.int64()))).set_column(4, "items", pa.array([items], pa.list_(pa.string())))
-
-        out = reduce(DataFrame.unionByName, passes).groupBy("place").applyInArrow(merge, schema)
+    schema = f"id {kind}, text string, n_words long, spans array<bigint>, items array<string>"
+    out = rows.select("id", "text", F.lit(0).cast("long").alias("n_words"), F.array().cast("array<bigint>").alias("spans"), F.array().cast("array<string>").alias("items"))
+    for ids, texts in [*_blocks(benchmark, item_col, text_col, block_words)] or [([], [])]:
+        out = out.mapInArrow(_scan_rows(phrases_of(ids, texts, window), np.array(ids, dtype=object)), schema)
     return out.select(F.col("id").alias(id_col), "n_words", "spans", "items")
 
 
