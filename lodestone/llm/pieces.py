@@ -1,21 +1,22 @@
 """Operator 8: SentencePiece encoding by a relational lattice, and decoding.
 
-1. Each task cuts its texts, a slab at a time, into words (a run of the blank mark and
-   what follows up to the next; no piece of such a model reaches past one) and writes
-   one packed row with every document's sequence of local word numbers, and one row for
-   each distinct word.
-2. The distinct words of the corpus are exploded into substrings up to the longest
-   piece; an equi-join to the piece table leaves the lattice's edges; they are grouped
-   by word.
-3. A fold (Spark's higher-order ``aggregate``) over the grouped edges takes the path
-   that the model means.  A model of merges (BPE) defines it by merge order, not by the
-   best sum of scores: each step joins the two neighbouring segments whose edge has the
-   highest score, the leftmost of equals.  (A Viterbi fold over the sum of scores, as
-   for unigram models, gives other ids than the library here, so only such models are
-   taken.)  Characters without a piece become their bytes' pieces.
-4. The words' ids meet the slabs that asked for them, and documents are put together.
-
-Words of more than ``longest`` characters are rare; a fold costs the square of the
+All steps run on the arrays of one slab (a few megabytes of documents), so that nothing
+is shuffled and a lost executor costs the slabs it had.
+
+1. Texts are cut into words (a run of the blank mark and what follows up to the next; no
+   piece of such a model reaches past one); each distinct word of a slab is encoded once.
+2. Words of one length form a block.  Their substrings up to the longest piece are equi-joined
+   to the piece table, one character at a time: (state, character) is the key, and
+   states without a partner drop out.  What remains are the lattice's edges, by word.
+3. A fold over each word's edges, all words of the block at once, takes the path that the
+   model means.  A model of merges (BPE) defines it by merge order, not by the best sum of
+   scores: each step joins the two neighbouring segments whose edge has the highest score,
+   the leftmost of equals.  (A Viterbi fold over the sum of scores, as for unigram models,
+   gives other ids than the library here, so only such models are taken.)  Characters
+   without a piece become their bytes' pieces.
+4. The words' ids are put in the order of each document.
+
+Words of more than ``longest`` characters are rare; the edges of a word grow with its
 length, so the library encodes those, each alone, to the same ids.
 
 Null and empty text: no ids.  Rows are told apart by their place, so null and repeated
@@ -24,22 +25,23 @@ ids are no matter.  An empty table gives an empty result.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import sentencepiece
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import Blocks, map_arrow, only, pack, settle, unpack
+from .common import map_arrow, only
 
 MARK = "▁"
 LONGEST = 48
-WORD = re.compile(f"{MARK}+[^{MARK}]*")
+#: Cells of one block's edges at most.
+CELLS = 4_000_000
+NEVER = np.iinfo(np.int32).max
 
 
 @cache
@@ -62,106 +64,185 @@ def _model(path: str) -> tuple[bytes, sentencepiece.SentencePieceProcessor]:
     return proto, sp
 
 
-def piece_table(spark: SparkSession, path: str) -> DataFrame:
-    """(piece, id, score) of the pieces that text can become; as large as the model."""
-    _, sp = _model(path)
-    rows = [(sp.id_to_piece(i), i, float(sp.get_score(i))) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_byte(i) or sp.is_unknown(i) or sp.is_unused(i))]
-    return spark.createDataFrame(rows, "piece string, piece_id int, score double")
-
-
-def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    block = Blocks()
-    for batch in batches:
-        for s in K.slabs(batch.column(1), 0x0A):
-            number, local, sequence, sizes = block(), {}, [], []
-            data = s.data.tobytes()
-            for a, b in zip(s.start.tolist(), s.end.tolist(), strict=True):
-                own = WORD.findall(MARK + data[a:b].decode().replace(" ", MARK)) if b > a else []
-                sequence.append(np.fromiter((local.setdefault(w, len(local)) for w in own), dtype=np.int64, count=len(own)))
-                sizes.append(len(own))
-            blob = pack(batch.column(0).slice(s.lo, s.hi - s.lo).to_pylist(), np.array(sizes), np.concatenate(sequence))
-            n = len(local) + 1
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([number] * n, pa.int64()), pa.array(range(-1, n - 1), pa.int32()), pa.array([None, *local], pa.string()), pa.array([blob] + [None] * (n - 1), pa.binary())],
-                names=["block", "place", "word", "docs"],
-            )
-
-
-def _long_words(proto: bytes):
-    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        # the model puts its own blank before a text; the word brings one along
-        ids = _load(proto).encode([w[1:] for w in batch.column(0).to_pylist()], num_threads=1)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["word", "ids"])
-
-    return run
-
-
-def lattice(words: DataFrame, pieces: DataFrame, longest_piece: int) -> DataFrame:
-    """(word, edges): edges are structs (cost, start, stop, id); single characters have
-    one each, with a null id where no piece has them."""
-    spans = f"""flatten(transform(sequence(1, length(word)), i ->
-        transform(sequence(1, least({longest_piece}, length(word) - i + 1)), l -> struct(i as start, i + l as stop, substring(word, i, l) as piece))))"""
-    cut = words.select("word", F.explode(F.expr(spans)).alias("s")).select("word", "s.*")
-    # the piece table is the model's, whatever the corpus
-    found = cut.join(F.broadcast(pieces), "piece", "left").where("piece_id is not null or stop = start + 1")
-    edge = F.struct((-F.col("score")).alias("cost"), "start", "stop", F.col("piece_id").alias("id"))
-    return found.groupBy("word").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
-
-
-def fold(edges: DataFrame, first_byte: int, unknown: int) -> DataFrame:
-    """(word, ids) by joining neighbours in order of cost, then place."""
-    byte = f"transform(sequence(0, octet_length(piece) - 1), k -> {first_byte} + cast(conv(substring(hex(piece), 2 * k + 1, 2), 16, 10) as int))" if first_byte >= 0 else f"array({unknown})"
-    joins = """aggregate(sequence(1, length(word)), sequence(1, length(word) + 1), (cuts, turn) ->
-        coalesce(
-            get(transform(
-                slice(filter(joins, e -> array_contains(cuts, e.start) and array_contains(cuts, e.stop) and size(filter(cuts, c -> c > e.start and c < e.stop)) = 1), 1, 1),
-                e -> filter(cuts, c -> c <= e.start or c >= e.stop)), 0),
-            cuts))"""
-    cuts = edges.withColumn("joins", F.expr("filter(edges, e -> e.stop > e.start + 1)")).select("word", "edges", F.expr(joins).alias("cuts"))
-    ids = f"""flatten(transform(sequence(1, size(cuts) - 1), n ->
-        transform(slice(filter(edges, e -> e.start = cuts[n - 1] and e.stop = cuts[n]), 1, 1), e ->
-            if(e.id is not null, array(e.id), transform(array(cast(substring(word, e.start, 1) as binary)), piece -> {byte})[0]))[0]))"""
-    return cuts.select("word", F.expr(ids).alias("ids"))
-
-
-def _assemble(table: pa.Table) -> pa.Table:
-    place = table.column("place").combine_chunks().to_numpy()
-    order = np.argsort(place)
-    table = table.take(pa.array(order))
-    docs, sizes, sequence = unpack(table.column("docs")[0].as_py())
-    lists = table.column("ids").slice(1).combine_chunks()
-    flat = lists.flatten().to_numpy() if len(lists) else np.zeros(0, np.int32)
-    length = np.diff(lists.offsets.to_numpy()) if len(lists) else np.zeros(0, np.int64)
-    first = np.cumsum(length) - length
-    sequence = sequence.astype(np.int64)
-    times = length[sequence]
-    stop = np.cumsum(times)
-    total = int(stop[-1]) if len(stop) else 0
-    out = flat[np.arange(total) + np.repeat(first[sequence] - (stop - times), times)] if total else flat[:0]
-    edge = np.concatenate(([0], np.cumsum(sizes.astype(np.int64))))
-    offsets = np.concatenate(([0], stop))[edge]
-    ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(out, pa.int32()))
-    return pa.table({"id": pa.array(docs, pa.string()), "ids": ids})
+class PieceTable:
+    """The pieces that text can become, as sorted (state, character) keys; as large as the
+    model, whatever the corpus."""
+
+    def __init__(self, sp: sentencepiece.SentencePieceProcessor) -> None:
+        states: dict[tuple[int, int], int] = {}
+        ends = []
+        for i in range(sp.get_piece_size()):
+            if sp.is_control(i) or sp.is_byte(i) or sp.is_unknown(i) or sp.is_unused(i):
+                continue
+            state = 0
+            for c in sp.id_to_piece(i):
+                state = states.setdefault((state, ord(c)), len(states) + 1)
+            ends.append((state, i, -int(sp.get_score(i))))
+        keys = np.array([(a << 21) | c for a, c in states], dtype=np.int64)
+        order = np.argsort(keys)
+        self.keys, self.next = keys[order], np.array(list(states.values()), dtype=np.int32)[order]
+        self.ids = np.full(len(states) + 1, -1, dtype=np.int32)
+        self.costs = np.full(len(states) + 1, NEVER, dtype=np.int32)
+        for state, i, cost in ends:
+            self.ids[state], self.costs[state] = i, cost
+        self.longest = max(len(sp.id_to_piece(i)) for _, i, _ in ends)
+        self.first_byte = next((i for i in range(sp.get_piece_size()) if sp.is_byte(i)), -1)
+        self.unknown = sp.unk_id()
+
+    def step(self, state: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """The state after each character, -1 where no piece goes on so."""
+        key = (state.astype(np.int64) << 21) | code
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.next[at], -1)
+
+
+@cache
+def _table(proto: bytes) -> PieceTable:
+    return PieceTable(_load(proto))
+
+
+def lattice(words: np.ndarray, table: PieceTable) -> tuple[np.ndarray, np.ndarray]:
+    """words (one a row, all of one length) to costs and ids of the edges, by word, start
+    and length; cost NEVER and id -1 where a substring is no piece."""
+    n, size = words.shape
+    longest = min(table.longest, size)
+    costs = np.full((n, size, longest + 1), NEVER, dtype=np.int32)
+    ids = np.full((n, size, longest + 1), -1, dtype=np.int32)
+    word, start = (x.reshape(-1) for x in np.indices((n, size)))
+    state = np.zeros(len(word), dtype=np.int32)
+    for length in range(1, longest + 1):
+        fits = start + length <= size
+        word, start, state = word[fits], start[fits], state[fits]
+        state = table.step(state, words[word, start + length - 1])
+        alive = state >= 0
+        word, start, state = word[alive], start[alive], state[alive]
+        if not len(word):
+            break
+        costs[word, start, length] = table.costs[state]
+        ids[word, start, length] = table.ids[state]
+    return costs, ids
+
+
+def fold(costs: np.ndarray) -> np.ndarray:
+    """Each word's segments after all joins: where the one from each start ends, 0 for
+    places that start none."""
+    n, size, longest = costs.shape[0], costs.shape[1], costs.shape[2] - 1
+    stop = np.tile(np.arange(1, size + 1), (n, 1))
+    before = np.tile(np.arange(-1, size), (n, 1))
+    offer = np.full((n, size), NEVER, dtype=np.int32)
+    if size > 1 and longest > 1:
+        offer[:, :-1] = costs[:, :-1, 2]
+
+    def cost(word: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        length = end - start
+        return np.where(length <= longest, costs[word, start, np.minimum(length, longest)], NEVER)
+
+    word = np.arange(n)
+    while len(word):
+        start = offer[word].argmin(axis=1)  # the leftmost of equals
+        on = offer[word, start] < NEVER
+        word, start = word[on], start[on]
+        if not len(word):
+            break
+        middle = stop[word, start]
+        end = stop[word, middle]
+        stop[word, start], stop[word, middle] = end, 0
+        offer[word, middle] = offer[word, start] = NEVER
+        before[word, np.minimum(end, size)] = start
+        more = end < size
+        w, s = word[more], start[more]
+        offer[w, s] = cost(w, s, stop[w, end[more]])
+        more = start > 0
+        w, s = word[more], before[word[more], start[more]]
+        offer[w, s] = cost(w, s, end[more])
+    return stop
+
+
+def _block(words: np.ndarray, table: PieceTable) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of words of one length, one after the other, and how many each has."""
+    costs, ids = lattice(words, table)
+    stop = fold(costs)
+    word, start = np.nonzero(stop)
+    found = ids[word, start, stop[word, start] - start]
+    times = np.ones(len(found), dtype=np.int64)
+    bare = np.flatnonzero(found < 0)
+    if len(bare) and table.first_byte >= 0:
+        chars = words[word[bare], start[bare]]
+        times[bare] = 1 + (chars > 0x7F) + (chars > 0x7FF) + (chars > 0xFFFF)
+        data = np.frombuffer(chars.astype("<u4").tobytes().decode("utf-32-le").encode(), dtype=np.uint8)
+    out = np.repeat(found, times)
+    if len(bare):
+        out[out < 0] = data.astype(np.int32) + table.first_byte if table.first_byte >= 0 else table.unknown
+    return out, np.bincount(word, times, minlength=len(words)).astype(np.int64)
+
+
+def _spread(flat: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The spans of flat that begin at first, one after the other."""
+    stop = np.cumsum(size)
+    return flat[np.arange(int(stop[-1]) if len(stop) else 0) + np.repeat(first - (stop - size), size)]
+
+
+def word_spans(s: K.CodeSlab) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The slab's characters with a mark before each document and for each blank; start,
+    end and document of each word."""
+    codes = np.concatenate((s.data[:1], s.data[:-1]))
+    codes[codes == 32] = ord(MARK)
+    codes[s.start] = ord(MARK)  # where the separator before the document stands
+    mark = codes == ord(MARK)
+    begins = mark.copy()
+    begins[1:] &= ~mark[:-1]
+    begins[s.start] = True
+    start = np.flatnonzero(begins)
+    end = np.append(start[1:], len(codes))
+    doc = np.searchsorted(s.start, start, side="right") - 1
+    keep = (s.end > s.start)[doc]
+    return codes, start[keep], end[keep], doc[keep]
+
+
+def slab_ids(s: K.CodeSlab, proto: bytes, longest: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of the slab's documents, one after the other, and how many each has."""
+    table = _table(proto)
+    codes, start, end, doc = word_spans(s)
+    _, first, word = np.unique(K.span_hash(K.prefix_hash(K.mix(codes.astype(K.U64) + K.U64(1))), start, end), return_index=True, return_inverse=True)
+    at, size = start[first], (end - start)[first]
+    parts: list[np.ndarray] = []
+    begin, count, total = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64), 0
+
+    def add(rows: np.ndarray, ids: np.ndarray, n: np.ndarray) -> None:
+        nonlocal total
+        begin[rows], count[rows] = total + np.cumsum(n) - n, n
+        parts.append(ids)
+        total += len(ids)
+
+    for length in np.unique(size).tolist():
+        rows = np.flatnonzero(size == length)
+        if length > longest:
+            # the model puts its own mark before a text; the word brings one along
+            for r in rows.tolist():
+                own = codes[at[r] + 1 : at[r] + length].astype("<u4").tobytes().decode("utf-32-le")
+                ids = np.array(_load(proto).encode(own, num_threads=1), dtype=np.int32)
+                add(np.array([r]), ids, np.array([len(ids)]))
+            continue
+        step = max(1, CELLS // (length * (min(table.longest, length) + 1)))
+        for lo in range(0, len(rows), step):
+            some = rows[lo : lo + step]
+            add(some, *_block(codes[at[some][:, None] + np.arange(length)], table))
+    flat = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+    return _spread(flat, begin[word], count[word]), np.bincount(doc, count[word], minlength=s.hi - s.lo).astype(np.int64)
 
 
 def encode(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", longest: int = LONGEST) -> DataFrame:
     """Per row: its id, the piece ids of its text and their number n_pieces."""
-    spark = df.sparkSession
-    proto, sp = _model(model_path)
-    pieces = piece_table(spark, model_path)
-    longest_piece = max(len(sp.id_to_piece(i)) for i in range(sp.get_piece_size()))
-    first_byte = next((i for i in range(sp.get_piece_size()) if sp.is_byte(i)), -1)
-    kind = dict(df.dtypes).get(id_col, "string")
-    rows = only(df, id=id_col, text=text_col).select(F.col("id").cast("string"), "text")
-    made = settle(rows.mapInArrow(_words, "block long, place int, word string, docs binary"))
-    words = made.where("word is not null").select("word").distinct()
-    short = words.where(F.length("word") <= longest)
-    folded = fold(lattice(short, pieces, longest_piece), first_byte, sp.unk_id())
-    known = settle(folded.union(map_arrow(words.where(F.length("word") > longest), _long_words(proto), "word string, ids array<int>")))
-    asked = made.where("word is not null").select("block", "place", "word").join(known, "word")
-    parts = asked.select("block", "place", "ids", F.lit(None).cast("binary").alias("docs")).union(made.where("word is null").select("block", "place", F.lit(None).cast("array<int>"), "docs"))
-    out = parts.groupBy("block").applyInArrow(_assemble, "id string, ids array<int>")
-    return out.select(F.col("id").cast(kind).alias(id_col), "ids", F.size("ids").cast("long").alias("n_pieces"))
+    proto, _ = _model(model_path)
+    rows = only(df, id=id_col, text=text_col)
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for s in K.code_slabs(batch.column(1)):
+            ids, n = slab_ids(s, proto, longest)
+            offsets = pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(s.lo, s.hi - s.lo), pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32())), pa.array(n)], names=["id", "ids", "n_pieces"])
+
+    return map_arrow(rows, run, f"id {rows.schema['id'].dataType.simpleString()}, ids array<int>, n_pieces long").withColumnRenamed("id", id_col)
 
 
 def decode(df: DataFrame, model_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
