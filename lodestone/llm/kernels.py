@@ -45,7 +45,7 @@ _powers: dict[str, np.ndarray] = {}
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the hash base and of its inverse modulo 2**64, at least n of each."""
     if len(_powers.get("up", ())) < n:
-        size = max(n, SLAB_BYTES + (1 << 16))
+        size = (n >> 18) + 1 << 18
         for key, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
             p = np.full(size, base & _MASK, dtype=U64)
             p[0] = 1
