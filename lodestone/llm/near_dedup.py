@@ -6,11 +6,12 @@
    they are its odd sketch; the population count of the XOR of two sketches tells how
    many samples differ, most precisely where similarity is high.
 3. Classes that agree in all samples of a band meet under the band's key.  First each
-   is compared with the least id under its key (a star: as many pairs as rows).  A pair
+   is compared with the key's centre (a star: as many pairs as rows): the class whose keys
+   have the most members, as the original of a group of edited copies has.  A pair
    is a candidate if sizes and sketches allow the threshold, and a link if the full sets
    confirm it.  The links' components settle most groups of copies.
 4. Under keys whose members aren't yet in one component, members are compared with
-   those outside the least member's component.  A join condition (component, sizes, sketch)
+   those outside the centre's component.  A join condition (component, sizes, sketch)
    rejects pairs where they arise.  So a group of copies costs its size, not its square,
    and no link between components goes unseen.
 5. The components of all links are the result.
@@ -164,8 +165,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     sketches = [F.col("sketch")[i].alias(f"o{i}") for i in words]
     keyed = reps.select("id", "n", F.explode("keys").alias("key"), *sketches)
     # a key that one class alone has links nothing
-    shared = keyed.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").drop("last")
-    banded = settle(keyed.join(shared, "key"))
+    shared = keyed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
+    slim = settle(keyed.select("id", "key").join(shared, "key"))
+    weight = slim.groupBy("id").agg(F.sum("members").alias("weight"))
+    centre = slim.join(weight, "id").groupBy("key").agg(F.min(F.struct(-F.col("weight"), "id")).alias("c")).select("key", F.col("c.id").alias("first"))
+    banded = settle(keyed.join(centre, "key"))
     facts = reps.select("id", "n", *sketches)
     other = facts.toDF("first", "n2", *[f"p{i}" for i in words])
     alike = " + ".join(f"bit_count(o{i} ^ p{i})" for i in words) + f" <= {sketch_limit(percent / 100)}"
