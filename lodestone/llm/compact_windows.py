@@ -7,16 +7,16 @@ tokens are dropped, which leaves about 2 / least of the tokens a function.
 
 Passages with equal least tokens meet.  One shingle alone may be frequent, so a window is
 keyed by its token and the one ``REACH`` tokens after it, and by its token and the one
-``REACH`` before it; a passage keeps one of both inside.  Under a key each window is
-compared with that of the least document (as many pairs as windows, however large the
-group), joined with others of the same pair of documents and shift, and verified on the
-texts: a run of ``least`` tokens counts if the share of its tokens that the other
-passage's run has gives a similarity of ``percent`` or more.
-
-Exact copies form one text: after the windows have met, pairs are pairs of texts, so that a
-group of copies is verified once.  A document's result are the merged spans of its text's
-runs, on either side, and the class: the least document reachable over confirmed pairs.  A near copy all of whose keys lead to
-documents that don't confirm it is missed; with FUNCTIONS functions and two keys a
+``REACH`` before it; a passage keeps one of both inside.  Exact copies form one text, with
+one set of windows.  Every two different texts that share a key meet, those of a key with
+over ``BLOCK`` members in blocks, and are verified once, on all their windows under the
+keys they share: a run of ``least`` tokens counts if the share of its tokens that the other
+text's runs have gives a similarity of ``percent`` or more.  So a group of k different
+texts costs k squared: links are counted over all of its pairs.
+
+A document's result are the merged spans of its text's runs, on either side, and the
+class: the least document reachable over confirmed pairs.  Copies confirm their whole text.
+A near copy is missed only if no key is shared: with FUNCTIONS functions and two keys a
 window that takes an edit beside each of its least shingles.
 
 Null and short texts: no spans, a class of their own.  Null ids take no part.  Rows of one
@@ -41,6 +41,8 @@ from .near_dedup import ascii_space_words
 FUNCTIONS, REACH = 4, 15
 #: Bytes of texts taken at a time, and of passages in one batch, but for a longer one; pairs verified at a time.
 SLAB, BATCH, PAIRS = 1 << 20, 2 << 20, 256
+#: Members of a key that meet all others of it in one task.
+BLOCK = 256
 
 
 def tokens(s: K.Slab, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -99,48 +101,61 @@ def compact_windows(doc: np.ndarray, h: np.ndarray, least: int) -> tuple[np.ndar
     return left[keep], c[keep], right[keep]
 
 
+def keyed_windows(doc: np.ndarray, h: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Key and bounds (inclusive) of the windows of all functions, one for each key of a window."""
+    found = []
+    for f in range(FUNCTIONS):
+        x = K.mix(h ^ K.mix(np.array([f + 1], dtype=K.U64))[0])
+        left, c, right = compact_windows(doc, x, least)
+        for sign in (1, -1):
+            other = c + sign * REACH
+            ok = (other >= left) & (other <= right)
+            key = K.mix(K.mix(h[c[ok]] + K.U64(2 + sign)) ^ h[other[ok]])
+            found.append((key.view(np.int64), left[ok], right[ok]))
+    key, left, right = (np.concatenate(v) for v in zip(*found, strict=True))
+    return key, left, right
+
+
 def _keys(shingle: int, least: int):
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for s in K.slabs(batch.column(2), 0x20, SLAB):
             doc, h = tokens(s, shingle)
             if not len(h):
                 continue
-            first = np.searchsorted(doc, np.arange(s.hi - s.lo))
-            for f in range(FUNCTIONS):
-                x = K.mix(h ^ K.mix(np.array([f + 1], dtype=K.U64))[0])
-                left, c, right = compact_windows(doc, x, least)
-                for sign in (1, -1):
-                    other = c + sign * REACH
-                    ok = (other >= left) & (other <= right)
-                    a, m, b, o = left[ok], c[ok], right[ok], other[ok]
-                    if not len(m):
-                        continue
-                    key = K.mix(K.mix(h[m] + K.U64(2 + sign)) ^ h[o])
-                    base = first[doc[m]]
-                    to = pa.array(doc[m] + s.lo)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(to), batch.column(1).take(to), pa.array(key.view(np.int64)), *[pa.array((v - base).astype(np.int64)) for v in (a, m, b)]], names=["id", "t", "key", "l", "c", "r"])
+            key, left, _ = keyed_windows(doc, h, least)
+            d, key = K.distinct_pairs(doc[left], key)
+            to = pa.array(d + s.lo)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(to), batch.column(1).take(to), pa.array(key)], names=["id", "t", "key"])
 
     return run
 
 
-def _passages(shingle: int):
-    """The tokens of the asked passages (pair, start, stop) of each document, by 32 bits:
-    a pair compares some hundreds of them, and a chance match changes one token in 46."""
+def _passages(shingle: int, least: int):
+    """For each asked (pair, side, keys) of a text the merged windows under the keys (``at``: starts
+    and ends alternating) and their tokens, by 32 bits: a chance match changes one token in 46."""
 
     def flush(rows: list[tuple]) -> pa.RecordBatch:
-        pair, side, start, blob = zip(*rows, strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(pair, pa.int64()), pa.array(side, pa.int32()), pa.array(start, pa.int64()), pa.array(blob, pa.binary())], names=["pair", "side", "start", "tokens"])
+        pair, side, at, blob = zip(*rows, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(pair, pa.int64()), pa.array(side, pa.int32()), pa.array(at, pa.list_(pa.int64())), pa.array(blob, pa.binary())], names=["pair", "side", "at", "tokens"])
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for s in K.slabs(batch.column(0), 0x20, SLAB):
             doc, h = tokens(s, shingle)
+            key, left, right = keyed_windows(doc, h, least)
+            order = np.lexsort((left, doc[left]))
+            key, left, right = key[order], left[order], right[order]
             h = (h >> K.U64(32)).astype(np.uint32)
-            first = np.searchsorted(doc, np.arange(s.hi - s.lo + 1)).tolist()
+            first = np.searchsorted(doc, np.arange(s.hi - s.lo + 1))
+            begin = np.searchsorted(doc[left], np.arange(s.hi - s.lo + 1))
             rows, size = [], 0
             for i in range(s.hi - s.lo):
-                for q in batch.column(1)[s.lo + i]:
-                    lo = first[i] + q["start"].as_py()
-                    rows.append((q["pair"].as_py(), q["side"].as_py(), q["start"].as_py(), h[lo : min(first[i] + q["stop"].as_py(), first[i + 1])].tobytes()))
+                k, a, b = (v[begin[i] : begin[i + 1]] for v in (key, left, right))
+                for q in batch.column(1)[s.lo + i].values:
+                    mine = np.isin(k, q["keys"].values.to_numpy())
+                    l, r = a[mine], np.maximum.accumulate(b[mine] + 1)
+                    turn = np.flatnonzero(l[1:] > r[:-1])
+                    at = np.stack((l[np.append(0, turn + 1)], r[np.append(turn, len(r) - 1)]), 1)
+                    rows.append((q["pair"].as_py(), q["side"].as_py(), (at - first[i]).reshape(-1), b"".join(h[x:y].tobytes() for x, y in at.tolist())))
                     size += len(rows[-1][3])
                     if size > BATCH:
                         yield flush(rows)
@@ -151,17 +166,16 @@ def _passages(shingle: int):
     return run
 
 
-def matched(x: np.ndarray, other: np.ndarray, least: int, needed: int) -> tuple[np.ndarray, np.ndarray]:
+def matched(x: np.ndarray, part: np.ndarray, other: np.ndarray, least: int, needed: int) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the merged runs of ``least`` tokens of x of which ``other`` has
-    ``needed`` or more.  Tokens carry their pair in the upper bits; a run keeps to one."""
+    ``needed`` or more.  Tokens carry their pair in the upper bits; a run keeps to one part."""
     if len(x) < least:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    pair = x >> K.U64(32)
     both = np.concatenate(([0], np.cumsum(np.isin(x, other))))
-    good = np.flatnonzero((both[least:] - both[:-least] >= needed) & (pair[least - 1 :] == pair[: len(x) - least + 1]))
+    good = np.flatnonzero((both[least:] - both[:-least] >= needed) & (part[least - 1 :] == part[: len(x) - least + 1]))
     cover = np.bincount(good, minlength=len(x) + 1) - np.bincount(good + least, minlength=len(x) + 1)
     inside = np.cumsum(cover[:-1]) > 0
-    turn = np.concatenate(([True], pair[1:] != pair[:-1], [True]))
+    turn = np.concatenate(([True], part[1:] != part[:-1], [True]))
     begins = inside & (turn[:-1] | np.concatenate(([True], ~inside[:-1])))
     ends = inside & (turn[1:] | np.concatenate((~inside[1:], [True])))
     return np.flatnonzero(begins), np.flatnonzero(ends) + 1
@@ -171,23 +185,30 @@ def _verify(least: int, percent: int):
     # m of n shared in both: m / (2 n - m) >= percent / 100
     needed = -(-2 * least * percent // (100 + percent))
 
-    def side(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    def side(at: pa.Array, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Tokens under their pair's number, each token's part, and its place in the text."""
         own = [np.frombuffer(v.as_buffer(), np.uint32) for v in column]
-        size = np.array([len(v) for v in own])
-        return np.concatenate(own).astype(K.U64) | (np.repeat(np.arange(len(own), dtype=K.U64), size) << K.U64(32)), np.cumsum(size) - size
+        edge = at.flatten().to_numpy().reshape(-1, 2)
+        size = edge[:, 1] - edge[:, 0]
+        place = np.arange(int(size.sum())) + np.repeat(edge[:, 0] - (np.cumsum(size) - size), size)
+        return np.concatenate(own).astype(K.U64) | (np.repeat(np.arange(len(own), dtype=K.U64), [len(v) for v in own]) << K.U64(32)), np.repeat(np.arange(len(size)), size), place
 
-    def edges(x: np.ndarray, other: np.ndarray, first: np.ndarray, start: pa.Array) -> pa.Array:
-        a, b = matched(x, other, least, needed)
-        of = (x[a] >> K.U64(32)).astype(np.int64)
-        shift = (start.to_numpy() - first)[of]
-        offsets = 2 * np.searchsorted(of, np.arange(len(first) + 1))
-        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.stack((a + shift, b + shift), 1).reshape(-1)))
+    def within(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return x[np.cumsum(np.bincount(a, minlength=len(x) + 1) - np.bincount(b, minlength=len(x) + 1))[:-1] > 0]
+
+    def edges(x: np.ndarray, place: np.ndarray, a: np.ndarray, b: np.ndarray, pairs: int) -> pa.Array:
+        offsets = 2 * np.searchsorted((x[a] >> K.U64(32)).astype(np.int64), np.arange(pairs + 1))
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.stack((place[a], place[b - 1] + 1), 1).reshape(-1)))
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for lo in range(0, batch.num_rows, PAIRS):
-            pair, sx, bx, sy, by = [c.slice(lo, PAIRS) for c in batch.columns[:5]]
-            (x, fx), (y, fy) = side(bx), side(by)
-            ex, ey = edges(x, y, fx, sx), edges(y, x, fy, sy)
+            pair, ax, bx, ay, by = [c.slice(lo, PAIRS) for c in batch.columns[:5]]
+            (x, part_x, place_x), (y, part_y, place_y) = side(ax, bx), side(ay, by)
+            # each side's runs against the other's runs, not against tokens scattered over it
+            own_y = matched(y, part_y, x, least, needed)
+            own_x = matched(x, part_x, within(y, *own_y), least, needed)
+            own_y = matched(y, part_y, within(x, *own_x), least, needed)
+            ex, ey = edges(x, place_x, *own_x, len(pair)), edges(y, place_y, *own_y, len(pair))
             sure = pc.and_(pc.greater(pc.list_value_length(ex), 0), pc.greater(pc.list_value_length(ey), 0))
             yield pa.RecordBatch.from_arrays([pair.filter(sure), ex.filter(sure), ey.filter(sure)], names=["pair", "x", "y"])
 
@@ -195,41 +216,45 @@ def _verify(least: int, percent: int):
 
 
 def near_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 50, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """Per row: its id, n_links (other texts compared with its own and confirmed, and one for all
+    """Per row: its id, n_links (other texts confirmed against its own, and one for all
     its copies), n_spans, spans
     (start and end in words, alternating, merged) and class_id."""
     least = words - shingle + 1
     rows = only(df, id=id_col, text=text_col)
     kind = rows.schema["id"].dataType.simpleString()
     part = rows.where("id is not null and text is not null").select("id", F.xxhash64("text").alias("t"), "text")
-    texts = part.select("t", "text").dropDuplicates(["t"])
-    windows = map_arrow(part, _keys(shingle, least), f"id {kind}, t long, key long, l long, c long, r long")
-    first = windows.groupBy("key").agg(F.min(F.struct("id", "t", "l", "c", "r")).alias("o"), F.max("id").alias("most")).where("o.id < most").select("key", "o")
-    first = settle(first)
-    met = windows.join(first, "key").where("id > o.id")
-    # the windows, aligned by their centres, as far as both reach
-    left, right = F.least(F.col("c") - F.col("l"), F.col("o.c") - F.col("o.l")), F.least(F.col("r") - F.col("c"), F.col("o.r") - F.col("o.c"))
-    aligned = met.select("t", F.col("o.t").alias("t2"), (F.col("c") - F.col("o.c")).alias("shift"), (F.col("c") - left).alias("start"), (F.col("c") + right + 1).alias("stop"))
-    pairs = aligned.groupBy("t", "t2", "shift").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).where(f"stop - start >= {least}")
-    pairs = settle(pairs.withColumn("pair", F.xxhash64("t", "t2", "shift")))
-    # some tokens more on the other side, for insertions
-    sides = pairs.select("t", F.struct("pair", F.lit(0).alias("side"), "start", "stop").alias("q")).union(
-        pairs.select("t2", F.struct("pair", F.lit(1).alias("side"), F.greatest(F.lit(0), F.col("start") - F.col("shift") - REACH).alias("start"), (F.col("stop") - F.col("shift") + REACH).alias("stop")))
-    )
+    # id: of a text that no other id has
+    held = part.groupBy("t").agg(F.min("id").alias("id"), F.max("id").alias("most"), F.min_by("text", "id").alias("text"))
+    texts = settle(held.select(F.when(F.col("id") == F.col("most"), F.col("id")).alias("id"), "t", "text"))
+    keys = map_arrow(texts, _keys(shingle, least), f"id {kind}, t long, key long")
+    # a key of one text alone links nothing
+    members = keys.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
+    members = settle(members.select("key", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks")))
+    shared = settle(keys.join(members, "key"))
+    # each text in one block of a key, met by all texts of the key
+    one = shared.select("key", "id", "t", F.pmod(F.xxhash64("t"), "blocks").cast("int").alias("block"))
+    other = shared.select("key", F.col("id").alias("id2"), F.col("t").alias("t2"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    met = one.join(other, ["key", "block"]).where("t < t2 and coalesce(id != id2, true)")
+    pairs = settle(met.groupBy("t", "t2").agg(F.collect_list("key").alias("keys")).withColumn("pair", F.xxhash64("t", "t2")))
+    sides = pairs.select("t", F.struct("pair", F.lit(0).alias("side"), "keys").alias("q")).union(pairs.select("t2", F.struct("pair", F.lit(1).alias("side"), "keys").alias("q")))
     # a frequent partner's passages are asked for in parts
     asked = sides.groupBy("t", (F.col("q.pair") % 16).alias("part")).agg(F.collect_list("q").alias("asked"))
     wanted = asked.join(texts, "t").select("text", "asked")
-    cut = settle(map_arrow(wanted, _passages(shingle), "pair long, side int, start long, tokens binary"))
-    x = cut.where("side = 0").select("pair", F.col("start").alias("sx"), F.col("tokens").alias("x"))
-    y = cut.where("side = 1").select("pair", F.col("start").alias("sy"), F.col("tokens").alias("y"))
+    cut = settle(map_arrow(wanted, _passages(shingle, least), "pair long, side int, at array<long>, tokens binary"))
+    x = cut.where("side = 0").select("pair", F.col("at").alias("sx"), F.col("tokens").alias("x"))
+    y = cut.where("side = 1").select("pair", F.col("at").alias("sy"), F.col("tokens").alias("y"))
     both = x.join(y, "pair").select("pair", "sx", "x", "sy", "y")
     sure = settle(map_arrow(both, _verify(least, percent), "pair long, x array<long>, y array<long>").join(pairs.select("pair", "t", "t2"), "pair"))
-    # a text that only its copies confirm is a class too
     classes = components(sure.select(F.col("t").alias("a"), F.col("t2").alias("b"))).withColumnRenamed("node", "t")
-    alone = sure.where("t = t2").select("t").distinct().join(classes.select("t"), "t", "left_anti").select("t", F.col("t").alias("root"))
+    # a text of several ids is confirmed whole by its copies
+    n_words = F.size(F.filter(F.split("text", "[\\t\\n\\x0B\\f\\r ]+", -1), lambda w: w != "")).cast("long")
+    copies = settle(texts.where("id is null").select("t", n_words.alias("n")).where(f"n >= {words}"))
+    # a text that only its copies confirm is a class too
+    alone = copies.select("t").join(classes.select("t"), "t", "left_anti").select("t", F.col("t").alias("root"))
     # spans as sets of starts and ends: equal ones of many pairs count once
     edges = [F.expr(f"transform(sequence(0, size({c}) div 2 - 1), i -> struct({c}[2 * i] as a, {c}[2 * i + 1] + {shingle - 1} as b))") for c in "xy"]
     spans = sure.select("t", "t2", F.explode(edges[0]).alias("s")).union(sure.select("t2", "t", F.explode(edges[1]).alias("s")))
+    spans = spans.union(copies.select("t", F.col("t").alias("t2"), F.struct(F.lit(0).cast("long").alias("a"), F.col("n").alias("b"))))
     merged = F.expr("""aggregate(s, cast(array() as array<bigint>), (m, e) ->
         if(size(m) > 0 and e.a <= get(m, size(m) - 1), concat(slice(m, 1, size(m) - 1), array(greatest(get(m, size(m) - 1), e.b))), concat(m, array(e.a, e.b))))""")
     found = spans.select("t", "s").distinct().groupBy("t").agg(F.array_sort(F.collect_list("s")).alias("s")).select("t", merged.alias("spans"))

@@ -124,6 +124,16 @@ def test_near_passages(spark, docs):
     assert compact_windows.near_passages(empty(spark)).count() == 0
 
 
+def test_near_passages_of_edited_copies(spark):
+    """An original of middle id among copies with one word changed, and a smaller id with broken-up parts."""
+    words = [f"w{i}" for i in range(55)]
+    copies = [[*words[:k], f"x{k}", *words[k + 1 :]] for k in range(2, 53, 3)]
+    broken = [v for k in range(0, 55, 18) for v in [*words[k : k + 18], *[f"y{k + i}" for i in range(30)]]]
+    texts = [broken, *copies[:9], words, *copies[9:], words]
+    found = by_id(compact_windows.near_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")))
+    assert {found[i]["class_id"] for i in range(1, len(texts))} == {1}
+
+
 def test_decontamination(spark, docs):
     tests = spark.createDataFrame([(1, " ".join(BASE[2].split()[30:55])), (2, "one two"), (3, None), (4, "")], "item_id long, text string")
     found = by_id(decontaminate.digest(decontaminate.contamination(docs, tests)))
