@@ -237,7 +237,7 @@ def _scan_rows(groups: list[Phrases], names: np.ndarray):
                 n_words, spans, items = scan(groups, s)
                 part = batch.slice(s.lo, s.hi - s.lo)
                 spans = [merge_spans([np.array(x, dtype=np.int64), y]).tolist() if x else y.tolist() for x, y in zip(part.column(3).to_pylist(), spans, strict=True)]
-                items = [sorted({*x, *names[y].tolist()}) if x else names[y].tolist() for x, y in zip(part.column(4).to_pylist(), items, strict=True)]
+                items = [sorted({*x, *names[y].tolist()}) for x, y in zip(part.column(4).to_pylist(), items, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))], names=["id", "text", "n_words", "spans", "items"])
 
     return run

@@ -169,6 +169,14 @@ def test_decontamination(spark, docs):
     assert all(small[i][c] == found[i][c] for i in found for c in ("n_hit", "items_sha256"))
 
 
+def test_decontamination_counts_a_repeated_item_once(spark, docs):
+    words = BASE[2].split()
+    tests = spark.createDataFrame([(1, " ".join(words[30:55])), (1, " ".join(words[60:80])), (2, " ".join(words[30:45]))], "item_id long, text string").coalesce(1)
+    for block_words in (1, 2_000_000):
+        r = by_id(decontaminate.digest(decontaminate.contamination(docs, tests, block_words=block_words)))[2]
+        assert (r["n_items"], r["items_sha256"]) == (2, hashlib.sha256(b"1,2").hexdigest())
+
+
 def test_pieces(spark, docs):
     import sentencepiece
 
