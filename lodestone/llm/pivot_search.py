@@ -15,9 +15,10 @@ Euclidean distance, so that the triangle inequality holds: d(q, x) >= |d(q, p) -
 The block list holds a pivot, two distances and a count for each block, and blocks grow
 so that it never has more than about ``MOST_BLOCKS`` lines: that is what tasks are given.
 
-Vectors that are null, empty or hold null or non-finite components, and those not of the
-commonest length, take no part; nor do null ids.  Rows of the query's own id aren't its
-candidates.  Ties go to the smaller id.
+Vectors that are null, empty or hold null or non-finite components take no part; nor do
+null ids.  Vectors of several lengths, and those too long for exact scores (a square
+length of integers of 2**53 or more), are an error.  Rows of the query's own id aren't
+its candidates.  Ties go to the smaller id.
 """
 
 from __future__ import annotations
@@ -38,10 +39,15 @@ def whole_vectors(df: DataFrame, id_col: str, vec_col: str, scale: int) -> DataF
     """(id long, v array<int>) of the rows that take part."""
     rows = only(df, id=id_col, v=vec_col).where("id is not null and size(v) > 0")
     x = F.transform("v", lambda c: F.floor(c.cast("double") * scale))
-    fine = F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c.cast("double")) & (F.abs(c.cast("double")) < 1e6))
-    rows = rows.where(fine).select(F.col("id").cast("long"), x.cast("array<int>").alias("v"))
-    length = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return rows.where(F.size("v") == (length["n"] if length else 0))
+    fine = F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c.cast("double")) & (F.abs(c.cast("double")) < float("inf")))
+    rows = rows.where(fine)
+    square = F.aggregate("v", F.lit(0.0), lambda a, c: a + F.pow(F.floor(c.cast("double") * scale).cast("double"), F.lit(2.0)))
+    sizes = rows.agg(F.min(F.size("v")).alias("least"), F.max(F.size("v")).alias("most"), F.max(square).alias("square")).first()
+    if sizes["least"] != sizes["most"]:
+        raise ValueError(f"vectors have lengths from {sizes['least']} to {sizes['most']}")
+    if (sizes["square"] or 0) >= 1 << 53:
+        raise ValueError("a vector's square length is beyond exact scores")
+    return rows.select(F.col("id").cast("long"), x.cast("array<int>").alias("v"))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:

@@ -256,5 +256,15 @@ def test_exact_top_k(spark):
     assert pivot_search.exact_top_k(df.where("false"), df).count() == 0
 
 
+def test_exact_top_k_drops_no_finite_vector(spark):
+    df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.1e6, 0.5]), (2, [0.5, 0.5]), (3, [float("inf"), 0.0])], "vec_id long, embedding array<double>")
+    found = pivot_search.exact_top_k(df, df.where("vec_id = 0"), pivots=2).orderBy("rank").collect()
+    assert [(r["vec_id"], r["score"]) for r in found] == [(1, 64 * 70_400_000), (2, 64 * 32)]
+    for wrong in ([2e6] * 2, [0.1] * 3):
+        more = df.union(spark.createDataFrame([(4, wrong)], df.schema))
+        with pytest.raises(ValueError):
+            pivot_search.exact_top_k(more, df.where("vec_id = 0")).collect()
+
+
 def test_fixture_counts():
     assert Counter(t for t in TEXTS if t)[BASE[0]] == 6
