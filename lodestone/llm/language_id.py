@@ -172,13 +172,13 @@ def language_id(df: DataFrame, model: LanguageFilter, id_col: str = "doc_id", te
 
 
 def keep_known(df: DataFrame, model: LanguageFilter, text_col: str = "text", least: float = 0.0) -> DataFrame:
-    """The rows whose language can be told with a score above ``least``, all columns kept."""
+    """The rows that have a language, as op6 names it, with a score of ``least`` or more, all columns kept."""
     at = [c.lower() for c in df.columns].index(text_col.lower())
     names = [f"c{i}" for i in range(len(df.columns))]
 
     def pick(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         lang, score = decide(model, batch.column(at))
-        keep = np.array([x != UNKNOWN for x in lang], dtype=bool) & (score > least)
+        keep = np.array([x != UNKNOWN for x in lang], dtype=bool) & (score >= least)
         yield batch.filter(pa.array(keep))
 
     plain = df.toDF(*names)

@@ -222,6 +222,17 @@ def test_language(spark):
     assert language_id.language_id(empty(spark), language_id.learn(empty(spark))).count() == 0
 
 
+def test_kept_are_those_with_a_language(spark):
+    own = {"aa": "abcde", "bb": "vwxyz"}
+    rows = [(i, " ".join("".join(random.Random(i).choices(own[x], k=5)) for _ in range(30)), x) for i in range(60) for x in [("aa", "bb")[i % 2]]]
+    unlearned = " ".join("".join(random.Random(k).choices("klmnop", k=6)) for k in range(3000))
+    df = spark.createDataFrame([*rows, (900, "a b c", None), (901, "mnop", None), (902, unlearned, None), (903, "12 !", None), (904, None, None)], "doc_id long, text string, lang string")
+    model = language_id.learn(df)
+    named = {i for i, r in by_id(language_id.language_id(df, model)).items() if r["lang_pred"] != "und"}
+    assert {900, 901, 902} <= named and not {903, 904} & named
+    assert set(by_id(language_id.keep_known(df, model))) == named
+
+
 def test_toxicity(spark):
     rows, labels = [], []
     for i in range(300):
