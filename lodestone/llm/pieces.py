@@ -16,8 +16,8 @@ is shuffled and a lost executor costs the slabs it had.
    without a piece become their bytes' pieces.
 4. The words' ids are put in the order of each document.
 
-Words of more than ``longest`` characters are rare; the edges of a word grow with its
-length, so the library encodes those, each alone, to the same ids.
+Words of more than ``longest`` characters are rare and differ in length: each is folded
+alone, by a queue of its joins instead of a search over all places.
 
 Null and empty text: no ids.  Rows are told apart by their place, so null and repeated
 ids are no matter.  An empty table gives an empty result.
@@ -25,6 +25,7 @@ ids are no matter.  An empty table gives an empty result.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 from functools import cache
 
@@ -39,6 +40,8 @@ from .common import map_arrow, only
 
 MARK = "▁"
 LONGEST = 48
+#: Larger slabs have fewer distinct words in all.
+SLAB = 2 << 20
 #: Cells of one block's edges at most.
 CELLS = 4_000_000
 NEVER = np.iinfo(np.int32).max
@@ -158,10 +161,36 @@ def fold(costs: np.ndarray) -> np.ndarray:
     return stop
 
 
-def _block(words: np.ndarray, table: PieceTable) -> tuple[np.ndarray, np.ndarray]:
+def fold_long(costs: np.ndarray) -> np.ndarray:
+    """As ``fold``, of one long word, with the possible joins in a queue."""
+    size, longest = costs.shape[1], costs.shape[2] - 1
+    stop, before = list(range(1, size + 1)), list(range(-1, size))
+    queue: list[tuple[int, int, int]] = []
+
+    def offer(start: int) -> None:
+        end = stop[stop[start]] if stop[start] < size else 0
+        if 0 < end - start <= longest and costs[0, start, end - start] < NEVER:
+            heapq.heappush(queue, (int(costs[0, start, end - start]), start, end))
+
+    for start in range(size):
+        offer(start)
+    while queue:
+        _, start, end = heapq.heappop(queue)
+        middle = stop[start]
+        # joins that were offered before a neighbour changed
+        if not middle or middle == size or stop[middle] != end:
+            continue
+        stop[start], stop[middle], before[end] = end, 0, start
+        offer(start)
+        if start:
+            offer(before[start])
+    return np.array([stop])
+
+
+def _block(words: np.ndarray, table: PieceTable, longest: int) -> tuple[np.ndarray, np.ndarray]:
     """The ids of words of one length, one after the other, and how many each has."""
     costs, ids = lattice(words, table)
-    stop = fold(costs)
+    stop = fold(costs) if words.shape[1] <= longest else fold_long(costs)
     word, start = np.nonzero(stop)
     found = ids[word, start, stop[word, start] - start]
     times = np.ones(len(found), dtype=np.int64)
@@ -216,17 +245,10 @@ def slab_ids(s: K.CodeSlab, proto: bytes, longest: int) -> tuple[np.ndarray, np.
 
     for length in np.unique(size).tolist():
         rows = np.flatnonzero(size == length)
-        if length > longest:
-            # the model puts its own mark before a text; the word brings one along
-            for r in rows.tolist():
-                own = codes[at[r] + 1 : at[r] + length].astype("<u4").tobytes().decode("utf-32-le")
-                ids = np.array(_load(proto).encode(own, num_threads=1), dtype=np.int32)
-                add(np.array([r]), ids, np.array([len(ids)]))
-            continue
-        step = max(1, CELLS // (length * (min(table.longest, length) + 1)))
+        step = max(1, CELLS // (length * (min(table.longest, length) + 1))) if length <= longest else 1
         for lo in range(0, len(rows), step):
             some = rows[lo : lo + step]
-            add(some, *_block(codes[at[some][:, None] + np.arange(length)], table))
+            add(some, *_block(codes[at[some][:, None] + np.arange(length)], table, longest))
     flat = np.concatenate(parts) if parts else np.zeros(0, np.int32)
     return _spread(flat, begin[word], count[word]), np.bincount(doc, count[word], minlength=s.hi - s.lo).astype(np.int64)
 
@@ -237,7 +259,7 @@ def encode(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str
     rows = only(df, id=id_col, text=text_col)
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for s in K.code_slabs(batch.column(1)):
+        for s in K.code_slabs(batch.column(1), limit=SLAB):
             ids, n = slab_ids(s, proto, longest)
             offsets = pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(s.lo, s.hi - s.lo), pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32())), pa.array(n)], names=["id", "ids", "n_pieces"])
