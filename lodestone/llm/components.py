@@ -5,10 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
-
-ROUNDS = 60
-
+from .common import release, settle
 
 def _large(edges: DataFrame) -> DataFrame:
     """Each larger neighbour of a node links to the node's least neighbour or itself."""
@@ -31,13 +28,12 @@ def components(edges: DataFrame) -> DataFrame:
     of rounds grows with the logarithm of the longest path."""
     edges = settle(edges.select("a", "b").where("a != b").distinct())
     seen = None
-    for _ in range(ROUNDS):
-        edges = settle(_small(_large(edges)))
+    while True:
+        before, edges = edges, settle(_small(_large(edges)))
+        release(before)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == seen:
             break
         seen = now
-    else:
-        raise RuntimeError(f"components aren't settled after {ROUNDS} rounds")
     roots = edges.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("root"))
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots)

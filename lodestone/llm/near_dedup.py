@@ -1,33 +1,35 @@
 """Operator 7: near-duplicates by banded MinHash candidates and odd sketches.
 
 1. A document becomes the set of its distinct word shingles (64-bit hashes).  Documents
-   with equal sets (by count and two 64-bit sums) form a class; its least id stands for it.
-2. A class has ``BANDS * ROWS`` MinHash samples.  Folded into a parity bitmap of 256 bits
-   they are its odd sketch; the population count of the XOR of two sketches tells how
+   with equal sets (by count and two 64-bit sums) form a class; one of them stands for it.
+2. A class has ``BANDS * ROWS`` MinHash samples for the bands.  Its odd sketch folds
+   further samples, the least hash in each of ``BINS`` ranges of the hashes (one-permutation
+   MinHash), into a parity bitmap: the population count of the XOR of two sketches tells how
    many samples differ, most precisely where similarity is high.
-3. Classes that agree in all samples of a band meet under the band's key.  First each
-   is compared with the key's centre (a star: as many pairs as rows): the class whose keys
-   have the most members, as the original of a group of edited copies has.  A pair
-   is a candidate if sizes and sketches allow the threshold, and a link if the full sets
-   confirm it.  The links' components settle most groups of copies.
-4. Under keys whose members aren't yet in one component, members are compared with
-   those outside the centre's component.  A join condition (component, sizes, sketch)
-   rejects pairs where they arise.  So a group of copies costs its size, not its square,
-   and no link between components goes unseen.
+3. Classes that agree in all samples of a band meet under the band's key.  First each is
+   compared with the key's centre (a star: as many pairs as rows): the class whose keys have
+   the most members, as the original of a group of edited copies has.  A pair is a candidate
+   if sizes and sketches allow the threshold, and a link if the full sets confirm it.  The
+   links' components settle most groups of copies.
+4. What a star leaves are strays: classes outside the component of their key's centre.  They
+   are compared with the members of that component's keys, blocks of strays with blocks of
+   members in a task; sketches and then full sets decide there, and only links that join two
+   components come out.  No pair that isn't a link becomes a row.  The comparisons (not the
+   rows) of a group are its strays times its members.
 5. The components of all links are the result.
 
-A pair at the threshold misses every band with a chance of (1 - 0.8**ROWS)**BANDS,
-about 5e-8, and passes the sketch test unless it is five standard deviations off.
+A pair at the threshold misses every band with a chance of (1 - 0.8**ROWS)**BANDS, about
+5e-8, and is rejected by its sketches if samples or folding are ``SIGMAS`` standard
+deviations off, a chance of about 6e-7; for pairs above it both are less.
 
 Null or wordless text: empty set, linked with nothing.  A null id forms no links and
 passes through as its own.  Rows of one id count as one document with the least of their
-sets.  An empty table gives an empty result.
+sets.  An empty table gives an empty result.  Other columns don't matter, whatever their names.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,11 +37,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import map_arrow, only, settle
+from .common import map_arrow, only, release, settle
 from .components import components
 
-BANDS, ROWS, SKETCH = 32, 4, 256
+BANDS, ROWS, BINS, SKETCH = 32, 4, 2048, 2048
 SIGMAS = 5.0
+#: Bytes of sets that meet in one task at a time, about.
+TASK = 8 << 20
 
 
 def ascii_space_words() -> np.ndarray:
@@ -68,21 +72,53 @@ def minhash(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
-def odd_sketch(samples: np.ndarray) -> np.ndarray:
-    """Each set's samples folded into a parity bitmap, as SKETCH / 64 words a set."""
-    place = (K.mix(samples + np.arange(1, len(samples) + 1, dtype=K.U64)[:, None]) % K.U64(SKETCH)).astype(np.int64)
-    bits = np.zeros((samples.shape[1], SKETCH), dtype=np.uint8)
-    for row in place:
-        bits[np.arange(len(row)), row] ^= 1
-    return np.packbits(bits, axis=1, bitorder="little").view(np.int64)
+def odd_sketch(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each set's least hash in each of BINS ranges, folded into a parity bitmap of SKETCH
+    bits, as words; and how many samples each set has.  Hashes ascend within a set."""
+    of = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    place = (of << 32) | (h // K.U64((1 << 64) // BINS)).astype(np.int64)
+    least = np.flatnonzero(np.diff(place, prepend=-1))
+    of, bit = of[least], K.mix(h[least]) % K.U64(SKETCH)
+    words = np.zeros((len(first) - 1, SKETCH // 64), dtype=K.U64)
+    np.bitwise_xor.at(words, (of, (bit >> K.U64(6)).astype(np.int64)), K.U64(1) << (bit & K.U64(63)))
+    return words, np.bincount(of, minlength=len(first) - 1)
 
 
-def sketch_limit(similarity: float) -> int:
-    """The highest XOR population count that a pair of that similarity may show."""
-    k = BANDS * ROWS
-    differ = 2 * (k * (1 - similarity) + SIGMAS * math.sqrt(k * similarity * (1 - similarity)))
-    mean = SKETCH / 2 * (1 - (1 - 2 / SKETCH) ** differ)
-    return int(mean + SIGMAS * math.sqrt(SKETCH) / 4)
+def sketch_limit(n: np.ndarray, m: np.ndarray, e: np.ndarray, g: np.ndarray, similarity: float) -> np.ndarray:
+    """The highest XOR population count that sets of n and m elements, with e and g samples,
+    may show at that similarity or above."""
+    union = (n + m) / (1 + similarity)
+    full = union / BINS
+    # samples of the union are a random part of it: a hypergeometric share is in both sets
+    samples = BINS * -np.expm1(-full)
+    spread = BINS * np.exp(-full) * -np.expm1(-full) + 1
+    both = similarity * samples
+    noise = samples * similarity * (1 - similarity) * np.clip((union - samples) / np.maximum(union - 1, 1), 0, 1)
+    differ = np.maximum(e + g - 2 * (both - SIGMAS * np.sqrt(similarity**2 * spread + noise)), 0)
+    one, two = (1 - 2 / SKETCH) ** differ, (1 - 4 / SKETCH) ** differ
+    folding = np.maximum(SKETCH + SKETCH * (SKETCH - 1) * two - SKETCH**2 * one**2, 0) / 4
+    return SKETCH / 2 * (1 - one) + SIGMAS * np.sqrt(folding)
+
+
+def sizes_allow(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    return 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
+
+
+def shared(x: np.ndarray, y: np.ndarray) -> int:
+    """How many elements two ascending arrays have in common."""
+    if len(x) > len(y):
+        x, y = y, x
+    return int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+
+
+def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = shared(x, y)
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def _blobs(h: np.ndarray, first: np.ndarray) -> pa.Array:
+    data = np.ascontiguousarray(h).view(np.uint8)
+    return pa.Array.from_buffers(pa.binary(), len(first) - 1, [None, pa.py_buffer((first * 8).astype(np.int32)), pa.py_buffer(data)])
 
 
 def _features(size: int):
@@ -93,59 +129,146 @@ def _features(size: int):
             begin = first[:-1][full]
             sums = np.zeros((2, len(n)), dtype=K.U64)
             keys = np.zeros((len(n), BANDS), dtype=np.int64)
-            sketch = np.zeros((len(n), SKETCH // 64), dtype=np.int64)
             if len(full):
                 sums[0, full] = np.add.reduceat(h, begin)
                 sums[1, full] = np.add.reduceat(K.mix(h), begin)
                 samples = minhash(h, np.append(begin, len(h)))
-                sketch[full] = odd_sketch(samples)
                 for b in range(BANDS):
                     key = np.full(len(full), b + 1, dtype=K.U64)
                     for row in samples[b * ROWS : (b + 1) * ROWS]:
                         key = K.mix(key * K.U64(0x9E3779B97F4A7C15) + row)
                     keys[full, b] = key.view(np.int64)
-            lists = lambda x: pa.FixedSizeListArray.from_arrays(pa.array(x.reshape(-1)), x.shape[1]).cast(pa.list_(pa.int64()))
+            sketch, e = odd_sketch(h, first)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * BANDS), pa.array(keys.reshape(-1)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(s.lo, s.hi - s.lo), pa.array(n.astype(np.int64)), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), lists(keys), lists(sketch)],
-                names=["id", "n", "s1", "s2", "keys", "sketch"],
+                [batch.column(0).slice(s.lo, s.hi - s.lo), pa.array(n.astype(np.int64)), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), lists, pa.array(e.astype(np.int64)), _blobs(sketch.reshape(-1), np.arange(len(n) + 1) * (SKETCH // 64)), _blobs(h, first)],
+                names=["id", "n", "s1", "s2", "keys", "e", "sketch", "own"],
             )
 
     return run
 
 
-def _sets(size: int):
+def _numbers(column: pa.Array) -> np.ndarray:
+    return column.to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _sketches(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=K.U64).reshape(len(column), -1)
+
+
+def _likely(percent: int):
+    """The pairs (a, b) whose sizes and sketches allow the threshold."""
+
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for s, h, first in shingle_sets(batch.column(1), size):
-            blobs = [h[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
-            sums = [int(h[a:b].sum()) for a, b in zip(first[:-1], first[1:], strict=True)]
-            signed = np.array(sums, dtype=K.U64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(s.lo, s.hi - s.lo), pa.array(np.diff(first).astype(np.int64)), pa.array(signed), pa.array(blobs, pa.binary())], names=["id", "n", "s1", "own"])
+        n, e, m, g = (_numbers(batch.column(c)) for c in ("n", "e", "m", "g"))
+        differ = np.bitwise_count(_sketches(batch.column("x")) ^ _sketches(batch.column("y"))).sum(axis=1)
+        keep = pa.array(sizes_allow(n, m, percent) & (differ <= sketch_limit(n, m, e, g, percent / 100)))
+        yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("a", "b", "n")], names=["a", "b", "n"])
 
     return run
 
 
 def _confirm(percent: int):
-    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        keep = []
-        for x, y in zip(batch.column(2), batch.column(3), strict=True):
-            p, q = np.frombuffer(x.as_buffer(), dtype=K.U64), np.frombuffer(y.as_buffer(), dtype=K.U64)
-            both = len(np.intersect1d(p, q, assume_unique=True))
-            keep.append(100 * both >= percent * (len(p) + len(q) - both))
-        yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep, pa.bool_())), batch.column(1).filter(pa.array(keep, pa.bool_()))], names=["a", "b"])
+    """Pairs (a, b, own of b) and centres (a, own): the pairs whose full sets reach the threshold."""
+
+    def run(pairs: pa.Table, centres: pa.Table) -> pa.Table:
+        sets = {a: np.frombuffer(x.as_buffer(), K.U64) for a, x in zip(centres["a"].to_pylist(), centres["own"], strict=True)}
+        keep = [linked(sets[a], np.frombuffer(x.as_buffer(), K.U64), percent) for a, x in zip(pairs["a"].to_pylist(), pairs["own"], strict=True)]
+        return pairs.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, sets: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold; texts: (id, text), sets: (id, n, s1)."""
-    kind = texts.schema["id"].dataType.simpleString()
-    pairs = settle(pairs)
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(sets, "id")
-    made = map_arrow(texts.join(needed.select("id"), "id", "left_semi"), _sets(shingle), f"id {kind}, n long, s1 long, own binary")
-    blobs = settle(made.join(needed, ["id", "n", "s1"], "left_semi").select("id", "own").dropDuplicates(["id"]))
-    x = pairs.join(blobs.select(F.col("id").alias("a"), F.col("own").alias("x")), "a")
-    y = x.join(blobs.select(F.col("id").alias("b"), F.col("own").alias("y")), "b").select("a", "b", "x", "y")
-    return settle(map_arrow(y, _confirm(percent), f"a {kind}, b {kind}"))
+def _join_strays(percent: int):
+    """Blocks of strays and members (grp, i, j, row, root, n, e, sketch, own; stray): links
+    that join two components, each component joined once."""
+
+    def links(x: pa.Table, y: pa.Table) -> Iterator[tuple[int, int]]:
+        above: dict[int, int] = {}
+
+        def find(r: int) -> int:
+            while r in above:
+                r = above[r]
+            return r
+
+        n, e, row, root = (_numbers(x[c].combine_chunks()) for c in ("n", "e", "row", "root"))
+        m, g, row2, root2 = (_numbers(y[c].combine_chunks()) for c in ("n", "e", "row", "root"))
+        stray, p, q = y["stray"].to_numpy(), _sketches(x["sketch"]), _sketches(y["sketch"])
+        sets, sets2 = ([np.frombuffer(v.as_buffer(), K.U64) for v in t["own"]] for t in (x, y))
+        for i in range(len(n)):
+            # two strays meet once, by their numbers
+            ok = (root2 != root[i]) & (~stray | (row2 > row[i])) & sizes_allow(n[i], m, percent)
+            ok = np.flatnonzero(ok)
+            differ = np.bitwise_count(q[ok] ^ p[i]).sum(axis=1)
+            near = differ <= sketch_limit(n[i], m[ok], e[i], g[ok], percent / 100)
+            for j in ok[near][np.argsort(differ[near], kind="stable")].tolist():
+                a, b = find(int(root[i])), find(int(root2[j]))
+                if a != b and linked(sets[i], sets2[j], percent):
+                    above[max(a, b)] = min(a, b)
+                    yield int(row[i]), int(row2[j])
+
+    def run(strays: pa.Table, members: pa.Table) -> pa.Table:
+        def cut(t: pa.Table) -> dict[tuple, pa.Table]:
+            t = t.sort_by([("grp", "ascending"), ("i", "ascending"), ("j", "ascending")])
+            v = np.stack([_numbers(t[c].combine_chunks()) for c in ("grp", "i", "j")])
+            edge = [0, *(np.flatnonzero((v[:, 1:] != v[:, :-1]).any(axis=0)) + 1).tolist(), t.num_rows]
+            return {tuple(v[:, a].tolist()): t.slice(a, b - a) for a, b in zip(edge[:-1], edge[1:], strict=True) if b > a}
+
+        other = cut(members)
+        found = [p for k, x in cut(strays).items() if k in other for p in links(x, other[k])]
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+    return run
+
+
+def _buckets(rows: DataFrame, size: str) -> int:
+    """How many buckets of about TASK bytes the rows fill."""
+    return max(1, -(-int(rows.agg(F.sum(F.expr(size))).first()[0] or 0) // TASK))
+
+
+def _met(left: DataFrame, right: DataFrame, f: Callable[[pa.Table, pa.Table], pa.Table]) -> DataFrame:
+    """f over the rows of either side of each bucket."""
+    left, right = (t.toDF(*t.columns) for t in (left, right))  # columns of their own
+    return left.groupBy("bucket").cogroup(right.groupBy("bucket")).applyInArrow(f, "a long, b long")
+
+
+def _star_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of the pairs (a: a centre, b) those that are links."""
+    x = sets.select(F.col("row").alias("a"), F.col("n").alias("m"), F.col("e").alias("g"), F.col("sketch").alias("x"))
+    y = sets.select(F.col("row").alias("b"), "n", "e", F.col("sketch").alias("y"))
+    likely = settle(map_arrow(pairs.join(x, "a").join(y, "b"), _likely(percent), "a long, b long, n long"))
+    # a centre's pairs are dealt to as many parts as their sets need; it goes to each once
+    parts = settle(likely.groupBy("a").agg(F.ceil(F.sum("n") * 8 / TASK).cast("int").alias("parts")))
+    buckets = _buckets(likely, "n * 8")
+    bucket = F.pmod(F.xxhash64("a", "part"), F.lit(buckets)).alias("bucket")
+    dealt = likely.join(parts, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int")).select("a", "b", bucket)
+    left = dealt.join(sets.select(F.col("row").alias("b"), "own"), "b").select("bucket", "a", "b", "own")
+    right = parts.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("a", bucket).distinct()
+    right = right.join(sets.select(F.col("row").alias("a"), "own"), "a").select("bucket", "a", "own")
+    out = settle(_met(left, right, _confirm(percent)))
+    release(likely, parts)
+    return out
+
+
+def _stray_links(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between components, from rows (key, row, root, grp), grp the root of the key's centre."""
+    strays = placed.where("root != grp")
+    mixed = placed.join(strays.select("key").distinct(), "key", "left_semi")
+    rows = mixed.select("grp", "row", "root").distinct().join(sets.select("row", "n"), "row").withColumn("stray", F.expr("root != grp"))
+    rows = settle(rows)
+    blocks = rows.groupBy("grp").agg(F.ceil(F.sum(F.col("n") * 8) / TASK).cast("int").alias("jj"), F.ceil(F.sum(F.when(F.col("stray"), F.col("n") * 8)) / TASK).cast("int").alias("ii"))
+    rows2 = rows.join(blocks, "grp")
+    turn = lambda n: F.pmod(F.xxhash64("row"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    x = settle(rows2.where("stray").withColumn("i", turn("ii")).withColumn("j", every("jj")).select("grp", "i", "j", "row", "root", "n"))
+    y = settle(rows2.withColumn("j", turn("jj")).withColumn("i", every("ii")).select("grp", "i", "j", "row", "root", "stray", "n"))
+    buckets = _buckets(x.select("n").union(y.select("n")), "n * 8")
+    bucket = F.pmod(F.xxhash64("grp", "i", "j"), F.lit(buckets)).alias("bucket")
+    whole = sets.select("row", "e", "sketch", "own")
+    left, right = (t.select("*", bucket).join(whole, "row") for t in (x, y))
+    out = settle(_met(left, right, _join_strays(percent)))
+    release(rows, x, y)
+    return out
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -153,44 +276,35 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     (the id is the component's).  Links: similarity of shingle sets >= percent / 100."""
     rows = only(df, id=id_col, text=text_col)
     kind = rows.schema["id"].dataType.simpleString()
-    words = range(SKETCH // 64)
-    made = settle(map_arrow(rows, _features(shingle), f"id {kind}, n long, s1 long, s2 long, keys array<long>, sketch array<long>"))
-    full = made.where("n > 0 and id is not null")
+    made = map_arrow(rows, _features(shingle), f"id {kind}, n long, s1 long, s2 long, keys array<long>, e long, sketch binary, own binary")
+    made = settle(made.withColumn("row", F.monotonically_increasing_id()))
+    base = settle(made.select("id", "n", "s1", "s2", "row"))
     # a repeated id has the least of its sets
-    chosen = full.groupBy("id").agg(F.min(F.struct("n", "s1", "s2")).alias("set")).select("id", "set.*")
-    classes = settle(chosen.groupBy("n", "s1", "s2").agg(F.min("id").alias("rep")))
+    chosen = base.where("n > 0 and id is not null").groupBy("id").agg(F.min(F.struct("n", "s1", "s2", "row")).alias("set")).select("id", "set.*")
+    classes = settle(chosen.groupBy("n", "s1", "s2").agg(F.min(F.struct("id", "row")).alias("rep")).select("n", "s1", "s2", F.col("rep.row").alias("rep")))
     member = settle(chosen.join(classes, ["n", "s1", "s2"]).select("id", "rep"))
-    sets = classes.select(F.col("rep").alias("id"), "n", "s1")
-    reps = full.join(classes.select(F.col("rep").alias("id"), "n", "s1", "s2"), ["id", "n", "s1", "s2"], "left_semi").dropDuplicates(["id"])
-    sketches = [F.col("sketch")[i].alias(f"o{i}") for i in words]
-    keyed = reps.select("id", "n", F.explode("keys").alias("key"), *sketches)
+    keyed = made.select("row", "keys").join(classes.select(F.col("rep").alias("row")), "row", "left_semi").select("row", F.explode("keys").alias("key"))
     # a key that one class alone has links nothing
-    shared = keyed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
-    slim = settle(keyed.select("id", "key").join(shared, "key"))
-    weight = slim.groupBy("id").agg(F.sum("members").alias("weight"))
-    centre = slim.join(weight, "id").groupBy("key").agg(F.min(F.struct(-F.col("weight"), "id")).alias("c")).select("key", F.col("c.id").alias("first"))
-    banded = settle(keyed.join(centre, "key"))
-    facts = reps.select("id", "n", *sketches)
-    other = facts.toDF("first", "n2", *[f"p{i}" for i in words])
-    alike = " + ".join(f"bit_count(o{i} ^ p{i})" for i in words) + f" <= {sketch_limit(percent / 100)}"
-    near = f"100 * least(n, n2) >= {percent} * greatest(n, n2) and {alike}"
-    star = banded.where("id != first").select("id", "first", "n", *[f"o{i}" for i in words]).distinct()
-    pairs = star.join(other, "first").where(near).select(F.col("first").alias("a"), F.col("id").alias("b"))
-    links = _confirmed(pairs, rows, sets, shingle, percent)
-    # what the stars left: keys with more than one component
+    common = keyed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
+    slim = settle(keyed.join(common, "key"))
+    sets = settle(made.select("row", "n", "e", "sketch", "own").join(slim.select("row").distinct(), "row", "left_semi"))
+    release(made, classes)
+    weight = slim.groupBy("row").agg(F.sum("members").alias("weight"))
+    centre = slim.join(weight, "row").groupBy("key").agg(F.min(F.struct(-F.col("weight"), "row")).alias("c")).select("key", F.col("c.row").alias("first"))
+    banded = settle(slim.select("row", "key").join(centre, "key"))
+    pairs = banded.where("row != first").select(F.col("first").alias("a"), F.col("row").alias("b")).distinct()
+    links = _star_links(pairs, sets, percent)
     roots = settle(components(links))
-    rooted = banded.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    rooted = rooted.join(roots.toDF("first", "first_root"), "first", "left").withColumn("first_root", F.coalesce("first_root", "first"))
-    rooted = settle(rooted)
-    strays = rooted.where("root != first_root")
-    mixed = rooted.join(strays.select("key").distinct(), "key", "left_semi").where("id != first")
-    right = strays.select(F.col("key").alias("key2"), F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("root").alias("root2"), *[F.col(f"o{i}").alias(f"p{i}") for i in words])
-    # two strays meet once, by their ids
-    met = F.expr(f"key = key2 and root != root2 and (root = first_root or id < id2) and {near}")
-    rest = mixed.join(right, met).select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
-    more = _confirmed(rest, rows, sets, shingle, percent)
+    rooted = banded.join(roots.withColumnRenamed("node", "row"), "row", "left").withColumn("root", F.coalesce("root", "row"))
+    rooted = rooted.join(roots.toDF("first", "grp"), "first", "left").select("key", "row", "root", F.coalesce("grp", "first").alias("grp"))
+    placed = settle(rooted)
+    more = _stray_links(placed, sets, percent)
+    release(slim, banded, placed, sets)
     found = settle(components(links.union(more)))
+    release(links, more, roots)
     whole = member.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("id", F.coalesce("root", "rep").alias("root"))
-    out = made.select("id", "n").join(whole, "id", "left")
-    root = F.coalesce("root", "id")
+    least = whole.groupBy("root").agg(F.min("id").alias("least"))
+    whole = whole.join(least, "root").select("id", "least")
+    out = base.select("id", "n").join(whole, "id", "left")
+    root = F.coalesce("least", "id")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), root.alias("component_id"), F.col("id").eqNullSafe(root).alias("kept"))
