@@ -121,29 +121,49 @@ def _blobs(h: np.ndarray, first: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(first) - 1, [None, pa.py_buffer((first * 8).astype(np.int32)), pa.py_buffer(data)])
 
 
+def _sums(h: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Two 64-bit sums over each set; 0 for empty ones."""
+    out, full = np.zeros((2, len(first) - 1), dtype=K.U64), np.flatnonzero(np.diff(first))
+    if len(full):
+        out[0, full] = np.add.reduceat(h, first[:-1][full])
+        out[1, full] = np.add.reduceat(K.mix(h), first[:-1][full])
+    return out.view(np.int64)
+
+
 def _features(size: int):
+    """Size, sums and band keys of each text's set."""
+
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for s, h, first in shingle_sets(batch.column(1), size):
             n = np.diff(first)
             full = np.flatnonzero(n)
-            begin = first[:-1][full]
-            sums = np.zeros((2, len(n)), dtype=K.U64)
+            sums = _sums(h, first)
             keys = np.zeros((len(n), BANDS), dtype=np.int64)
             if len(full):
-                sums[0, full] = np.add.reduceat(h, begin)
-                sums[1, full] = np.add.reduceat(K.mix(h), begin)
-                samples = minhash(h, np.append(begin, len(h)))
+                samples = minhash(h, np.append(first[:-1][full], len(h)))
                 for b in range(BANDS):
                     key = np.full(len(full), b + 1, dtype=K.U64)
                     for row in samples[b * ROWS : (b + 1) * ROWS]:
                         key = K.mix(key * K.U64(0x9E3779B97F4A7C15) + row)
                     keys[full, b] = key.view(np.int64)
-            sketch, e = odd_sketch(h, first)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * BANDS), pa.array(keys.reshape(-1)))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(s.lo, s.hi - s.lo), pa.array(n.astype(np.int64)), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), lists, pa.array(e.astype(np.int64)), _blobs(sketch.reshape(-1), np.arange(len(n) + 1) * (SKETCH // 64)), _blobs(h, first)],
-                names=["id", "n", "s1", "s2", "keys", "e", "sketch", "own"],
-            )
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(s.lo, s.hi - s.lo), pa.array(n.astype(np.int64)), pa.array(sums[0]), pa.array(sums[1]), lists], names=["id", "n", "s1", "s2", "keys"])
+
+    return run
+
+
+def _sets(size: int):
+    """The sketch and the set of each text (text, row, n, s1, s2) whose size and sums these are."""
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        n, s1, s2 = (batch.column(c).to_numpy() for c in ("n", "s1", "s2"))
+        for s, h, first in shingle_sets(batch.column(0), size):
+            sums, part = _sums(h, first), slice(s.lo, s.hi)
+            own = pa.array((np.diff(first) == n[part]) & (sums[0] == s1[part]) & (sums[1] == s2[part]))
+            sketch, e = odd_sketch(h, first)
+            blobs = [_blobs(sketch.reshape(-1), np.arange(len(e) + 1) * (SKETCH // 64)), _blobs(h, first)]
+            out = [batch.column("row").slice(s.lo, s.hi - s.lo), batch.column("n").slice(s.lo, s.hi - s.lo), pa.array(e.astype(np.int64)), *blobs]
+            yield pa.RecordBatch.from_arrays([c.filter(own) for c in out], names=["row", "n", "e", "sketch", "own"])
 
     return run
 
@@ -276,19 +296,21 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     (the id is the component's).  Links: similarity of shingle sets >= percent / 100."""
     rows = only(df, id=id_col, text=text_col)
     kind = rows.schema["id"].dataType.simpleString()
-    made = map_arrow(rows, _features(shingle), f"id {kind}, n long, s1 long, s2 long, keys array<long>, e long, sketch binary, own binary")
+    made = map_arrow(rows, _features(shingle), f"id {kind}, n long, s1 long, s2 long, keys array<long>")
     made = settle(made.withColumn("row", F.monotonically_increasing_id()))
-    base = settle(made.select("id", "n", "s1", "s2", "row"))
+    base = made.select("id", "n", "s1", "s2", "row")
     # a repeated id has the least of its sets
     chosen = base.where("n > 0 and id is not null").groupBy("id").agg(F.min(F.struct("n", "s1", "s2", "row")).alias("set")).select("id", "set.*")
-    classes = settle(chosen.groupBy("n", "s1", "s2").agg(F.min(F.struct("id", "row")).alias("rep")).select("n", "s1", "s2", F.col("rep.row").alias("rep")))
-    member = settle(chosen.join(classes, ["n", "s1", "s2"]).select("id", "rep"))
-    keyed = made.select("row", "keys").join(classes.select(F.col("rep").alias("row")), "row", "left_semi").select("row", F.explode("keys").alias("key"))
+    classes = settle(chosen.groupBy("n", "s1", "s2").agg(F.min(F.struct("id", "row")).alias("rep")).select("n", "s1", "s2", "rep.id", "rep.row"))
+    member = settle(chosen.drop("row").join(classes.select("n", "s1", "s2", F.col("row").alias("rep")), ["n", "s1", "s2"]).select("id", "rep"))
+    keyed = made.select("row", "keys").join(classes.select("row"), "row", "left_semi").select("row", F.explode("keys").alias("key"))
     # a key that one class alone has links nothing
     common = keyed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
     slim = settle(keyed.join(common, "key"))
-    sets = settle(made.select("row", "n", "e", "sketch", "own").join(slim.select("row").distinct(), "row", "left_semi"))
-    release(made, classes)
+    # a repeated text of one id may stand twice here: its pairs are then met twice
+    needed = classes.join(slim.select("row").distinct(), "row", "left_semi")
+    sets = settle(map_arrow(rows.join(needed, "id").select("text", "row", "n", "s1", "s2"), _sets(shingle), "row long, n long, e long, sketch binary, own binary"))
+    release(classes)
     weight = slim.groupBy("row").agg(F.sum("members").alias("weight"))
     centre = slim.join(weight, "row").groupBy("key").agg(F.min(F.struct(-F.col("weight"), "row")).alias("c")).select("key", F.col("c.row").alias("first"))
     banded = settle(slim.select("row", "key").join(centre, "key"))
