@@ -1,20 +1,21 @@
 """Operator 6: language identification by language-bitmask n-gram filters.
 
 For each language the n-grams that are typical of it form a set.  All sets share one
-bit-sliced Bloom filter: slot s holds a bitmask with bit l set where language l has
-some n-gram that hashes to s, so that the AND of an n-gram's slots returns, at once,
-all languages whose set contains it.  A document counts, for each language, the
+bit-sliced Bloom filter: slot s holds a bitmask (one word for each 64 languages) with bit
+l set where language l has some n-gram that hashes to s, so that the AND of an n-gram's
+slots returns, at once, all languages whose set contains it.  A document counts, for each language, the
 n-grams whose mask has its bit; the filter's false positives are subtracted (the
 share p of n-grams that hit by chance is known from how full each bit slice is, so
 the true share is (hits / n - p) / (1 - p)); the largest corrected share decides.
 
 Fitting takes a bounded sample: about ``per_language`` documents of each language (by
-a hash of the id), read by the driver.  The model is one array of 2**``bits`` masks
-(2 MB by default) whatever the corpus; at most 64 languages.
+a hash of the id), read by the driver, and one count for each language.  The model is one
+array of 2**``bits`` masks (2 MB by default for up to 64 languages) whatever the corpus.
 
 Null text or a text without letters gives ``und`` with score 0.  Ties go to the
-language first in the alphabet.  Rows are handled one by one, so that repeated rows
-and null ids pass through; with nothing to learn from every row is ``und``.
+language first in the alphabet.  Rows are handled one by one, so that repeated rows and
+null ids pass through, and other columns, whatever their names, don't matter; a null id
+is never held out, nor learned from.  With nothing to learn from every row is ``und``.
 """
 
 from __future__ import annotations
@@ -68,7 +69,7 @@ def _grams(column: pa.Array) -> Iterator[tuple[K.CodeSlab, np.ndarray, np.ndarra
 
 @dataclass
 class LanguageFilter:
-    """The bit-sliced filter: masks, and for each language the chance that a strange n-gram hits."""
+    """The bit-sliced filter: masks (slot, word), and for each language the chance that a strange n-gram hits."""
 
     languages: list[str]
     masks: np.ndarray
@@ -89,8 +90,6 @@ def fit(texts: list[str], labels: list[str], bits: int = 18, typical: float = 0.
     """A language has an n-gram if it stands in ``least`` of its texts and its rate there is
     at least ``typical`` of the highest rate among languages."""
     languages = sorted(set(labels))
-    if len(languages) > 64:
-        raise ValueError("at most 64 languages")
     grams, rates, spread = [], [], []
     for x in languages:
         own = pa.array([t for t, y in zip(texts, labels, strict=True) if y == x], pa.string())
@@ -110,13 +109,13 @@ def fit(texts: list[str], labels: list[str], bits: int = 18, typical: float = 0.
     for g, r in zip(grams, rates, strict=True):
         at = np.searchsorted(every, g)
         best[at] = np.maximum(best[at], r)
-    model = LanguageFilter(languages, np.zeros(1 << bits, dtype=K.U64), np.zeros(len(languages)))
+    model = LanguageFilter(languages, np.zeros((1 << bits, max(1, -(-len(languages) // 64))), dtype=K.U64), np.zeros(len(languages)))
     for i, (g, r, n) in enumerate(zip(grams, rates, spread, strict=True)):
         chosen = g[(r >= typical * best[np.searchsorted(every, g)]) & (n >= min(least, max(1, n.max(initial=1))))]
         for s in model.slots(chosen):
-            np.bitwise_or.at(model.masks, s, K.U64(1 << i))
+            model.masks[s, i >> 6] |= K.U64(1 << (i & 63))
     for i in range(len(languages)):
-        model.chance[i] = ((model.masks >> K.U64(i)) & K.U64(1)).mean() ** HASHES
+        model.chance[i] = ((model.masks[:, i >> 6] >> K.U64(i & 63)) & K.U64(1)).mean() ** HASHES
     return model
 
 
@@ -131,7 +130,7 @@ def decide(model: LanguageFilter, column: pa.Array) -> tuple[list[str], np.ndarr
         share = np.zeros((max(1, len(model.languages)), docs))
         mask = model.lookup(h)
         for i, p in enumerate(model.chance):
-            hits = np.bincount(doc, ((mask >> K.U64(i)) & K.U64(1)).astype(np.float64), minlength=docs)
+            hits = np.bincount(doc, ((mask[:, i >> 6] >> K.U64(i & 63)) & K.U64(1)).astype(np.float64), minlength=docs)
             share[i] = (hits / n - p) / (1 - p)
         best = np.argmax(share, axis=0)
         known = (letters > 0) & (len(model.languages) > 0)
@@ -143,17 +142,14 @@ def decide(model: LanguageFilter, column: pa.Array) -> tuple[list[str], np.ndarr
 def learn(df: DataFrame, per_language: int = 400, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageFilter:
     """Fit on about ``per_language`` rows of each language, chosen by a hash of the id,
     among those that aren't held out and have a language and text."""
-    rows = only(df, doc_id=id_col, text=text_col, lang=lang_col).where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(65).collect()}
-    if len(counts) > 64:
-        raise ValueError("at most 64 languages")
+    rows = only(df, doc_id=id_col, text=text_col, lang=lang_col).where(~held_out() & F.expr("doc_id is not null and lang is not null and text is not null"))
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return fit([], [])
     scale = 1 << 30
     place = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("language")), F.lit(scale))
-    chosen = F.lit(False)
-    for lang, n in counts.items():
-        chosen |= (F.col("lang") == lang) & (place < int(scale * min(1.0, per_language / n)))
+    limit = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, int(scale * min(1.0, per_language / n)))])
+    chosen = place < limit[F.col("lang")]
     sample = rows.where(chosen).select("text", "lang").toPandas()
     return fit(sample["text"].tolist(), sample["lang"].tolist())
 
