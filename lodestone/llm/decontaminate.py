@@ -35,6 +35,8 @@ from .common import only
 
 WINDOW = 10
 SAMPLE = 8
+#: Bytes of a shard.
+SHARD = 4 << 20
 
 
 def word_bytes() -> np.ndarray:
@@ -233,7 +235,7 @@ def _scan_rows(groups: list[Phrases], names: np.ndarray):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for s in K.slabs(batch.column(1), 0):
+            for s in K.slabs(batch.column(1), 0, SHARD):
                 n_words, spans, items = scan(groups, s)
                 part = batch.slice(s.lo, s.hi - s.lo)
                 spans = [merge_spans([np.array(x, dtype=np.int64), y]).tolist() if x else y.tolist() for x, y in zip(part.column(3).to_pylist(), spans, strict=True)]
@@ -263,17 +265,33 @@ def contamination(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
     kind = rows.schema["id"].dataType.simpleString()
     schema = f"id {kind}, text string, n_words long, spans array<bigint>, items array<string>"
     out = rows.select("id", "text", F.lit(0).cast("long").alias("n_words"), F.array().cast("array<bigint>").alias("spans"), F.array().cast("array<string>").alias("items"))
-    for ids, texts in [*_blocks(benchmark, item_col, text_col, block_words)] or [([], [])]:
-        out = out.mapInArrow(_scan_rows(phrases_of(ids, texts, window), np.array(ids, dtype=object)), schema)
+    empty = True
+    for ids, texts in _blocks(benchmark, item_col, text_col, block_words):
+        out, empty = out.mapInArrow(_scan_rows(phrases_of(ids, texts, window), np.array(ids, dtype=object)), schema), False
+    if empty:
+        out = out.mapInArrow(_scan_rows([], np.array([], dtype=object)), schema)
     return out.select(F.col("id").alias(id_col), "n_words", "spans", "items")
 
 
-def remove_spans(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of df, all columns kept, without those whose text holds a test phrase."""
-    names = [f"c{i}" for i in range(len(df.columns))]
-    key = names[[c.lower() for c in df.columns].index(id_col.lower())]
-    found = contamination(df, benchmark, id_col, text_col, **options).where(F.size("items") > 0).select(F.col(id_col).alias("hit_id"))
-    return df.toDF(*names).join(found.distinct(), F.col(key).eqNullSafe(F.col("hit_id")), "left_anti").toDF(*df.columns)
+def without_phrases(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", window: int = WINDOW, block_words: int = 2_000_000) -> DataFrame:
+    """The rows of df, all columns kept, whose text holds no test phrase: each row is judged
+    where it is read, block by block of the benchmark, without a join."""
+    at = [c.lower() for c in df.columns].index(text_col.lower())
+    out = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    schema = out.schema
+
+    def pick(groups: list[Phrases]):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for s in K.slabs(batch.column(at), 0, SHARD):
+                    clean = [not len(x) for x in scan(groups, s)[1]]
+                    yield batch.slice(s.lo, s.hi - s.lo).filter(pa.array(clean, pa.bool_()))
+
+        return run
+
+    for ids, texts in _blocks(benchmark, item_col, text_col, block_words):
+        out = out.mapInArrow(pick(phrases_of(ids, texts, window)), schema)
+    return out.toDF(*df.columns)
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -1,6 +1,6 @@
 """Vectorised text kernels shared by the operators of this subpackage.
 
-Every kernel works on a *slab*: a few megabytes of UTF-8 from consecutive
+Every kernel works on a *slab*: about a megabyte of UTF-8 from consecutive
 documents of one Arrow batch, laid out in one byte array with one separator
 byte between documents, so that NumPy touches each byte a handful of times and
 no Python loop runs per word.  Slabs bound memory; a longer document gets a
@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLAB_BYTES = 4 << 20
+SLAB_BYTES = 1 << 20
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1

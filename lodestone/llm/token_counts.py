@@ -38,6 +38,8 @@ from .common import Blocks, only, pack, unpack
 SEPARATOR = 0x10FFFF
 BUCKETS = 64
 MEMO = 400_000
+#: Larger slabs have fewer distinct pre-tokens in all.
+SLAB = 4 << 20
 
 
 @cache
@@ -87,7 +89,7 @@ def _map(special: list[str], buckets: int):
         for batch in batches:
             ids, column = batch.column(0), batch.column(1)
             sizes = np.diff(K.utf8_column(column)[1])
-            for s in K.code_slabs(column, SEPARATOR):
+            for s in K.code_slabs(column, SEPARATOR, SLAB):
                 number, docs = block(), s.hi - s.lo
                 base = np.zeros(docs, dtype=np.int64)
                 data = s.data
