@@ -7,20 +7,24 @@ tokens are dropped, which leaves about 2 / least of the tokens a function.
 
 Passages with equal least tokens meet.  One shingle alone may be frequent, so a window is
 keyed by its token and the one ``REACH`` tokens after it, and by its token and the one
-``REACH`` before it; a passage keeps one of both inside.  Exact copies form one text, with
-one set of windows.  Every two different texts that share a key meet, those of a key with
-over ``BLOCK`` members in blocks, and are verified once, on all their windows under the
-keys they share: a run of ``least`` tokens counts if the share of its tokens that the other
-text's runs have gives a similarity of ``percent`` or more.  So a group of k different
-texts costs k squared: links are counted over all of its pairs.
-
-A document's result are the merged spans of its text's runs, on either side, and the
-class: the least document reachable over confirmed pairs.  Copies confirm their whole text.
-A near copy is missed only if no key is shared: with FUNCTIONS functions and two keys a
-window that takes an edit beside each of its least shingles.
+``REACH`` before it; a passage keeps one of both inside.  Exact copies form one text.  The
+texts of a key are verified against the key's centre, the text whose keys have the most
+members; those that this leaves outside the centre's component against the members of the
+component's keys, in blocks (``stars``).  So no pair that isn't confirmed becomes a row.
+
+Verification takes whole texts: a run of ``least`` tokens counts if the share of its tokens
+that the other text's runs have gives a similarity of ``percent`` or more.  A document's
+result are the class, the least document reachable over confirmed pairs, and the merged
+spans of its runs against every text that it was verified with: the centres of its keys,
+and for strays one of each component that they join.  (Where two texts share more with
+each other than with their centre, a span may end early; no text of a class is without.)
+Copies confirm their whole text.  A near copy is missed only if no key is shared: with
+FUNCTIONS functions and two keys a window that takes an edit beside each of its least
+shingles.
 
 Null and short texts: no spans, a class of their own.  Null ids take no part.  Rows of one
-id aren't compared with each other; where their texts differ each row has its own result.
+id with different texts are compared like others, and each row has its own result.  Other
+columns don't matter, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,20 +33,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import map_arrow, only, settle
+from . import stars as S
+from .common import map_arrow, only, release, settle
 from .components import components
 from .near_dedup import ascii_space_words
 
 FUNCTIONS, REACH = 4, 15
-#: Bytes of texts taken at a time, and of passages in one batch, but for a longer one; pairs verified at a time.
-SLAB, BATCH, PAIRS = 1 << 20, 2 << 20, 256
-#: Members of a key that meet all others of it in one task.
-BLOCK = 256
+#: Tokens of the pairs that are verified at a time, but for one pair of more.
+BATCH = 1 << 19
 
 
 def tokens(s: K.Slab, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -118,50 +120,27 @@ def keyed_windows(doc: np.ndarray, h: np.ndarray, least: int) -> tuple[np.ndarra
 
 def _keys(shingle: int, least: int):
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for s in K.slabs(batch.column(2), 0x20, SLAB):
+        for s in K.slabs(batch.column(1), 0x20):
             doc, h = tokens(s, shingle)
             if not len(h):
                 continue
             key, left, _ = keyed_windows(doc, h, least)
             d, key = K.distinct_pairs(doc[left], key)
-            to = pa.array(d + s.lo)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(to), batch.column(1).take(to), pa.array(key)], names=["id", "t", "key"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(d + s.lo)), pa.array(key)], names=["row", "key"])
 
     return run
 
 
-def _passages(shingle: int, least: int):
-    """For each asked (pair, side, keys) of a text the merged windows under the keys (``at``: starts
-    and ends alternating) and their tokens, by 32 bits: a chance match changes one token in 46."""
-
-    def flush(rows: list[tuple]) -> pa.RecordBatch:
-        pair, side, at, blob = zip(*rows, strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(pair, pa.int64()), pa.array(side, pa.int32()), pa.array(at, pa.list_(pa.int64())), pa.array(blob, pa.binary())], names=["pair", "side", "at", "tokens"])
+def _sets(shingle: int):
+    """Each text's tokens by 32 bits: a chance match changes one token in 46."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for s in K.slabs(batch.column(0), 0x20, SLAB):
+        for s in K.slabs(batch.column(1), 0x20):
             doc, h = tokens(s, shingle)
-            key, left, right = keyed_windows(doc, h, least)
-            order = np.lexsort((left, doc[left]))
-            key, left, right = key[order], left[order], right[order]
-            h = (h >> K.U64(32)).astype(np.uint32)
             first = np.searchsorted(doc, np.arange(s.hi - s.lo + 1))
-            begin = np.searchsorted(doc[left], np.arange(s.hi - s.lo + 1))
-            rows, size = [], 0
-            for i in range(s.hi - s.lo):
-                k, a, b = (v[begin[i] : begin[i + 1]] for v in (key, left, right))
-                for q in batch.column(1)[s.lo + i].values:
-                    mine = np.isin(k, q["keys"].values.to_numpy())
-                    l, r = a[mine], np.maximum.accumulate(b[mine] + 1)
-                    turn = np.flatnonzero(l[1:] > r[:-1])
-                    at = np.stack((l[np.append(0, turn + 1)], r[np.append(turn, len(r) - 1)]), 1)
-                    rows.append((q["pair"].as_py(), q["side"].as_py(), (at - first[i]).reshape(-1), b"".join(h[x:y].tobytes() for x, y in at.tolist())))
-                    size += len(rows[-1][3])
-                    if size > BATCH:
-                        yield flush(rows)
-                        rows, size = [], 0
-            if rows:
-                yield flush(rows)
+            data = (h >> K.U64(32)).astype(np.uint32).view(np.uint8)
+            own = pa.Array.from_buffers(pa.binary(), s.hi - s.lo, [None, pa.py_buffer((first * 4).astype(np.int32)), pa.py_buffer(data)])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(s.lo, s.hi - s.lo), pa.array(np.diff(first) * 4), own], names=["row", "size", "own"])
 
     return run
 
@@ -181,88 +160,177 @@ def matched(x: np.ndarray, part: np.ndarray, other: np.ndarray, least: int, need
     return np.flatnonzero(begins), np.flatnonzero(ends) + 1
 
 
-def _verify(least: int, percent: int):
-    # m of n shared in both: m / (2 n - m) >= percent / 100
-    needed = -(-2 * least * percent // (100 + percent))
+Run = tuple[int, int]
 
-    def side(at: pa.Array, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Tokens under their pair's number, each token's part, and its place in the text."""
-        own = [np.frombuffer(v.as_buffer(), np.uint32) for v in column]
-        edge = at.flatten().to_numpy().reshape(-1, 2)
-        size = edge[:, 1] - edge[:, 0]
-        place = np.arange(int(size.sum())) + np.repeat(edge[:, 0] - (np.cumsum(size) - size), size)
-        return np.concatenate(own).astype(K.U64) | (np.repeat(np.arange(len(own), dtype=K.U64), [len(v) for v in own]) << K.U64(32)), np.repeat(np.arange(len(size)), size), place
+
+def verified(pairs: list[tuple[np.ndarray, np.ndarray]], least: int, needed: int) -> Iterator[tuple[int, list[Run], list[Run]]]:
+    """Of pairs of texts' tokens the confirmed ones, by number, with the runs of both sides."""
+
+    def side(own: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Tokens under their pair's number, their pair, and where each pair's begin."""
+        size = np.array([len(v) for v in own])
+        part = np.repeat(np.arange(len(own)), size)
+        return np.concatenate(own).astype(K.U64) | (part.astype(K.U64) << K.U64(32)), part, np.cumsum(size) - size
 
     def within(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return x[np.cumsum(np.bincount(a, minlength=len(x) + 1) - np.bincount(b, minlength=len(x) + 1))[:-1] > 0]
 
-    def edges(x: np.ndarray, place: np.ndarray, a: np.ndarray, b: np.ndarray, pairs: int) -> pa.Array:
-        offsets = 2 * np.searchsorted((x[a] >> K.U64(32)).astype(np.int64), np.arange(pairs + 1))
-        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.stack((place[a], place[b - 1] + 1), 1).reshape(-1)))
+    def runs(part: np.ndarray, first: np.ndarray, a: np.ndarray, b: np.ndarray) -> dict[int, list[Run]]:
+        out: dict[int, list[Run]] = {}
+        for p, l, r in zip(part[a].tolist(), (a - first[part[a]]).tolist(), (b - first[part[a]]).tolist(), strict=True):
+            out.setdefault(p, []).append((l, r))
+        return out
+
+    lo = 0
+    while lo < len(pairs):
+        hi, total = lo, 0
+        while hi < len(pairs) and (hi == lo or total + len(pairs[hi][0]) + len(pairs[hi][1]) <= BATCH):
+            total += len(pairs[hi][0]) + len(pairs[hi][1])
+            hi += 1
+        (x, part_x, first_x), (y, part_y, first_y) = side([p for p, _ in pairs[lo:hi]]), side([q for _, q in pairs[lo:hi]])
+        # each side's runs against the other's runs, not against tokens scattered over it
+        own_y = matched(y, part_y, x, least, needed)
+        own_x = matched(x, part_x, within(y, *own_y), least, needed)
+        own_y = matched(y, part_y, within(x, *own_x), least, needed)
+        left, right = runs(part_x, first_x, *own_x), runs(part_y, first_y, *own_y)
+        for p in sorted(left.keys() & right.keys()):
+            yield lo + p, left[p], right[p]
+        lo = hi
+
+
+class Found:
+    """Links and, per text, merged runs; as a table with a row for each."""
+
+    def __init__(self) -> None:
+        self.links: list[tuple[int, int]] = []
+        self.runs: dict[int, list[Run]] = {}
+
+    def add(self, row: int, runs: list[Run]) -> None:
+        own = self.runs.setdefault(row, [])
+        own += runs
+        if len(own) > 64:
+            self.runs[row] = union(own)
+
+    def table(self) -> pa.Table:
+        a, b = ([v[k] for v in self.links] + [None] * len(self.runs) for k in (0, 1))
+        rows = [None] * len(self.links) + list(self.runs)
+        spans = [None] * len(self.links) + [[e for run in union(v) for e in run] for v in self.runs.values()]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "row": pa.array(rows, pa.int64()), "spans": pa.array(spans, pa.list_(pa.int64()))})
+
+
+FOUND = "a long, b long, row long, spans array<long>"
+
+
+def union(runs: list[Run]) -> list[Run]:
+    out: list[Run] = []
+    for a, b in sorted(runs):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def _tokens(column: pa.ChunkedArray) -> list[np.ndarray]:
+    return [np.frombuffer(v.as_buffer(), np.uint32) for v in column]
+
+
+def _verify(least: int, needed: int):
+    """Texts against their centres."""
+
+    def run(pairs: pa.Table, centres: pa.Table) -> pa.Table:
+        sets = dict(zip(centres["a"].to_pylist(), _tokens(centres["own"]), strict=True))
+        a, b = pairs["a"].to_pylist(), pairs["b"].to_pylist()
+        found = Found()
+        for k, x, y in verified([(sets[c], own) for c, own in zip(a, _tokens(pairs["own"]), strict=True)], least, needed):
+            found.links.append((a[k], b[k]))
+            found.add(a[k], x)
+            found.add(b[k], y)
+        return found.table()
 
-    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for lo in range(0, batch.num_rows, PAIRS):
-            pair, ax, bx, ay, by = [c.slice(lo, PAIRS) for c in batch.columns[:5]]
-            (x, part_x, place_x), (y, part_y, place_y) = side(ax, bx), side(ay, by)
-            # each side's runs against the other's runs, not against tokens scattered over it
-            own_y = matched(y, part_y, x, least, needed)
-            own_x = matched(x, part_x, within(y, *own_y), least, needed)
-            own_y = matched(y, part_y, within(x, *own_x), least, needed)
-            ex, ey = edges(x, place_x, *own_x, len(pair)), edges(y, place_y, *own_y, len(pair))
-            sure = pc.and_(pc.greater(pc.list_value_length(ex), 0), pc.greater(pc.list_value_length(ey), 0))
-            yield pa.RecordBatch.from_arrays([pair.filter(sure), ex.filter(sure), ey.filter(sure)], names=["pair", "x", "y"])
+    return run
+
+
+def _verify_strays(least: int, needed: int):
+    """Strays against members: one confirmed pair for each component that a stray joins."""
+
+    def run(strays: pa.Table, members: pa.Table) -> pa.Table:
+        found = Found()
+        for x, y in S.blocks(strays, members):
+            joined = S.Joined()
+            row, root = (S.numbers(x[c]) for c in ("row", "root"))
+            row2, root2, stray = (S.numbers(y[c]) for c in ("row", "root", "stray"))
+            own, own2 = _tokens(x["own"]), _tokens(y["own"])
+            # the distinct (token, text) of the members, by token
+            size = np.array([len(v) for v in own2])
+            flat = np.unique((np.concatenate(own2).astype(K.U64) << K.U64(32)) | np.repeat(np.arange(len(own2)), size).astype(K.U64))
+            word, of = (flat >> K.U64(32)).astype(np.uint32), (flat & K.U64(0xFFFFFFFF)).astype(np.int64)
+            for i, tokens_i in enumerate(own):
+                lo, hi = np.searchsorted(word, tokens_i), np.searchsorted(word, tokens_i, side="right")
+                times = hi - lo
+                at = np.repeat(np.arange(len(tokens_i)), times)
+                text = of[np.arange(len(at)) + np.repeat(lo - (np.cumsum(times) - times), times)]
+                # two strays meet once, by their numbers
+                ok = ((root2 != root[i]) & (~stray | (row2 > row[i])))[text]
+                at, text = at[ok], text[ok]
+                order = np.argsort(text, kind="stable")
+                at, text = at[order], text[order]
+                # texts that have ``needed`` of some run of ``least`` tokens
+                n = max(0, len(at) - needed + 1)
+                near = (text[needed - 1 :] == text[:n]) & (at[needed - 1 :] - at[:n] < least)
+                for j in np.unique(text[:n][near]).tolist():
+                    a, b = int(root[i]), int(root2[j])
+                    if joined.root(a) == joined.root(b):
+                        continue
+                    for _, p, q in verified([(tokens_i, own2[j])], least, needed):
+                        joined.join(a, b)
+                        found.links.append((int(row[i]), int(row2[j])))
+                        found.add(int(row[i]), p)
+                        found.add(int(row2[j]), q)
+        return found.table()
 
     return run
 
 
 def near_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 50, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """Per row: its id, n_links (other texts confirmed against its own, and one for all
-    its copies), n_spans, spans
-    (start and end in words, alternating, merged) and class_id."""
+    """Per row: its id, n_spans, spans (start and end in words, alternating, merged) and class_id."""
     least = words - shingle + 1
+    # m of n shared in both: m / (2 n - m) >= percent / 100
+    needed = -(-2 * least * percent // (100 + percent))
     rows = only(df, id=id_col, text=text_col)
-    kind = rows.schema["id"].dataType.simpleString()
-    part = rows.where("id is not null and text is not null").select("id", F.xxhash64("text").alias("t"), "text")
-    # id: of a text that no other id has
-    held = part.groupBy("t").agg(F.min("id").alias("id"), F.max("id").alias("most"), F.min_by("text", "id").alias("text"))
-    texts = settle(held.select(F.when(F.col("id") == F.col("most"), F.col("id")).alias("id"), "t", "text"))
-    keys = map_arrow(texts, _keys(shingle, least), f"id {kind}, t long, key long")
+    part = rows.where("id is not null and text is not null").select("id", F.xxhash64("text").alias("row"), "text")
+    texts = settle(part.groupBy("row").agg(F.min("id").alias("id"), (F.min("id") != F.max("id")).alias("copies"), F.first("text").alias("text")))
+    keys = map_arrow(texts.select("row", "text"), _keys(shingle, least), "row long, key long")
     # a key of one text alone links nothing
-    members = keys.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
-    members = settle(members.select("key", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks")))
-    shared = settle(keys.join(members, "key"))
-    # each text in one block of a key, met by all texts of the key
-    one = shared.select("key", "id", "t", F.pmod(F.xxhash64("t"), "blocks").cast("int").alias("block"))
-    other = shared.select("key", F.col("id").alias("id2"), F.col("t").alias("t2"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    met = one.join(other, ["key", "block"]).where("t < t2 and coalesce(id != id2, true)")
-    pairs = settle(met.groupBy("t", "t2").agg(F.collect_list("key").alias("keys")).withColumn("pair", F.xxhash64("t", "t2")))
-    sides = pairs.select("t", F.struct("pair", F.lit(0).alias("side"), "keys").alias("q")).union(pairs.select("t2", F.struct("pair", F.lit(1).alias("side"), "keys").alias("q")))
-    # a frequent partner's passages are asked for in parts
-    asked = sides.groupBy("t", (F.col("q.pair") % 16).alias("part")).agg(F.collect_list("q").alias("asked"))
-    wanted = asked.join(texts, "t").select("text", "asked")
-    cut = settle(map_arrow(wanted, _passages(shingle, least), "pair long, side int, at array<long>, tokens binary"))
-    x = cut.where("side = 0").select("pair", F.col("at").alias("sx"), F.col("tokens").alias("x"))
-    y = cut.where("side = 1").select("pair", F.col("at").alias("sy"), F.col("tokens").alias("y"))
-    both = x.join(y, "pair").select("pair", "sx", "x", "sy", "y")
-    sure = settle(map_arrow(both, _verify(least, percent), "pair long, x array<long>, y array<long>").join(pairs.select("pair", "t", "t2"), "pair"))
-    classes = components(sure.select(F.col("t").alias("a"), F.col("t2").alias("b"))).withColumnRenamed("node", "t")
+    members = settle(keys.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"))
+    slim = settle(keys.join(members, "key"))
+    needed_texts = texts.select("row", "text").join(slim.select("row").distinct(), "row", "left_semi")
+    sets = settle(map_arrow(needed_texts, _sets(shingle), "row long, size long, own binary"))
+    banded = settle(slim.select("row", "key").join(S.centres(slim), "key"))
+    pairs = banded.where("row != first").select(F.col("first").alias("a"), F.col("row").alias("b")).distinct()
+    pairs = settle(pairs.join(sets.select(F.col("row").alias("b"), "size"), "b").select("a", "b", "size"))
+    link = lambda t: t.where("a is not null").select("a", "b")
+    stars = S.star(pairs, sets, _verify(least, needed), FOUND)
+    roots = settle(components(link(stars)))
+    at = S.placed(banded, roots)
+    more = S.strays(at, sets, _verify_strays(least, needed), FOUND)
+    classes = settle(components(link(stars).union(link(more)))).withColumnRenamed("node", "row")
     # a text of several ids is confirmed whole by its copies
     n_words = F.size(F.filter(F.split("text", "[\\t\\n\\x0B\\f\\r ]+", -1), lambda w: w != "")).cast("long")
-    copies = settle(texts.where("id is null").select("t", n_words.alias("n")).where(f"n >= {words}"))
+    copies = settle(texts.where("copies").select("row", n_words.alias("n")).where(f"n >= {words}"))
+    release(members, slim, sets, banded, pairs, roots, at)
     # a text that only its copies confirm is a class too
-    alone = copies.select("t").join(classes.select("t"), "t", "left_anti").select("t", F.col("t").alias("root"))
-    # spans as sets of starts and ends: equal ones of many pairs count once
-    edges = [F.expr(f"transform(sequence(0, size({c}) div 2 - 1), i -> struct({c}[2 * i] as a, {c}[2 * i + 1] + {shingle - 1} as b))") for c in "xy"]
-    spans = sure.select("t", "t2", F.explode(edges[0]).alias("s")).union(sure.select("t2", "t", F.explode(edges[1]).alias("s")))
-    spans = spans.union(copies.select("t", F.col("t").alias("t2"), F.struct(F.lit(0).cast("long").alias("a"), F.col("n").alias("b"))))
+    alone = copies.select("row").join(classes.select("row"), "row", "left_anti").select("row", F.col("row").alias("root"))
+    # tokens to words; a text has a few of these, one from each task that it was in
+    edges = F.expr(f"transform(sequence(0, size(spans) div 2 - 1), i -> struct(spans[2 * i] as a, spans[2 * i + 1] + {shingle - 1} as b))")
+    spans = stars.union(more).where("row is not null").select("row", F.explode(edges).alias("s"))
+    spans = spans.union(copies.select("row", F.struct(F.lit(0).cast("long").alias("a"), F.col("n").alias("b"))))
     merged = F.expr("""aggregate(s, cast(array() as array<bigint>), (m, e) ->
         if(size(m) > 0 and e.a <= get(m, size(m) - 1), concat(slice(m, 1, size(m) - 1), array(greatest(get(m, size(m) - 1), e.b))), concat(m, array(e.a, e.b))))""")
-    found = spans.select("t", "s").distinct().groupBy("t").agg(F.array_sort(F.collect_list("s")).alias("s")).select("t", merged.alias("spans"))
-    links = spans.select("t", "t2").distinct().groupBy("t").agg(F.count("*").alias("n_links"))
-    by_text = settle(found.join(links, "t").join(classes.union(alone), "t"))
-    out = settle(rows.select("id", F.when(F.col("id").isNotNull(), F.xxhash64("text")).alias("t")).join(by_text, "t", "left"))
-    least_id = out.where("root is not null").groupBy("root").agg(F.min("id").alias("class"))
-    # a root is a text's number: one row a class
-    out = out.select("id", "n_links", "spans", "root").join(least_id, "root", "left")
-    none = F.array().cast("array<bigint>")
-    return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).alias("n_links"), (F.size(F.coalesce("spans", none)) / 2).cast("long").alias("n_spans"), F.coalesce("spans", none).alias("spans"), F.coalesce("class", "id").alias("class_id"))
+    found = spans.groupBy("row").agg(F.array_sort(F.collect_set("s")).alias("s")).select("row", merged.alias("spans"))
+    least_id = classes.union(alone).join(texts.select("row", "id"), "row").groupBy("root").agg(F.min("id").alias("class"))
+    by_text = settle(found.join(classes.union(alone), "row").join(least_id, "root").select("row", "spans", "class"))
+    release(stars, more, texts, copies)
+    out = rows.select("id", F.when(F.col("id").isNotNull(), F.xxhash64("text")).alias("row")).join(by_text, "row", "left")
+    spans = F.coalesce("spans", F.array().cast("array<bigint>"))
+    return out.select(F.col("id").alias(id_col), F.expr("size(coalesce(spans, array())) div 2").cast("long").alias("n_spans"), spans.alias("spans"), F.coalesce("class", "id").alias("class_id"))

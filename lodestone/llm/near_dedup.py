@@ -29,7 +29,7 @@ sets.  An empty table gives an empty result.  Other columns don't matter, whatev
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,13 +37,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from . import stars as S
 from .common import map_arrow, only, release, settle
 from .components import components
 
 BANDS, ROWS, BINS, SKETCH = 32, 4, 2048, 2048
 SIGMAS = 5.0
-#: Bytes of sets that meet in one task at a time, about.
-TASK = 8 << 20
 
 
 def ascii_space_words() -> np.ndarray:
@@ -168,10 +167,6 @@ def _sets(size: int):
     return run
 
 
-def _numbers(column: pa.Array) -> np.ndarray:
-    return column.to_numpy(zero_copy_only=False).astype(np.int64)
-
-
 def _sketches(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=K.U64).reshape(len(column), -1)
 
@@ -180,7 +175,7 @@ def _likely(percent: int):
     """The pairs (a, b) whose sizes and sketches allow the threshold."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        n, e, m, g = (_numbers(batch.column(c)) for c in ("n", "e", "m", "g"))
+        n, e, m, g = (S.numbers(batch.column(c)) for c in ("n", "e", "m", "g"))
         differ = np.bitwise_count(_sketches(batch.column("x")) ^ _sketches(batch.column("y"))).sum(axis=1)
         keep = pa.array(sizes_allow(n, m, percent) & (differ <= sketch_limit(n, m, e, g, percent / 100)))
         yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("a", "b", "n")], names=["a", "b", "n"])
@@ -189,7 +184,7 @@ def _likely(percent: int):
 
 
 def _confirm(percent: int):
-    """Pairs (a, b, own of b) and centres (a, own): the pairs whose full sets reach the threshold."""
+    """The pairs whose full sets reach the threshold."""
 
     def run(pairs: pa.Table, centres: pa.Table) -> pa.Table:
         sets = {a: np.frombuffer(x.as_buffer(), K.U64) for a, x in zip(centres["a"].to_pylist(), centres["own"], strict=True)}
@@ -200,97 +195,32 @@ def _confirm(percent: int):
 
 
 def _join_strays(percent: int):
-    """Blocks of strays and members (grp, i, j, row, root, n, e, sketch, own; stray): links
-    that join two components, each component joined once."""
+    """Links that join two components, each component joined once in a task."""
 
     def links(x: pa.Table, y: pa.Table) -> Iterator[tuple[int, int]]:
-        above: dict[int, int] = {}
-
-        def find(r: int) -> int:
-            while r in above:
-                r = above[r]
-            return r
-
-        n, e, row, root = (_numbers(x[c].combine_chunks()) for c in ("n", "e", "row", "root"))
-        m, g, row2, root2 = (_numbers(y[c].combine_chunks()) for c in ("n", "e", "row", "root"))
-        stray, p, q = y["stray"].to_numpy(), _sketches(x["sketch"]), _sketches(y["sketch"])
+        joined = S.Joined()
+        n, e, row, root = (S.numbers(x[c]) for c in ("n", "e", "row", "root"))
+        m, g, row2, root2, stray = (S.numbers(y[c]) for c in ("n", "e", "row", "root", "stray"))
+        p, q = _sketches(x["sketch"]), _sketches(y["sketch"])
         sets, sets2 = ([np.frombuffer(v.as_buffer(), K.U64) for v in t["own"]] for t in (x, y))
         for i in range(len(n)):
             # two strays meet once, by their numbers
-            ok = (root2 != root[i]) & (~stray | (row2 > row[i])) & sizes_allow(n[i], m, percent)
-            ok = np.flatnonzero(ok)
+            ok = np.flatnonzero((root2 != root[i]) & (~stray | (row2 > row[i])) & sizes_allow(n[i], m, percent))
             differ = np.bitwise_count(q[ok] ^ p[i]).sum(axis=1)
             near = differ <= sketch_limit(n[i], m[ok], e[i], g[ok], percent / 100)
             for j in ok[near][np.argsort(differ[near], kind="stable")].tolist():
-                a, b = find(int(root[i])), find(int(root2[j]))
-                if a != b and linked(sets[i], sets2[j], percent):
-                    above[max(a, b)] = min(a, b)
+                a, b = int(root[i]), int(root2[j])
+                if joined.root(a) != joined.root(b) and linked(sets[i], sets2[j], percent):
+                    joined.join(a, b)
                     yield int(row[i]), int(row2[j])
 
     def run(strays: pa.Table, members: pa.Table) -> pa.Table:
-        def cut(t: pa.Table) -> dict[tuple, pa.Table]:
-            t = t.sort_by([("grp", "ascending"), ("i", "ascending"), ("j", "ascending")])
-            v = np.stack([_numbers(t[c].combine_chunks()) for c in ("grp", "i", "j")])
-            edge = [0, *(np.flatnonzero((v[:, 1:] != v[:, :-1]).any(axis=0)) + 1).tolist(), t.num_rows]
-            return {tuple(v[:, a].tolist()): t.slice(a, b - a) for a, b in zip(edge[:-1], edge[1:], strict=True) if b > a}
-
-        other = cut(members)
-        found = [p for k, x in cut(strays).items() if k in other for p in links(x, other[k])]
+        found = [p for x, y in S.blocks(strays, members) for p in links(x, y)]
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
     return run
 
 
-def _buckets(rows: DataFrame, size: str) -> int:
-    """How many buckets of about TASK bytes the rows fill."""
-    return max(1, -(-int(rows.agg(F.sum(F.expr(size))).first()[0] or 0) // TASK))
-
-
-def _met(left: DataFrame, right: DataFrame, f: Callable[[pa.Table, pa.Table], pa.Table]) -> DataFrame:
-    """f over the rows of either side of each bucket."""
-    left, right = (t.toDF(*t.columns) for t in (left, right))  # columns of their own
-    return left.groupBy("bucket").cogroup(right.groupBy("bucket")).applyInArrow(f, "a long, b long")
-
-
-def _star_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of the pairs (a: a centre, b) those that are links."""
-    x = sets.select(F.col("row").alias("a"), F.col("n").alias("m"), F.col("e").alias("g"), F.col("sketch").alias("x"))
-    y = sets.select(F.col("row").alias("b"), "n", "e", F.col("sketch").alias("y"))
-    likely = settle(map_arrow(pairs.join(x, "a").join(y, "b"), _likely(percent), "a long, b long, n long"))
-    # a centre's pairs are dealt to as many parts as their sets need; it goes to each once
-    parts = settle(likely.groupBy("a").agg(F.ceil(F.sum("n") * 8 / TASK).cast("int").alias("parts")))
-    buckets = _buckets(likely, "n * 8")
-    bucket = F.pmod(F.xxhash64("a", "part"), F.lit(buckets)).alias("bucket")
-    dealt = likely.join(parts, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int")).select("a", "b", bucket)
-    left = dealt.join(sets.select(F.col("row").alias("b"), "own"), "b").select("bucket", "a", "b", "own")
-    right = parts.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("a", bucket).distinct()
-    right = right.join(sets.select(F.col("row").alias("a"), "own"), "a").select("bucket", "a", "own")
-    out = settle(_met(left, right, _confirm(percent)))
-    release(likely, parts)
-    return out
-
-
-def _stray_links(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between components, from rows (key, row, root, grp), grp the root of the key's centre."""
-    strays = placed.where("root != grp")
-    mixed = placed.join(strays.select("key").distinct(), "key", "left_semi")
-    rows = mixed.select("grp", "row", "root").distinct().join(sets.select("row", "n"), "row").withColumn("stray", F.expr("root != grp"))
-    rows = settle(rows)
-    blocks = rows.groupBy("grp").agg(F.ceil(F.sum(F.col("n") * 8) / TASK).cast("int").alias("jj"), F.ceil(F.sum(F.when(F.col("stray"), F.col("n") * 8)) / TASK).cast("int").alias("ii"))
-    rows2 = rows.join(blocks, "grp")
-    turn = lambda n: F.pmod(F.xxhash64("row"), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    x = settle(rows2.where("stray").withColumn("i", turn("ii")).withColumn("j", every("jj")).select("grp", "i", "j", "row", "root", "n"))
-    y = settle(rows2.withColumn("j", turn("jj")).withColumn("i", every("ii")).select("grp", "i", "j", "row", "root", "stray", "n"))
-    buckets = _buckets(x.select("n").union(y.select("n")), "n * 8")
-    bucket = F.pmod(F.xxhash64("grp", "i", "j"), F.lit(buckets)).alias("bucket")
-    whole = sets.select("row", "e", "sketch", "own")
-    left, right = (t.select("*", bucket).join(whole, "row") for t in (x, y))
-    out = settle(_met(left, right, _join_strays(percent)))
-    release(rows, x, y)
-    return out
-
-
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """Per row: its id, n_shingles, component_id (the least id reachable) and kept
     (the id is the component's).  Links: similarity of shingle sets >= percent / 100."""
@@ -311,17 +241,16 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     needed = classes.join(slim.select("row").distinct(), "row", "left_semi")
     sets = settle(map_arrow(rows.join(needed, "id").select("text", "row", "n", "s1", "s2"), _sets(shingle), "row long, n long, e long, sketch binary, own binary"))
     release(classes)
-    weight = slim.groupBy("row").agg(F.sum("members").alias("weight"))
-    centre = slim.join(weight, "row").groupBy("key").agg(F.min(F.struct(-F.col("weight"), "row")).alias("c")).select("key", F.col("c.row").alias("first"))
-    banded = settle(slim.select("row", "key").join(centre, "key"))
+    banded = settle(slim.select("row", "key").join(S.centres(slim), "key"))
     pairs = banded.where("row != first").select(F.col("first").alias("a"), F.col("row").alias("b")).distinct()
-    links = _star_links(pairs, sets, percent)
+    x = sets.select(F.col("row").alias("a"), F.col("n").alias("m"), F.col("e").alias("g"), F.col("sketch").alias("x"))
+    y = sets.select(F.col("row").alias("b"), "n", "e", F.col("sketch").alias("y"))
+    likely = settle(map_arrow(pairs.join(x, "a").join(y, "b"), _likely(percent), "a long, b long, n long"))
+    links = S.star(likely.select("a", "b", (F.col("n") * 8).alias("size")), sets, _confirm(percent), "a long, b long")
     roots = settle(components(links))
-    rooted = banded.join(roots.withColumnRenamed("node", "row"), "row", "left").withColumn("root", F.coalesce("root", "row"))
-    rooted = rooted.join(roots.toDF("first", "grp"), "first", "left").select("key", "row", "root", F.coalesce("grp", "first").alias("grp"))
-    placed = settle(rooted)
-    more = _stray_links(placed, sets, percent)
-    release(slim, banded, placed, sets)
+    at = S.placed(banded, roots)
+    more = S.strays(at, sets.withColumn("size", F.col("n") * 8), _join_strays(percent), "a long, b long")
+    release(slim, banded, likely, at, sets)
     found = settle(components(links.union(more)))
     release(links, more, roots)
     whole = member.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("id", F.coalesce("root", "rep").alias("root"))

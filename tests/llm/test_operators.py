@@ -137,10 +137,6 @@ def test_near_passages_of_edited_copies(spark):
         return {k for k in range(len(x) - 45) if len({*x[k : k + 46]} & {*y}) >= 41}
 
     for i, x in enumerate(texts):
-        distinct = {tuple(y) for y in texts if runs(x, y) and runs(y, x)}
-        if x != words:
-            distinct -= {tuple(x)}
-        assert found[i]["n_links"] == len(distinct)
         cover = {k + j for y in texts[:i] + texts[i + 1 :] for k in runs(x, y) for j in range(50)}
         assert {j for a, b in zip(found[i]["spans"][::2], found[i]["spans"][1::2], strict=True) for j in range(a, b)} == cover
     assert {found[i]["class_id"] for i in range(1, len(texts))} == {1}
