@@ -14,8 +14,9 @@ Then the ranks of anchors grow as in prefix doubling, and what is unique stops:
 3. By whole strings, for the least document of each class, where a half has several
    classes: these are the ends of passages, or chance.
 
-Ranks are 64-bit hashes.  Every step is a grouping with partial sums and a join, never a
-list of pairs; marks meet the text by document.
+Bytes go by two 64-bit hashes (of a half and the whole, or of a string's halves).  Every
+step is a grouping with partial sums and a join, never a list of pairs; marks meet the
+text by document.
 
 Null text is empty; null ids take no part (nothing removed).  Repeated ids: rows of equal
 id and text share their marks, and rows of one id never remove from each other.
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import map_arrow, only, settle
+from .common import map_arrow, only, release, settle
 
 LENGTH, GRAM = 50, 20
 
@@ -132,7 +133,7 @@ def _strings(length: int):
             start = np.repeat(a + s.start[doc], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
             start, which = np.unique(start, return_index=True)
             doc = np.repeat(doc, n)[which]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc + s.lo)), batch.column(1).take(pa.array(doc + s.lo)), _signed(K.span_hash(prefix, start, start + length)), pa.array(start - s.start[doc])], names=["id", "t", "key", "at"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc + s.lo)), batch.column(1).take(pa.array(doc + s.lo)), _signed(K.span_hash(prefix, start, start + length // 2)), _signed(K.span_hash(prefix, start + length // 2, start + length)), pa.array(start - s.start[doc])], names=["id", "t", "key", "key2", "at"])
 
     return run
 
@@ -173,16 +174,22 @@ def repeated_strings(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = map_arrow(part, _grams(length, gram), f"id {kind}, t long, key long, at long")
     keys = settle(found.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key"))
     alive = settle(found.join(keys, "key", "left_semi").groupBy("id", "t").agg(F.collect_set("at").alias("places")))
+    release(keys)
     halves = settle(map_arrow(part.dropDuplicates(["id", "t"]).join(alive, ["id", "t"]), _halves(length, gram), f"id {kind}, t long, half long, whole long, a long, b long"))
+    release(alive)
     classes = settle(halves.groupBy("half", "whole").agg(F.min("id").alias("least")))
-    late = halves.join(classes, ["half", "whole"]).where("id > least").select("id", "t", "a", "b")
+    late = settle(halves.join(classes, ["half", "whole"]).where("id > least").select("id", "t", "a", "b"))
     several = classes.groupBy("half").agg(F.count("*").alias("n"), F.min("least").alias("lo"), F.max("least").alias("hi")).where("n > 1 and lo < hi").select("half")
-    firsts = classes.join(several, "half", "left_semi").withColumnRenamed("least", "id")
-    asked = halves.join(firsts, ["half", "whole", "id"], "left_semi").groupBy("id", "t").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
-    strings = settle(map_arrow(part.dropDuplicates(["id", "t"]).join(asked, ["id", "t"]), _strings(length), f"id {kind}, t long, key long, at long"))
-    oldest = strings.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key", "lo")
-    single = strings.join(oldest, "key").where("id > lo").select("id", "t", F.col("at").alias("a"), F.col("at").alias("b"))
+    firsts = settle(classes.join(several, "half", "left_semi").withColumnRenamed("least", "id"))
+    release(classes)
+    asked = settle(halves.join(firsts, ["half", "whole", "id"], "left_semi").groupBy("id", "t").agg(F.collect_list(F.struct("a", "b")).alias("spans")))
+    release(halves, firsts)
+    strings = settle(map_arrow(part.dropDuplicates(["id", "t"]).join(asked, ["id", "t"]), _strings(length), f"id {kind}, t long, key long, key2 long, at long"))
+    release(asked)
+    oldest = strings.groupBy("key", "key2").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key", "key2", "lo")
+    single = strings.join(oldest, ["key", "key2"]).where("id > lo").select("id", "t", F.col("at").alias("a"), F.col("at").alias("b"))
     marks = settle(late.union(single).groupBy("id", "t").agg(F.collect_list(F.struct("a", "b")).alias("spans")))
+    release(late, strings)
     whole = rows.withColumn("t", F.xxhash64("text")).join(marks, ["id", "t"], "left").select("id", "text", F.coalesce("spans", F.array().cast("array<struct<a:bigint,b:bigint>>")).alias("spans"))
     out = map_arrow(whole, _remove(length), f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>")
     return out.withColumnRenamed("id", id_col)
