@@ -19,7 +19,8 @@ step is a grouping with partial sums and a join, never a list of pairs; marks me
 text by document.
 
 Null text is empty; null ids take no part (nothing removed).  Repeated ids: rows of equal
-id and text share their marks, and rows of one id never remove from each other.
+id and text share their marks, and rows of one id never remove from each other.  Texts of
+one id are told apart by 23 bits of a hash.  Other columns don't matter, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,6 +37,19 @@ from . import kernels as K
 from .common import map_arrow, only, release, settle
 
 LENGTH, GRAM = 50, 20
+#: A place: the text's tag (23 bits of its hash, for rows of one id), how many further
+#: string starts follow (6 bits), and the first start (34 bits).
+TAG, MORE = 40, 34
+
+
+def places(tag: np.ndarray, first: np.ndarray, last: np.ndarray) -> pa.Array:
+    return pa.array((tag << TAG) | ((last - first) << MORE) | first)
+
+
+def starts(place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last string start of each place."""
+    first = place & ((1 << MORE) - 1)
+    return first, first + ((place >> MORE) & 63)
 
 
 def anchors(s: K.Slab, prefix: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -75,21 +89,23 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 def _grams(length: int, gram: int):
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        tags = batch.column(1).to_numpy()
         for s in K.slabs(batch.column(2), 0):
             prefix = _prefix(s)
             at, _, _ = anchors(s, prefix, length, gram)
             if len(at):
                 doc = s.doc_of(at)
                 key = K.span_hash(prefix, at, at + gram)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc + s.lo)), batch.column(1).take(pa.array(doc + s.lo)), _signed(key), pa.array((at - s.start[doc]).astype(np.int64))], names=["id", "t", "key", "at"])
+                first = (at - s.start[doc]).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc + s.lo)), _signed(key), places(tags[doc + s.lo], first, first)], names=["id", "key", "place"])
 
     return run
 
 
 def _halves(length: int, gram: int):
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        places = batch.column(3)
-        offsets, flat = places.offsets.to_numpy(), places.values.to_numpy()
+        tags, asked_at = batch.column(1).to_numpy(), batch.column(3)
+        offsets, flat = asked_at.offsets.to_numpy(), starts(asked_at.values.to_numpy())[0]
         for s in K.slabs(batch.column(2), 0):
             prefix = _prefix(s)
             at, a, b = anchors(s, prefix, length, gram)
@@ -114,16 +130,16 @@ def _halves(length: int, gram: int):
                 whole = K.mix(K.span_hash(prefix, lo, hi + length) ^ K.mix(((p - lo) * 128 + (hi - p + 128)).astype(K.U64)))
                 doc = s.doc_of(p)
                 base = s.start[doc]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc + s.lo)), batch.column(1).take(pa.array(doc + s.lo)), _signed(half), _signed(whole), pa.array(lo - base), pa.array(hi - base)], names=["id", "t", "half", "whole", "a", "b"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc + s.lo)), _signed(half), _signed(whole), places(tags[doc + s.lo], lo - base, hi - base)], names=["id", "half", "whole", "place"])
 
     return run
 
 
 def _strings(length: int):
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        spans = batch.column(3)
+        tags, spans = batch.column(1).to_numpy(), batch.column(3)
         offsets = spans.offsets.to_numpy()
-        a_all, b_all = (spans.values.field(i).to_numpy() for i in (0, 1))
+        a_all, b_all = starts(spans.values.to_numpy())
         for s in K.slabs(batch.column(2), 0):
             prefix = _prefix(s)
             size = np.diff(offsets[s.lo : s.hi + 1])
@@ -133,7 +149,8 @@ def _strings(length: int):
             start = np.repeat(a + s.start[doc], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
             start, which = np.unique(start, return_index=True)
             doc = np.repeat(doc, n)[which]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc + s.lo)), batch.column(1).take(pa.array(doc + s.lo)), _signed(K.span_hash(prefix, start, start + length // 2)), _signed(K.span_hash(prefix, start + length // 2, start + length)), pa.array(start - s.start[doc])], names=["id", "t", "key", "key2", "at"])
+            first = start - s.start[doc]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc + s.lo)), _signed(K.span_hash(prefix, start, start + length // 2)), _signed(K.span_hash(prefix, start + length // 2, start + length)), places(tags[doc + s.lo], first, first)], names=["id", "key", "key2", "place"])
 
     return run
 
@@ -141,14 +158,17 @@ def _strings(length: int):
 def _remove(length: int):
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         spans = batch.column(2).fill_null([]) if batch.column(2).null_count else batch.column(2)
-        offsets = spans.offsets.to_numpy()
-        a_all, b_all = (spans.values.field(i).to_numpy() for i in (0, 1))
+        offsets, copy = spans.offsets.to_numpy(), batch.column(3).to_numpy(zero_copy_only=False)
+        a_all, b_all = starts(spans.values.to_numpy())
         for s in K.slabs(batch.column(1), 0):
             docs = s.hi - s.lo
             doc = np.repeat(np.arange(docs), np.diff(offsets[s.lo : s.hi + 1]))
             cover = np.zeros(len(s.data) + 1, dtype=np.int64)
             np.add.at(cover, a_all[offsets[s.lo] : offsets[s.hi]] + s.start[doc], 1)
             np.add.at(cover, b_all[offsets[s.lo] : offsets[s.hi]] + s.start[doc] + length, -1)
+            whole = np.flatnonzero(copy[s.lo : s.hi])
+            np.add.at(cover, s.start[whole], 1)
+            np.add.at(cover, s.end[whole], -1)
             gone = np.cumsum(cover[:-1]) > 0
             left, right = K.runs(gone)
             of = s.doc_of(left)
@@ -170,26 +190,34 @@ def repeated_strings(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     gram = max(1, length * GRAM // LENGTH)
     rows = only(df, id=id_col, text=text_col)
     kind = rows.schema["id"].dataType.simpleString()
-    part = rows.where(f"id is not null and octet_length(text) >= {length}").select("id", F.xxhash64("text").alias("t"), "text")
-    found = map_arrow(part, _grams(length, gram), f"id {kind}, t long, key long, at long")
+    tag = F.xxhash64("text").bitwiseAND(F.lit((1 << 23) - 1)).alias("tag")
+    long = rows.where(f"id is not null and octet_length(text) >= {length}")
+    # copies of a text beyond its least document go whole and take no further part
+    oldest = long.groupBy(F.xxhash64("text").alias("t1"), F.xxhash64("text", F.lit(1)).alias("t2")).agg(F.min("id").alias("least"))
+    known = rows.select("id", "text", F.xxhash64("text").alias("t1"), F.xxhash64("text", F.lit(1)).alias("t2"), tag).join(oldest, ["t1", "t2"], "left")
+    known = settle(known.select("id", "text", "tag", F.coalesce(F.col("id") > F.col("least"), F.lit(False)).alias("copy")))
+    part = known.where(f"id is not null and not copy and octet_length(text) >= {length}").select("id", "tag", "text")
+    found = map_arrow(part, _grams(length, gram), f"id {kind}, key long, place long")
     keys = settle(found.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key"))
-    alive = settle(found.join(keys, "key", "left_semi").groupBy("id", "t").agg(F.collect_set("at").alias("places")))
+    own = ["id", F.shiftright("place", TAG).alias("tag")]
+    alive = settle(found.join(keys, "key", "left_semi").groupBy(*own).agg(F.collect_list("place").alias("at")))
     release(keys)
-    halves = settle(map_arrow(part.dropDuplicates(["id", "t"]).join(alive, ["id", "t"]), _halves(length, gram), f"id {kind}, t long, half long, whole long, a long, b long"))
+    once = part.dropDuplicates(["id", "tag"])
+    halves = settle(map_arrow(once.join(alive, ["id", "tag"]), _halves(length, gram), f"id {kind}, half long, whole long, place long"))
     release(alive)
     classes = settle(halves.groupBy("half", "whole").agg(F.min("id").alias("least")))
-    late = settle(halves.join(classes, ["half", "whole"]).where("id > least").select("id", "t", "a", "b"))
+    late = settle(halves.join(classes, ["half", "whole"]).where("id > least").select("id", "place"))
     several = classes.groupBy("half").agg(F.count("*").alias("n"), F.min("least").alias("lo"), F.max("least").alias("hi")).where("n > 1 and lo < hi").select("half")
     firsts = settle(classes.join(several, "half", "left_semi").withColumnRenamed("least", "id"))
     release(classes)
-    asked = settle(halves.join(firsts, ["half", "whole", "id"], "left_semi").groupBy("id", "t").agg(F.collect_list(F.struct("a", "b")).alias("spans")))
+    asked = settle(halves.join(firsts, ["half", "whole", "id"], "left_semi").groupBy(*own).agg(F.collect_list("place").alias("at")))
     release(halves, firsts)
-    strings = settle(map_arrow(part.dropDuplicates(["id", "t"]).join(asked, ["id", "t"]), _strings(length), f"id {kind}, t long, key long, key2 long, at long"))
+    strings = settle(map_arrow(once.join(asked, ["id", "tag"]), _strings(length), f"id {kind}, key long, key2 long, place long"))
     release(asked)
-    oldest = strings.groupBy("key", "key2").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key", "key2", "lo")
-    single = strings.join(oldest, ["key", "key2"]).where("id > lo").select("id", "t", F.col("at").alias("a"), F.col("at").alias("b"))
-    marks = settle(late.union(single).groupBy("id", "t").agg(F.collect_list(F.struct("a", "b")).alias("spans")))
+    first = strings.groupBy("key", "key2").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key", "key2", "lo")
+    single = strings.join(first, ["key", "key2"]).where("id > lo").select("id", "place")
+    marks = settle(late.union(single).groupBy(*own).agg(F.collect_list("place").alias("spans")))
     release(late, strings)
-    whole = rows.withColumn("t", F.xxhash64("text")).join(marks, ["id", "t"], "left").select("id", "text", F.coalesce("spans", F.array().cast("array<struct<a:bigint,b:bigint>>")).alias("spans"))
+    whole = known.join(marks, ["id", "tag"], "left").select("id", "text", F.coalesce("spans", F.array().cast("array<bigint>")).alias("spans"), "copy")
     out = map_arrow(whole, _remove(length), f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>")
     return out.withColumnRenamed("id", id_col)
