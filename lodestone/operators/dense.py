@@ -10,15 +10,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.operators.sparse import top_k
+from lodestone.functions.vector import dot, int8, norm
+from lodestone.operators.sparse import DECIMALS, top_k
 
 BLOCK = 2048
+#: Vectors that are compared: neither null nor empty nor with null components.
+WHOLE = "size(embedding) > 0 and forall(embedding, x -> x is not null)"
 
 
 def _blocks(queries: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Query ids and unit vectors, a bounded block at a time."""
     ids, vectors = [], []
-    for r in queries.where("embedding is not null").toLocalIterator():
+    for r in queries.where(WHOLE).toLocalIterator():
+        if vectors and len(r["embedding"]) != len(vectors[0]):
+            yield np.array(ids), np.array(vectors, dtype=np.float64)
+            ids, vectors = [], []
         ids.append(r["query_id"])
         vectors.append(r["embedding"])
         if len(ids) == BLOCK:
@@ -49,34 +55,50 @@ def _search(ids: np.ndarray, queries: np.ndarray, k: int, binary: bool):
             for lo in range(0, len(doc), 4096):
                 own, score = doc[lo : lo + 4096], q @ m[lo : lo + 4096].T
                 # as binary: agreeing less differing signs, so that the distance is (d - score) / 2
-                score = -(q.shape[1] - score) / 2 if binary else np.round(score, 6)
-                order = np.lexsort((np.broadcast_to(own, score.shape), -score))[:, :k]
+                score = -(q.shape[1] - score) / 2 if binary else score
+                order = np.lexsort((np.broadcast_to(own, score.shape), -np.round(score, DECIMALS)))[:, :k]
                 n = order.shape[1]
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(own[order].reshape(-1)), pa.array(np.take_along_axis(score, order, 1).reshape(-1))], names=["query_id", "doc_id", "score"])
 
     return run
 
 
-def dense(vectors: DataFrame, queries: DataFrame, k: int = 10, binary: bool = False) -> DataFrame:
+def dense(vectors: DataFrame, queries: DataFrame, k: int = 10, binary: bool = False, least: float | None = None) -> DataFrame:
     """vectors (doc_id, embedding), queries (query_id, embedding) to (query_id, doc_id,
     score, rank) by cosine, 0 where a norm is 0; binary: by minus the Hamming distance of
-    signs.  Each batch keeps its k best, so little more than the result is shuffled."""
-    rows = vectors.where("embedding is not null").select(F.col("doc_id").cast("long"), "embedding")
-    parts = [rows.mapInArrow(_search(ids.astype(np.int64), q, k, binary), "query_id long, doc_id long, score double") for ids, q in _blocks(queries)]
+    signs.  Scores under ``least`` go.  Vectors of another length than a query's, and
+    those with null components, aren't its candidates.  Each batch keeps its k best, so little
+    more than the result is shuffled."""
+    rows = vectors.where(WHOLE).select(F.col("doc_id").cast("long"), "embedding")
+    parts = [rows.where(F.size("embedding") == q.shape[1]).mapInArrow(_search(ids.astype(np.int64), q, k, binary), "query_id long, doc_id long, score double") for ids, q in _blocks(queries)]
     if not parts:
         parts = [rows.select(F.col("doc_id").alias("query_id"), "doc_id", F.lit(0.0).alias("score")).where("false")]
-    return top_k(reduce(DataFrame.unionByName, parts), k)
+    found = top_k(reduce(DataFrame.unionByName, parts), k)
+    return found if least is None else found.where(F.col("score") >= least)
+
 
+def similarity(distance: F.Column, metric: str) -> F.Column:
+    """A distance of an index as similarity, by its metric: cosine, l2 or ip."""
+    return {"cosine": 1 - distance, "l2": 1 / (1 + distance), "ip": -distance}[metric]
 
-def two_stage(vectors: DataFrame, queries: DataFrame, k: int = 10, multiple: int = 4) -> DataFrame:
-    """Candidates by sign bits, k * multiple a query, rescored by the full cosine."""
-    from lodestone.functions.vector import dot, norm
 
+def two_stage(vectors: DataFrame, queries: DataFrame, k: int = 10, multiple: int = 4, ranges: DataFrame | None = None, least: float | None = None) -> DataFrame:
+    """Candidates by sign bits, k * multiple a query, rescored by the full cosine; or, with
+    the components' ``ranges`` (pos, lo, hi), by the dot product with the eight-bit copies of those
+    that lie in them, as a store of quantised copies has them."""
     found = dense(vectors, queries, k * multiple, binary=True).select("query_id", "doc_id")
-    wide = found.join(vectors, "doc_id").join(queries.select("query_id", F.col("embedding").alias("q")), "query_id")
-    both = norm(F.col("embedding")) * norm(F.col("q"))
-    score = F.round(F.when(both == 0, 0.0).otherwise(dot(F.col("embedding"), F.col("q")) / both), 6)
-    return top_k(wide.select("query_id", "doc_id", score.alias("score")), k)
+    wide = found.join(vectors.select("doc_id", "embedding"), "doc_id").join(queries.select("query_id", F.col("embedding").alias("q")), "query_id")
+    if ranges is None:
+        both = norm(F.col("embedding")) * norm(F.col("q"))
+        score = F.when(both == 0, 0.0).otherwise(dot(F.col("embedding"), F.col("q")) / both)
+    else:
+        # one row by construction: the two arrays of all components' bounds
+        ordered = F.array_sort(F.collect_list(F.struct("pos", "lo", "hi")))
+        bounds = ranges.agg(ordered.alias("r")).select(F.col("r.lo").alias("lo"), F.col("r.hi").alias("hi"))
+        wide = wide.crossJoin(F.broadcast(bounds))
+        score = dot(int8(F.col("embedding"), F.col("lo"), F.col("hi")), F.col("q"))
+    out = top_k(wide.select("query_id", "doc_id", score.alias("score")), k)
+    return out if least is None else out.where(F.col("score") >= least)
 
 
 def int8_ranges(vectors: DataFrame) -> DataFrame:

@@ -7,11 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodestone.functions import rules as R
 from lodestone.functions import text as T
 from lodestone.functions import vector as V
 from lodestone.operators import analytics as A
+from lodestone.operators import compress as P
 from lodestone.operators import dense as D
+from lodestone.operators import evaluate as E
 from lodestone.operators import fusion as U
+from lodestone.operators import jsontext as N
 from lodestone.operators import sparse as S
 from lodestone.sources import store as K
 from lodestone.streaming import jobs as J
@@ -31,6 +35,16 @@ def _query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def rounded(rows: DataFrame, *columns: str) -> DataFrame:
+    """Sums depend on their order in the last digits: results are compared on six decimals."""
+    return rows.withColumns({c: F.round(c, 6) for c in columns})
+
+
+def cases(text: str, rules: list[tuple[str, str]], flags: str = "") -> str:
+    """SQL: the label of the first pattern found."""
+    return " ".join(f"when regexp_matches({text}, '{flags}{p.replace(chr(39), chr(39) * 2)}') then '{label}'" for label, p in rules)
+
+
 def queries() -> dict[str, Query]:
     return dict(_queries)
 
@@ -45,9 +59,9 @@ TERMS = r"list_filter(string_split(trim(regexp_replace(lower(text), '[^\p{L}\p{N
 CUT = f"cut as (select doc_id, {TERMS} as terms from documents), post as (select doc_id, len(terms) as dl, t as term, count(*) as tf from cut, unnest(terms) as u(t) group by all), stats as (select count(*) as n, avg(len(terms)) as avgdl from cut where len(terms) > 0)"
 ASKED = f"asked as (select query_id, t as term, count(*) as times from (select item_id as query_id, {TERMS} as terms from benchmark) q, unnest(terms) as u(t) group by all)"
 BM25 = f"""{CUT}, {ASKED}, weight as (select term, count(*) as df from post group by term),
-scored as (select query_id, doc_id, round(sum(ln((n - df + 0.5) / (df + 0.5) + 1) * times * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) as score
+scored as (select query_id, doc_id, sum(ln((n - df + 0.5) / (df + 0.5) + 1) * times * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) as score
   from post join weight using (term) join asked using (term), stats group by all),
-sparse as (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from scored qualify rank <= 10)"""
+sparse as (select *, row_number() over (partition by query_id order by round(score, 9) desc, doc_id) as rank from scored qualify rank <= 10)"""
 
 
 def _documents(spark: SparkSession, d: str) -> DataFrame:
@@ -81,18 +95,18 @@ def corpus_stats(spark, d):
     return S.corpus_stats(_documents(spark, d)).select("n", F.round("avgdl", 6).alias("avgdl"))
 
 
-@_query(f"with {BM25} select query_id, doc_id, score, rank from sparse")
+@_query(f"with {BM25} select query_id, doc_id, round(score, 6) as score, rank from sparse")
 def bm25_topk(spark, d):
-    return S.bm25(_documents(spark, d), _asked(spark, d))
+    return rounded(S.bm25(_documents(spark, d), _asked(spark, d)), "score")
 
 
 # --- vectors
 
-COSINE = "round(list_inner_product(list_transform(q.embedding, lambda x: x::double), list_transform(e.embedding, lambda x: x::double)) / (sqrt(list_inner_product(list_transform(q.embedding, lambda x: x::double), list_transform(q.embedding, lambda x: x::double))) * sqrt(list_inner_product(list_transform(e.embedding, lambda x: x::double), list_transform(e.embedding, lambda x: x::double)))), 6)"
+COSINE = "(list_inner_product(list_transform(q.embedding, lambda x: x::double), list_transform(e.embedding, lambda x: x::double)) / (sqrt(list_inner_product(list_transform(q.embedding, lambda x: x::double), list_transform(q.embedding, lambda x: x::double))) * sqrt(list_inner_product(list_transform(e.embedding, lambda x: x::double), list_transform(e.embedding, lambda x: x::double)))))"
 
 
 def _dense(asked: str, k: int = 10, where: str = "true") -> str:
-    return f"dense as (select q.vec_id as query_id, e.vec_id as doc_id, {COSINE} as score, row_number() over (partition by q.vec_id order by {COSINE} desc, e.vec_id) as rank from embeddings e, (select * from embeddings where {asked}) q where {where} qualify rank <= {k})"
+    return f"dense as (select q.vec_id as query_id, e.vec_id as doc_id, {COSINE} as score, row_number() over (partition by q.vec_id order by round({COSINE}, 9) desc, e.vec_id) as rank from embeddings e, (select * from embeddings where {asked}) q where {where} qualify rank <= {k})"
 
 
 def _vectors(spark: SparkSession, d: str) -> DataFrame:
@@ -103,21 +117,22 @@ def _asking(v: DataFrame) -> DataFrame:
     return v.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), "embedding")
 
 
-@_query(f"with {_dense('vec_id % 50 = 0')} select query_id, doc_id, score, rank from dense")
+@_query(f"with {_dense('vec_id % 50 = 0')} select query_id, doc_id, round(score, 6) as score, rank from dense")
 def dense_topk(spark, d):
     v = _vectors(spark, d)
-    return D.dense(v, _asking(v))
+    return rounded(D.dense(v, _asking(v)), "score")
 
 
-@_query(f"with {_dense('vec_id % 50 = 0', where='e.label < 7')} select query_id, doc_id, score, rank from dense")
+@_query(f"with {_dense('vec_id % 50 = 0', where='e.label < 7')} select query_id, doc_id, round(score, 6) as score, rank from dense")
 def dense_topk_filtered(spark, d):
     v = _vectors(spark, d)
-    return D.dense(v.where("label < 7"), _asking(v))
+    return rounded(D.dense(v.where("label < 7"), _asking(v)), "score")
 
 
-@_query(f"with {_dense('vec_id % 50 = 0')} select query_id, doc_id, score, rank from dense where score >= 0.3")
+@_query(f"with {_dense('vec_id % 50 = 0')} select query_id, doc_id, round(score, 6) as score, rank from dense where score >= 0.3")
 def dense_min_similarity(spark, d):
-    return dense_topk(spark, d).where("score >= 0.3")
+    v = _vectors(spark, d)
+    return rounded(D.dense(v, _asking(v), least=0.3), "score")
 
 
 HAMMING = "list_sum(list_transform(list_zip(q.embedding, e.embedding), lambda z: case when (z[1] > 0) <> (z[2] > 0) then 1 else 0 end))"
@@ -130,10 +145,10 @@ def hamming_candidates(spark, d):
     return D.dense(v, _asking(v), 40, binary=True).select("query_id", "doc_id", (-F.col("score")).cast("long").alias("distance"))
 
 
-@_query(f"with {STAGES} select query_id, doc_id, cosine as score, row_number() over (partition by query_id order by cosine desc, doc_id) as rank from near qualify rank <= 10")
+@_query(f"with {STAGES} select query_id, doc_id, round(cosine, 6) as score, row_number() over (partition by query_id order by round(cosine, 9) desc, doc_id) as rank from near qualify rank <= 10")
 def two_stage_rescore(spark, d):
     v = _vectors(spark, d)
-    return D.two_stage(v.select("doc_id", "embedding"), _asking(v))
+    return rounded(D.two_stage(v, _asking(v)), "score")
 
 
 @_query("select vec_id as doc_id, array_to_string(list_transform(embedding, lambda x: case when x > 0 then '1' else '0' end), '') as bits from embeddings")
@@ -148,15 +163,15 @@ def int8_ranges(spark, d):
 
 @_query(f"""with {BM25}, {_dense('vec_id in (select item_id from benchmark)')},
 both_runs as (select query_id, doc_id, rank from sparse union all select query_id, doc_id, rank from dense),
-fused as (select query_id, doc_id, round(sum(1 / (60 + rank)), 6) as score from both_runs group by all)
-select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from fused qualify rank <= 15""")
+fused as (select query_id, doc_id, sum(1 / (60 + rank)) as score from both_runs group by all)
+select query_id, doc_id, round(score, 6) as score, row_number() over (partition by query_id order by round(score, 9) desc, doc_id) as rank from fused qualify rank <= 15""")
 def hybrid_rrf(spark, d):
     v = _vectors(spark, d)
     asked = v.join(_asked(spark, d).select(F.col("query_id").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("query_id"), "embedding")
-    return U.rrf([S.bm25(_documents(spark, d), _asked(spark, d)), D.dense(v, asked)])
+    return rounded(U.rrf([S.bm25(_documents(spark, d), _asked(spark, d)), D.dense(v, asked)]), "score")
 
 
-@_query(f"with {_dense('vec_id % 50 = 0')} select query_id, doc_id, score, rank from dense qualify row_number() over (partition by doc_id order by query_id, rank) = 1")
+@_query(f"with {_dense('vec_id % 50 = 0')}, one as (select query_id, doc_id, round(score, 6) as score, rank from dense qualify row_number() over (partition by doc_id order by query_id, rank) = 1) select *, row_number() over (order by query_id, rank) as place from one")
 def first_seen_dedupe(spark, d):
     return U.first_seen(dense_topk(spark, d))
 
@@ -166,8 +181,8 @@ merged as (select * from g where n >= 2 and l_orderkey in (select o_orderkey fro
 select 'O' || l_orderkey as doc_id, best as score from merged union all
 select 'L' || l_orderkey || '-' || l_linenumber, max(l_extendedprice) from lineitem where l_orderkey not in (select l_orderkey from merged) group by 1""")
 def automerge(spark, d):
-    lines = K.table(spark, d, "lineitem").select(F.concat(F.lit("L"), "l_orderkey", F.lit("-"), "l_linenumber").alias("doc_id"), F.concat(F.lit("O"), "l_orderkey").alias("parent_id"), F.col("l_extendedprice").alias("score"))
-    return U.auto_merge(lines, K.table(spark, d, "orders").select(F.concat(F.lit("O"), "o_orderkey").alias("parent_id")))
+    lines = K.table(spark, d, "lineitem").select(F.concat(F.lit("L"), "l_orderkey", F.lit("-"), "l_linenumber").alias("doc_id"), F.concat(F.lit("O"), "l_orderkey").alias("parent_id"), F.col("l_extendedprice").alias("score"), F.lit(0).alias("query_id"))
+    return U.auto_merge(lines, K.table(spark, d, "orders").select(F.concat(F.lit("O"), "o_orderkey").alias("parent_id"))).drop("query_id")
 
 
 # --- store
@@ -222,37 +237,33 @@ def title_extract(spark, d):
     return _documents(spark, d).select("doc_id", T.title(F.col("text")).alias("title"))
 
 
-@_query("select doc_id, array_to_string(list_transform(list_filter(string_split(text, '.')[1:20], lambda s: regexp_matches(s, '[0-9]') and length(trim(s)) > 20), lambda s: substr(trim(s), 1, 100))[1:5], '|') as facts from documents")
+@_query("select doc_id, array_to_string(list_transform(list_filter(list_transform(string_split(text, '.')[1:20], lambda s: trim(s, ' ' || chr(9) || chr(10) || chr(13))), lambda s: regexp_matches(s, '[0-9]') and length(s) > 20), lambda s: substr(s, 1, 100))[1:5], '|') as facts from documents")
 def key_facts(spark, d):
     return _documents(spark, d).select("doc_id", F.array_join(T.key_facts(F.col("text")), "|").alias("facts"))
 
 
-@_query(r"""with s as (select doc_id, substr(text, 1, 2000) as t from documents) select doc_id, case
-  when regexp_matches(t, '(?m)^(def|class|function|import|package) ') then 'code'
-  when regexp_matches(t, '(?m)^#{1,6} ') then 'markdown'
-  when regexp_matches(t, '(?m)^\s*[-*] |\|') then 'structured'
-  when regexp_matches(lower(t), 'whereas|hereby|pursuant') then 'legal' else 'prose' end as doc_type from s""")
+@_query(f"with s as (select doc_id, substr(text, 1, 2000) as t from documents) select doc_id, case {cases('t', R.DOCUMENT_TYPES, '(?m)')} else 'prose' end as doc_type from s")
 def doc_type(spark, d):
     return _documents(spark, d).select("doc_id", T.document_type(F.col("text")).alias("doc_type"))
 
 
-@_query("""select item_id, (len(string_split_regex(trim(text), ' +')) <= 5 or regexp_matches(lower(text), '^(what is|who is|when did|where is)')
-  or (not regexp_matches(lower(text), 'compare|difference|versus| and |analyze|explain') and len(string_split_regex(trim(text), ' +')) <= 10)) as simple from benchmark""")
+@_query(f"""with q as (select item_id, trim(lower(text), ' ' || chr(9) || chr(10) || chr(13)) as t from benchmark), n as (select *, len(list_filter(string_split_regex(t, '[ \\t\\n\\r]+'), lambda w: w <> '')) as n from q)
+select item_id, (n <= 5 or {" or ".join(f"starts_with(t, '{x}')" for x in R.OPENINGS)} or (n <= 10 and not ({" or ".join(f"contains(t, '{x}')" for x in R.MARKERS)}))) as simple from n""")
 def simple_query_flag(spark, d):
     return K.table(spark, d, "benchmark").select("item_id", T.simple_query(F.col("text")).alias("simple"))
 
 
 # --- html and urls
 
-@_query("select page_id, trim(regexp_extract(html, '(?i)<title[^>]*>([^<]+)</title>', 1)) as title from pages")
+@_query("select page_id, nullif(trim(regexp_extract(html, '(?i)<title[^>]*>([^<]+)</title>', 1)), '') as title from pages")
 def html_title(spark, d):
     return K.table(spark, d, "pages").select("page_id", T.html_title(F.col("html")).alias("title"))
 
 
 _HTML = "html"
-for _p, _w in ((r"(?is)<script[^>]*>.*?</script>", " "), (r"(?is)<style[^>]*>.*?</style>", " "), (r"(?s)<!--.*?-->", " "), (r"<[^>]+>", " ")):
+for _p, _w in ((r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->", ""), (r"<[^>]+>", " ")):
     _HTML = f"regexp_replace({_HTML}, '{_p}', '{_w}', 'g')"
-for _p, _w in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
+for _p, _w in R.ENTITIES:
     _HTML = f"replace({_HTML}, '{_p}', '{_w}')"
 
 
@@ -261,15 +272,16 @@ def html_text(spark, d):
     return K.table(spark, d, "pages").select("page_id", T.html_text(F.col("html")).alias("content"))
 
 
-@_query("""select page_id, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(html, '(?i)href=["'']([^"'']+)["'']', 1), lambda u: not regexp_matches(u, '^(#|javascript:|mailto:|tel:)')))), ' ') as links from pages""")
+@_query(f"""with h as (select page_id, regexp_extract(url, '^[A-Za-z]+://[^/?#]+') as root, list_filter(list_transform(regexp_extract_all(html, '(?i)href=["'']([^"'']+)["'']', 1), lambda u: trim(u)), lambda u: u <> '' and not regexp_matches(u, '{R.NO_PAGES}')) as links from pages)
+select page_id, array_to_string(list_sort(list_distinct(list_transform(links, lambda u: case when starts_with(u, '/') then root || u else u end))), ' ') as links from h""")
 def html_links(spark, d):
-    return K.table(spark, d, "pages").select("page_id", F.array_join(T.html_links(F.col("html")), " ").alias("links"))
+    return K.table(spark, d, "pages").select("page_id", F.array_join(T.html_links(F.col("html"), F.col("url")), " ").alias("links"))
 
 
 @_query(r"""with b as (select page_id, split_part(url, '#', 1) as u from pages), p as (select page_id, lower(regexp_extract(u, '^([A-Za-z]+)://', 1)) as s,
-  regexp_replace(lower(regexp_extract(u, '^[A-Za-z]+://([^/?]+)', 1)), '(:80|:443)$', '') as h, regexp_replace(regexp_extract(u, '^[A-Za-z]+://[^/?]+([^?]*)', 1), '/+$', '') as p,
+  lower(regexp_extract(u, '^[A-Za-z]+://([^/?]+)', 1)) as h, regexp_replace(regexp_extract(u, '^[A-Za-z]+://[^/?]+([^?]*)', 1), '/+$', '') as p,
   array_to_string(list_sort(string_split(regexp_extract(u, '\?(.*)$', 1), '&')), '&') as q from b)
-select page_id, s || '://' || h || case when p = '' then '/' else p end || case when q = '' then '' else '?' || q end as url from p""")
+select page_id, s || '://' || case s when 'http' then regexp_replace(h, ':80$', '') when 'https' then regexp_replace(h, ':443$', '') else h end || case when p = '' then '/' else p end || case when q = '' then '' else '?' || q end as url from p""")
 def url_normalise(spark, d):
     return K.table(spark, d, "pages").select("page_id", T.url_normal(F.col("url")).alias("url"))
 
@@ -279,14 +291,20 @@ def domain_counts(spark, d):
     return K.table(spark, d, "pages").groupBy(F.lower(F.regexp_extract("url", "^[A-Za-z]+://([^/?#]+)", 1)).alias("domain")).agg(F.count("*").alias("n"))
 
 
-@_query("select event_id, (props->>'$.k')::bigint as k from events")
+def _event_json(spark: SparkSession, d: str) -> DataFrame:
+    at = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
+    made = F.format_string('{"timestamp": "%s", "level": "%s", "message": "event %d", "props": %s}', at, "event_type", "event_id", "props")
+    return K.table(spark, d, "events").select("event_id", made.alias("json"))
+
+
+@_query("""select event_id, 'timestamp: ' || strftime(ts, '%Y-%m-%d %H:%M:%S') || chr(10) || 'level: ' || event_type || chr(10) || 'message: event ' || event_id || chr(10) || 'props.k: ' || (props->>'$.k') as content from events""")
 def json_flatten(spark, d):
-    return K.table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
+    return N.json_chunks(_event_json(spark, d), "event_id", how="flatten").select("event_id", "content")
 
 
-@_query("select event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') || ' | ' || event_type || ' | k: ' || (props->>'$.k') as line from events")
+@_query("""select event_id, '[' || strftime(ts, '%Y-%m-%d %H:%M:%S') || '] | [' || event_type || '] | event ' || event_id || ' | props: {"k": ' || (props->>'$.k') || '}' as line from events""")
 def log_render(spark, d):
-    return K.table(spark, d, "events").select("event_id", F.concat_ws(" | ", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), "event_type", F.concat(F.lit("k: "), F.get_json_object("props", "$.k"))).alias("line"))
+    return N.json_chunks(_event_json(spark, d), "event_id").select("event_id", F.col("content").alias("line"))
 
 
 # --- conversations
@@ -312,59 +330,66 @@ def conversation_budget(spark, d):
     return K.table(spark, d, "conversations").groupBy("conv_id").agg((F.count("*") > 6).alias("compress"), F.sum(n).alias("chars"), ((F.sum(n) > 3000) | (F.max(n) > 2000)).alias("needs_summary"))
 
 
-@_query("select conv_id, turn, greatest(200, floor(4500 * length(text) / sum(length(text)) over (partition by conv_id)))::bigint as budget from conversations")
+@_query("select conv_id, turn, greatest(200, floor(length(text)::double / sum(length(text)) over (partition by conv_id) * 3000 * 1.5::double))::bigint as budget from conversations")
 def budget_allocation(spark, d):
-    share = F.length("text") * 4500 / F.sum(F.length("text")).over(Window.partitionBy("conv_id"))
-    return K.table(spark, d, "conversations").select("conv_id", "turn", F.greatest(F.lit(200), F.floor(share)).cast("long").alias("budget"))
+    rows = K.table(spark, d, "conversations").select(F.col("conv_id").alias("query_id"), "turn", F.length("text").alias("score"))
+    return P.budgets(rows).select(F.col("query_id").alias("conv_id"), "turn", "budget")
 
 
 # --- verification, strategies, metrics
 
-@_query("""with s as (select case when toxic = 1 then 'contradicted' when quality = 1 then 'supported' else 'not_supported' end as status from labels)
-select count(*) filter (status = 'supported') as supported, count(*) filter (status = 'not_supported') as not_supported, count(*) filter (status = 'contradicted') as contradicted,
-  round(avg(case status when 'supported' then 1.0 when 'not_supported' then 0.3 else 0.0 end), 6) as score from s""")
+CLAIMS = "claims as (select doc_id, doc_id % 50 as answer_id, case when toxic = 1 then 'contradicted' when quality = 1 and doc_id % 2 = 0 then 'supported' when quality = 1 then 'partially_supported' when doc_id % 3 = 0 then 'unverifiable' else 'not_supported' end as status, (doc_id % 10) / 10 as confidence, doc_id % 7 <> 0 as requires from labels)"
+
+
+def _claims(spark: SparkSession, d: str) -> DataFrame:
+    status = F.expr("case when toxic = 1 then 'contradicted' when quality = 1 and doc_id % 2 = 0 then 'supported' when quality = 1 then 'partially_supported' when doc_id % 3 = 0 then 'unverifiable' else 'not_supported' end")
+    return K.table(spark, d, "labels").select("doc_id", (F.col("doc_id") % 50).alias("answer_id"), status.alias("status"), (F.col("doc_id") % 10 / 10).alias("confidence"), (F.col("doc_id") % 7 != 0).alias("requires"))
+
+
+@_query(f"""with {CLAIMS}, s as (select answer_id, count(*) as n, {", ".join(f"count(*) filter (status = '{x}') as {x}" for x in R.STATUS_WEIGHTS)},
+  coalesce(avg(confidence * case status {" ".join(f"when '{x}' then {w}" for x, w in R.STATUS_WEIGHTS.items())} end) filter (requires), 1) as score from claims group by 1)
+select answer_id, {", ".join(R.STATUS_WEIGHTS)}, round(score, 6) as score, round(score, 6) >= 0.7 and contradicted = 0 as is_factual, contradicted > 0 or not_supported > n * 0.3 as needs_correction from s""")
 def status_pivot(spark, d):
-    status = F.when(F.col("toxic") == 1, "contradicted").when(F.col("quality") == 1, "supported").otherwise("not_supported")
-    s = K.table(spark, d, "labels").select(status.alias("status"))
-    counts = [F.count_if(F.col("status") == x).alias(x) for x in ("supported", "not_supported", "contradicted")]
-    weight = F.when(F.col("status") == "supported", 1.0).when(F.col("status") == "not_supported", 0.3).otherwise(0.0)
-    return s.agg(*counts, F.round(F.avg(weight), 6).alias("score"))
+    return rounded(E.factuality(_claims(spark, d)), "score")
 
 
 OUTCOMES = "outcomes as (select user_id, event_type as strategy, least(value / 500, 1) as confidence, value > 100 as success from events)"
-STATS = f"{OUTCOMES}, stats as (select user_id, strategy, count(*) as n, round(sum(confidence), 6) as confidence, count(*) filter (success) as successes from outcomes group by all)"
+STATS = f"{OUTCOMES}, stats as (select user_id, strategy, count(*) as n, sum(confidence) as confidence, count(*) filter (success) as successes from outcomes group by all)"
 
 
 def _outcomes(spark: SparkSession, d: str) -> DataFrame:
     return K.table(spark, d, "events").select("user_id", F.col("event_type").alias("strategy"), F.least(F.col("value") / 500, F.lit(1.0)).alias("confidence"), (F.col("value") > 100).alias("success"))
 
 
-@_query(f"with {STATS} select * from stats")
+@_query(f"with {STATS} select * replace (round(confidence, 6) as confidence) from stats")
 def strategy_stats(spark, d):
-    return A.strategy_stats(_outcomes(spark, d), ["user_id", "strategy"])
+    return rounded(A.strategy_stats(_outcomes(spark, d), ["user_id", "strategy"]), "confidence")
 
 
-@_query(f"with {STATS} select user_id, strategy, round(confidence / n * successes / n, 6) as score from stats where n >= 2 qualify row_number() over (partition by user_id order by round(confidence / n * successes / n, 6) desc, strategy) = 1")
+@_query(f"with {STATS} select user_id, strategy, round(confidence / n * successes / n, 6) as score from stats where n >= 2 qualify row_number() over (partition by user_id order by round(confidence / n * successes / n, 9) desc, strategy) = 1")
 def best_strategy(spark, d):
-    return A.best_strategy(A.strategy_stats(_outcomes(spark, d), ["user_id", "strategy"]), "user_id")
+    return rounded(A.best_strategy(A.strategy_stats(_outcomes(spark, d), ["user_id", "strategy"]), "user_id").drop("confidence"), "score")
 
 
-@_query("select event_type as step, count(*) as n, count(*) filter (event_type <> 'error') as n_ok, round(avg(value), 6) as avg_ms, min(value) as min_ms, max(value) as max_ms from events group by 1")
+@_query("select event_type as step, count(*) as n, count(*) filter (event_type <> 'error') as n_ok, avg((event_type <> 'error')::int) as rate, round(avg(value), 6) as avg_ms, min(value) as min_ms, max(value) as max_ms from events group by 1")
 def step_stats(spark, d):
-    return K.table(spark, d, "events").groupBy(F.col("event_type").alias("step")).agg(F.count("*").alias("n"), F.count_if(F.col("event_type") != "error").alias("n_ok"), F.round(F.avg("value"), 6).alias("avg_ms"), F.min("value").alias("min_ms"), F.max("value").alias("max_ms"))
+    return rounded(A.step_stats(_steps(spark, d), ["step"]), "avg_ms")
+
 
+def _steps(spark: SparkSession, d: str) -> DataFrame:
+    return K.table(spark, d, "events").select("event_id", "user_id", F.col("event_type").alias("step"), F.col("value").alias("ms"), (F.col("event_type") != "error").alias("ok"))
 
-@_query("select bound, count(*) as n from events, (values (10), (50), (100), (250), (500), (1000), (10000)) b(bound) where value <= bound group by 1")
+
+@_query(f"select bound, (select count(*) from events where value <= limit_) as n from (values {', '.join(f"('{b}', {b})" for b in R.LATENCY_BOUNDS)}, ('+Inf', 1e300)) b(bound, limit_)")
 def latency_histogram(spark, d):
-    bounds = F.array(*[F.lit(x) for x in (10, 50, 100, 250, 500, 1000, 10000)])
-    return K.table(spark, d, "events").select(F.explode(F.filter(bounds, lambda b: F.col("value") <= b)).alias("bound")).groupBy("bound").agg(F.count("*").alias("n"))
+    found = A.histogram(_steps(spark, d), R.LATENCY_BOUNDS)
+    return found.select(F.when(F.col("bound") == float("inf"), "+Inf").otherwise(F.format_string("%.0f", "bound")).alias("bound"), "n")
 
 
 @_query("select event_id, case when max(value) over w = min(value) over w then 100 else round(100 * (value - min(value) over w) / (max(value) over w - min(value) over w), 6) end as score from events window w as (partition by user_id)")
 def score_minmax(spark, d):
-    w = Window.partitionBy("user_id")
-    lo, hi = F.min("value").over(w), F.max("value").over(w)
-    return K.table(spark, d, "events").select("event_id", F.when(hi == lo, 100.0).otherwise(F.round(100 * (F.col("value") - lo) / (hi - lo), 6)).alias("score"))
+    rows = K.table(spark, d, "events").select("event_id", "user_id", F.col("value").alias("score"))
+    return rounded(A.min_max(rows, "user_id").drop("user_id"), "score")
 
 
 # --- timed segments and streams
@@ -384,10 +409,10 @@ def transcript_windows(spark, d):
     return A.overlapping(_segments(spark, d), 600, 500, 1e12).groupBy("user_id", "window_no").agg(F.count("*").alias("n"))
 
 
-@_query(f"""with {SEGMENTS}, flagged as (select *, coalesce(start - lag(start) over (partition by user_id order by start, event_id) > 3600, true)::int as begins from seg)
+@_query(f"""with {SEGMENTS}, flagged as (select *, coalesce(start - lag(stop) over (partition by user_id order by start, event_id) > 3600, true)::int as begins from seg)
 select event_id, user_id, sum(begins) over (partition by user_id order by start, event_id)::bigint as chapter from flagged""")
 def chapters_by_gap(spark, d):
-    return A.chapters(_segments(spark, d), "user_id", F.col("start"), 3600).select("event_id", "user_id", "chapter")
+    return A.chapters(_segments(spark, d), "user_id", 3600).select("event_id", "user_id", "chapter")
 
 
 @_query("""select to_timestamp(w * 50)::timestamp as window_start, event_type, count(*) as n, round(sum(value), 4) as total
@@ -400,3 +425,6 @@ def sliding_windows(spark, d):
   s as (select *, sum(b) over (partition by user_id order by ts, event_id) as session from f) select user_id, min(ts)::timestamp as session_start, count(*) as n from s group by user_id, session""")
 def session_chapters(spark, d):
     return J.sessions(K.table(spark, d, "events"))
+
+
+from lodestone.plans import library  # noqa: E402, F401  registers further queries

@@ -2,38 +2,99 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodestone.functions import text as T
+
+
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder beside the checkpoints; a temporary one where none is set, as in tests."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = f"file://{tempfile.gettempdir()}"
+    return f"{base}/lodestone-{name}-{uuid.uuid4().hex}"
+
+
+def written(rows: DataFrame, name: str = "step") -> DataFrame:
+    """The rows, written to a work folder and read again: what stands before isn't computed twice."""
+    path = work_folder(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def read_files(spark: SparkSession, path: str, form: str = "text") -> DataFrame:
-    """(source_path, content): whole text files, or one row a record for json, csv and parquet."""
-    if form == "text":
-        rows = spark.read.text(path, wholetext=True).withColumnRenamed("value", "content")
-    else:
-        raw = spark.read.option("header", True).format(form).load(path)
-        rows = raw.select(F.to_json(F.struct("*")).alias("content"), "_metadata.file_path")
-        return rows.select(F.col("file_path").alias("source_path"), "content")
-    return rows.select(F.col("_metadata.file_path").alias("source_path"), "content")
+def list_files(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(path, kind, size) of the files in folders, to any depth, but those whose names begin with a dot."""
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths)
+    out = rows.select("path", T.file_kind(F.col("path")).alias("kind"), F.col("length").alias("size"))
+    return out.where(~F.element_at(F.split("path", "/"), -1).startswith("."))
+
+
+def read_files(spark: SparkSession, paths: list[str], lower: bool = False, kinds: tuple[str, ...] = ("text", "html", "json", "document")) -> DataFrame:
+    """(source_path, kind, content) of whole files: bytes that aren't UTF-8 become marks, HTML
+    becomes text, white space is cleaned; empty files go.  JSON stays as it is."""
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths)
+    rows = rows.where(~F.element_at(F.split("path", "/"), -1).startswith(".")).withColumn("kind", T.file_kind(F.col("path"))).where(F.col("kind").isin(*kinds))
+    # a file that isn't UTF-8 is decoded with marks in place of what can't be read
+    text = F.coalesce(F.expr("try_validate_utf8(cast(content as string))"), F.expr("make_valid_utf8(cast(content as string))"))
+    content = F.when(F.col("kind") == "html", T.html_text(text)).when(F.col("kind") == "json", text).otherwise(T.clean(text, lower=lower))
+    return rows.select(F.col("path").alias("source_path"), "kind", content.alias("content")).where("length(content) > 0")
+
+
+def read_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(path, line from 0, text) of text files, such as JSON lines."""
+    rows = spark.read.option("recursiveFileLookup", True).text(paths, wholetext=True)
+    cut = rows.select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", "\r?\n")).alias("line", "text"))
+    return cut
 
 
-def content_id(content: Column, *more: Column) -> Column:
-    return F.sha2(F.concat_ws("\n", content, *more).cast("binary"), 256)
+def preview(before: DataFrame, id_col: str, text_col: str, n: int = 12, most: int = 800) -> DataFrame:
+    """(id, before, after) of the first rows that cleaning changes."""
+    after = T.clean(F.col(text_col))
+    cut = lambda c: F.substring(c, 1, most)
+    return before.where(after != F.col(text_col)).orderBy(id_col).limit(n).select(id_col, cut(F.col(text_col)).alias("before"), cut(after).alias("after"))
+
+
+def _json(value: Column) -> Column:
+    """A JSON scalar as Python writes it."""
+    return F.coalesce(F.regexp_extract(F.to_json(F.struct(value.alias("v"))), r'(?s)^\{"v":(.*)\}$', 1), F.lit("null"))
+
+
+def content_id(content: Column, meta: dict[str, Column] | None = None) -> Column:
+    """SHA-256 of the content, a line feed and the metadata as JSON with sorted keys; null for null.
+
+    Without metadata of the content alone."""
+    if meta is None:
+        return F.sha2(content.cast("binary"), 256)
+    pairs = [F.concat(F.lit(f'"{k}": '), F.when(meta[k].isNull(), "null").otherwise(_json(meta[k]))) for k in sorted(meta)]
+    return F.sha2(F.concat(content, F.lit("\n{"), F.concat_ws(", ", *pairs), F.lit("}")).cast("binary"), 256)
+
+
+def text_key(operation: str, query: Column, **options: object) -> Column:
+    """A cache key: the operation, the query and the options by name."""
+    return F.sha2(F.concat_ws("|", F.lit(operation), query, *[F.lit(f"{k}={v}") for k, v in sorted(options.items())]).cast("binary"), 256)
 
 
 def latest(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """An upsert's outcome: of each key the row that comes last."""
+    """Of each key the row that comes first in ``order``: for an upsert, the last written."""
     w = Window.partitionBy(*keys).orderBy(*order)
     return rows.withColumn("_place", F.row_number().over(w)).where("_place = 1").drop("_place")
 
 
-def upsert(stored: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Stored rows whose keys aren't in new, and new."""
-    return stored.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new)
+def upsert(stored: DataFrame, new: DataFrame, keys: list[str], order: list[Column] | None = None) -> DataFrame:
+    """Stored rows whose keys aren't in new, and of each key in new the row that comes first in
+    ``order`` (any one without it)."""
+    chosen = latest(new, keys, order) if order else new.dropDuplicates(keys)
+    return stored.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(chosen)
 
 
 def delete(stored: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
@@ -46,5 +107,123 @@ def sync_diff(store: DataFrame, index: DataFrame, key: str) -> DataFrame:
     return a.join(b, key, "left_anti").withColumn("side", F.lit("store")).unionByName(b.join(a, key, "left_anti").withColumn("side", F.lit("index")))
 
 
+def level_filter(level: str | None) -> Column:
+    """doc_level by the names of levels and scopes; names that aren't known, and ``all``, take every row."""
+    wanted = {"child": "child", "leaves": "child", "leaf": "child", "parent": "parent", "parents": "parent"}.get(level or "all")
+    return F.col("doc_level") == wanted if wanted else F.lit(True)
+
+
+def meta_filter(values: dict[str, str]) -> Column:
+    """Rows whose ``meta`` (a map) has all of these values."""
+    out = F.lit(True)
+    for key, value in values.items():
+        out &= F.coalesce(F.try_element_at("meta", F.lit(key)) == value, F.lit(False))
+    return out
+
+
+CHUNK = "doc_id string, content string, doc_level string, parent_id string, language_code string, embedding array<float>, meta map<string,string>"
+
+
+class ChunkStore:
+    """Chunks (CHUNK) in a folder of versions; the last complete one is the store.
+
+    A change writes the next version from the current one by joins, so readers see the state
+    before or after it, and a change that fails leaves nothing behind that counts."""
+
+    def __init__(self, spark: SparkSession, folder: str, longest: int = 200_000) -> None:
+        self.spark, self.folder, self.longest = spark, folder.rstrip("/"), longest
+
+    def _fs(self):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _version(self) -> int:
+        path, fs = self._fs()
+        if not fs.exists(path):
+            return -1
+        names = [f.getPath().getName() for f in fs.listStatus(path)]
+        return max((int(n[1:]) for n in names if n.startswith("v") and n[1:].isdigit()), default=-1)
+
+    def chunks(self) -> DataFrame:
+        at = self._version()
+        return self.spark.createDataFrame([], CHUNK) if at < 0 else self.spark.read.schema(CHUNK).parquet(f"{self.folder}/v{at}")
+
+    def _replace(self, rows: DataFrame) -> None:
+        at, (_, fs) = self._version() + 1, self._fs()
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        temporary = f"{self.folder}/new-{uuid.uuid4().hex}"
+        rows.select(*self.chunks().columns).write.parquet(temporary)
+        if not fs.rename(path(temporary), path(f"{self.folder}/v{at}")):
+            raise RuntimeError("another writer changed the store")
+
+    def _chunk(self, rows: DataFrame, level: str) -> DataFrame:
+        """Rows in the store's columns: long contents are cut and marked, defaults filled in."""
+        have = {c.lower() for c in rows.columns}
+        col = lambda c, kind: F.col(c).cast(kind) if c in have else F.lit(None).cast(kind)
+        meta = F.coalesce(col("meta", "map<string,string>"), F.create_map().cast("map<string,string>"))
+        cut = F.length("content") > self.longest
+        meta = F.when(cut, F.map_concat(F.map_filter(meta, lambda k, _: k != "truncated"), F.create_map(F.lit("truncated"), F.lit("true")))).otherwise(meta)
+        return rows.select(
+            F.col("doc_id").cast("string").alias("doc_id"),
+            F.substring("content", 1, self.longest).alias("content"),
+            F.coalesce(col("doc_level", "string"), F.lit(level)).alias("doc_level"),
+            F.coalesce(col("parent_id", "string"), F.lit("")).alias("parent_id"),
+            F.coalesce(col("language_code", "string"), F.lit("en")).alias("language_code"),
+            col("embedding", "array<float>").alias("embedding"),
+            meta.alias("meta"),
+        )
+
+    def upsert(self, rows: DataFrame, order: list[Column] | None = None) -> None:
+        """Add or replace embedded chunks; ``order`` tells which of rows of one id is the last."""
+        kept = latest(rows, ["doc_id"], order) if order else rows
+        self._replace(upsert(self.chunks(), self._chunk(kept, "child"), ["doc_id"]))
+
+    def upsert_documents(self, rows: DataFrame) -> None:
+        """Add or replace chunks without vectors: parents unless they say otherwise."""
+        self._replace(upsert(self.chunks(), self._chunk(rows.drop("embedding"), "parent"), ["doc_id"]))
+
+    def remove(self, ids: DataFrame) -> None:
+        self._replace(delete(self.chunks(), ids.select(F.col("doc_id").cast("string").alias("doc_id")), ["doc_id"]))
+
+    def clear(self, confirm: bool = False) -> bool:
+        """Empty the store, if confirmed."""
+        if confirm:
+            self._replace(self.spark.createDataFrame([], CHUNK))
+        return confirm
+
+    def get(self, doc_id: str) -> DataFrame:
+        return self.chunks().where(F.col("doc_id") == doc_id)
+
+    def lookup(self, ids: DataFrame) -> DataFrame:
+        """ids (doc_id, ...) with their chunks, those that are there."""
+        return ids.join(self.chunks(), "doc_id")
+
+    def ids(self, pattern: str = "*", limit: int | None = None, embedded: bool = False) -> DataFrame:
+        """doc_id by a glob pattern, in order."""
+        like = pattern.replace("\\", "\\\\").replace("%", "\\%").replace("_", "\\_").replace("*", "%").replace("?", "_")
+        rows = self.chunks().where(F.col("doc_id").like(like))
+        rows = (rows.where("embedding is not null") if embedded else rows).select("doc_id")
+        return rows if limit is None else rows.orderBy("doc_id").limit(limit)
+
+    def embedded(self, ids: DataFrame) -> DataFrame:
+        """(doc_id, embedded) of the asked ids."""
+        have = self.chunks().where("embedding is not null").select("doc_id", F.lit(True).alias("embedded"))
+        return ids.select("doc_id").distinct().join(have, "doc_id", "left").select("doc_id", F.coalesce("embedded", F.lit(False)).alias("embedded"))
+
+    def count(self) -> int:
+        return self.chunks().count()
+
+    def info(self) -> dict:
+        row = self.chunks().agg(F.count("*").alias("documents"), F.count("embedding").alias("embedded"), F.count_if(F.col("doc_level") == "parent").alias("parents"), F.countDistinct("language_code").alias("languages")).first()
+        return row.asDict() | {"version": self._version()}
+
+    def healthy(self) -> bool:
+        try:
+            self.chunks().limit(1).collect()
+        except Exception:  # noqa: BLE001  a probe: any failure means no
+            return False
+        return True
+
+
 def write(rows: DataFrame, path: str, mode: str = "append", by: list[str] | None = None) -> None:
     rows.write.mode(mode).partitionBy(*(by or [])).parquet(path)
