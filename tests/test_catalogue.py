@@ -40,13 +40,6 @@ def test_equals_sql(spark, duck, name):
         assert all(x == y or (isinstance(x, float) and isinstance(y, float) and math.isclose(x, y, abs_tol=2e-6)) for x, y in zip(a, b, strict=True)), (a, b)
 
 
-def test_streams_equal_batch(spark, tmp_path):
-    from lodestone.streaming import jobs
-
-    path = f"{FOLDER}/events.parquet"
-    batch = spark.read.parquet(path)
-    seen = []
-    events = jobs.stream(spark, f"{FOLDER}/events*.parquet", batch.schema)
-    job = jobs.ingest(events, lambda df, n: seen.append(df.count()), str(tmp_path / "state"))
-    job.awaitTermination()
-    assert sum(seen) == batch.count()
+@pytest.mark.parametrize("name", sorted(catalogue.queries().keys() - catalogue.oracle_sql().keys()))
+def test_runs_whole(spark, name):
+    assert catalogue.queries()[name](spark, FOLDER).count() > 0
