@@ -152,7 +152,7 @@ def toxicity(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             docs = s.hi - s.lo
             doc = s.doc_of(start)
             odds = model.odds(number, word, len(start))
-            score = -np.expm1(-noisy_or(odds, doc, docs))
+            score = -np.expm1(-noisy_or(odds, doc, docs)) + 0.0  # no negative zero
             own = 1 / (1 + np.exp(-odds))
             bad = np.flatnonzero(own >= 0.5)
             found: list[list] = [[] for _ in range(docs)]
