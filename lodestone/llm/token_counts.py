@@ -16,7 +16,8 @@ Nothing grows beyond a slab but the memory of counted pre-tokens, which is
 emptied at ``memo`` entries (a later meeting is then counted again: same result).
 
 Null text counts as empty.  Null or repeated ids are no matter: rows are told
-apart by their place.  An empty table gives an empty result.
+apart by their place.  Other columns don't matter, whatever their names.  An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -36,7 +37,8 @@ from . import kernels as K
 from .common import Blocks, only, pack, unpack
 
 SEPARATOR = 0x10FFFF
-BUCKETS = 64
+#: Buckets at least and at most; between, as many as the session's shuffle partitions.
+BUCKETS = (64, 4096)
 MEMO = 400_000
 #: Larger slabs have fewer distinct pre-tokens in all.
 SLAB = 4 << 20
@@ -47,6 +49,29 @@ def _char_codes() -> np.ndarray:
     return K.mix(np.arange(1, 0x110001, dtype=K.U64) * K.U64(0x9E3779B97F4A7C15))
 
 
+@cache
+def char_runs(spec: str) -> tuple[np.ndarray, np.ndarray]:
+    """Where the classes of code points change, and the classes, as the library's own pattern
+    has them: each code point stands between a letter, a number and a mark, and what it is
+    joined with tells its class.  Planes 4 to 13, 15 and 16 have neither letters nor numbers."""
+    from tokenizers import Tokenizer
+
+    split = Tokenizer.from_str(spec).pre_tokenizer
+    kind = np.full(0x110000, K.OTHER, dtype=np.uint8)
+    for lo in [*range(0, 0x40000, 1 << 14), 0xE0000]:
+        codes = np.array([c for c in range(lo, lo + (1 << 14)) if not 0xD800 <= c < 0xE000])
+        if not len(codes):
+            continue
+        probe = "".join(f"a{chr(c)}1{chr(c)}!\n" for c in codes.tolist())
+        starts = np.zeros(len(probe), dtype=bool)
+        starts[[a for _, (a, _) in split.pre_tokenize_str(probe)]] = True
+        _, letter, number, _, apart, _ = starts.reshape(-1, 6).T
+        kind[codes] = np.where(~letter, K.LETTER, np.where(~number, K.NUMBER, np.where(apart, K.SPACE, K.OTHER)))
+    kind[32] = K.SPACE  # the one blank that joins what follows
+    edge = np.concatenate(([0], np.flatnonzero(np.diff(kind)) + 1))
+    return edge, kind[edge]
+
+
 def pretoken_starts(data: np.ndarray, kind: np.ndarray) -> np.ndarray:
     """Where pre-tokens of the byte-level pattern start.
 
@@ -81,11 +106,12 @@ def pretoken_starts(data: np.ndarray, kind: np.ndarray) -> np.ndarray:
     return at
 
 
-def _map(special: list[str], buckets: int):
+def _map(special: list[str], buckets: int, edge: np.ndarray, classes: np.ndarray):
     marks = [np.array([ord(c) for c in s], dtype=np.uint32) for s in special]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = Blocks()
+        classes_of = np.repeat(classes, np.diff(np.append(edge, 0x110000)))
         for batch in batches:
             ids, column = batch.column(0), batch.column(1)
             sizes = np.diff(K.utf8_column(column)[1])
@@ -93,7 +119,7 @@ def _map(special: list[str], buckets: int):
                 number, docs = block(), s.hi - s.lo
                 base = np.zeros(docs, dtype=np.int64)
                 data = s.data
-                kind = K.char_classes()[data]
+                kind = classes_of[data]
                 kind[s.end] = 4
                 text = None
                 for word, mark in zip(special, marks, strict=True):
@@ -170,12 +196,15 @@ def _total(table: pa.Table) -> pa.Table:
     return pa.table({"id": pa.array(ids, pa.string()), "n_bytes": pa.array(sizes.astype(np.int64)), "n_tokens": pa.array(total, pa.int64())})
 
 
-def token_counts(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 512, buckets: int = BUCKETS, memo: int = MEMO) -> DataFrame:
+def token_counts(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 512, buckets: int | None = None, memo: int = MEMO) -> DataFrame:
     """Per row: its id, n_bytes, n_tokens and over_limit (n_tokens > limit).
 
     ``tokenizer_path``: a byte-level BPE file of the tokenizers library, read on the
     driver and sent to the tasks.  Strings of its special tokens inside a text count
-    one each, as the library handles them by default."""
+    one each, as the library handles them by default.  ``buckets``: into how many parts
+    the distinct pre-tokens are dealt, by default as many as the session has shuffle partitions."""
+    if buckets is None:
+        buckets = min(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), BUCKETS[0]), BUCKETS[1])
     with open(tokenizer_path, encoding="utf-8") as f:
         spec = json.load(f)
     if spec["pre_tokenizer"] != spec["pre_tokenizer"] | {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True} or spec["normalizer"]:
@@ -184,9 +213,10 @@ def token_counts(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", tex
     if any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in added):
         raise ValueError("added tokens that strip or match single words aren't supported")
     spec["truncation"] = spec["padding"] = None
-    kind = dict(df.dtypes).get(id_col, "string")
-    rows = only(df, id=id_col, text=text_col).select(F.col("id").cast("string"), "text")
-    parts = rows.mapInArrow(_map([t["content"] for t in added], buckets), "bucket int, block long, data binary")
+    rows = only(df, id=id_col, text=text_col)
+    kind = rows.schema["id"].dataType.simpleString()
+    rows = rows.select(F.col("id").cast("string"), "text")
+    parts = rows.mapInArrow(_map([t["content"] for t in added], buckets, *char_runs(json.dumps(spec))), "bucket int, block long, data binary")
     sums = parts.repartition(buckets, "bucket").mapInArrow(_count(json.dumps(spec), buckets, memo), "block long, data binary")
     out = sums.groupBy("block").applyInArrow(_total, "id string, n_bytes long, n_tokens long")
     return out.select(F.col("id").cast(kind).alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
