@@ -20,11 +20,13 @@ Words of more than ``longest`` characters are rare and differ in length: each is
 alone, by a queue of its joins instead of a search over all places.
 
 Null and empty text: no ids.  Rows are told apart by their place, so null and repeated
-ids are no matter.  An empty table gives an empty result.
+ids are no matter, nor are other columns, whatever their names.  An empty table gives an
+empty result.
 """
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 from collections.abc import Iterator
 from functools import cache
@@ -253,32 +255,56 @@ def slab_ids(s: K.CodeSlab, proto: bytes, longest: int) -> tuple[np.ndarray, np.
     return _spread(flat, begin[word], count[word]), np.bincount(doc, count[word], minlength=s.hi - s.lo).astype(np.int64)
 
 
-def encode(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", longest: int = LONGEST) -> DataFrame:
-    """Per row: its id, the piece ids of its text and their number n_pieces."""
+def encode(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", longest: int = LONGEST, checked: bool = False) -> DataFrame:
+    """Per row: its id, the piece ids of its text and their number n_pieces; ``checked``: also
+    the SHA-256 of what the ids decode to, and whether that is the text."""
     proto, _ = _model(model_path)
     rows = only(df, id=id_col, text=text_col)
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        pieces = _piece_bytes(proto) if checked else None
         for s in K.code_slabs(batch.column(1), limit=SLAB):
             ids, n = slab_ids(s, proto, longest)
-            offsets = pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(s.lo, s.hi - s.lo), pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32())), pa.array(n)], names=["id", "ids", "n_pieces"])
+            offsets = np.concatenate(([0], np.cumsum(n)))
+            out = [batch.column(0).slice(s.lo, s.hi - s.lo), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32())), pa.array(n)]
+            if checked:
+                texts = batch.column(1).slice(s.lo, s.hi - s.lo).to_pylist()
+                back = list(_texts(pa.array(ids, pa.int32()), offsets, pieces))
+                out += [pa.array([hashlib.sha256(b).hexdigest() for b in back]), pa.array([(t or "").encode() == b for t, b in zip(texts, back, strict=True)], pa.bool_())]
+            yield pa.RecordBatch.from_arrays(out, names=["id", "ids", "n_pieces", "decoded_sha256", "same"][: len(out)])
 
-    return map_arrow(rows, run, f"id {rows.schema['id'].dataType.simpleString()}, ids array<int>, n_pieces long").withColumnRenamed("id", id_col)
+    more = ", decoded_sha256 string, same boolean" if checked else ""
+    return map_arrow(rows, run, f"id {rows.schema['id'].dataType.simpleString()}, ids array<int>, n_pieces long{more}").withColumnRenamed("id", id_col)
+
+
+@cache
+def _piece_bytes(proto: bytes) -> pa.Array:
+    """What each id becomes in a text, before the text's own blank is taken off."""
+    sp = _load(proto)
+    return pa.array([bytes([int(sp.id_to_piece(i)[1:-1], 16)]) if sp.is_byte(i) else b"" if sp.is_control(i) else sp.id_to_piece(i).replace(MARK, " ").encode() for i in range(sp.get_piece_size())], pa.binary())
+
+
+def _texts(ids: pa.Array, offsets: np.ndarray, pieces: pa.Array) -> Iterator[bytes]:
+    """The bytes of each text: its ids' pieces lie one after the other once they are taken."""
+    taken = pieces.take(ids)
+    _, edges, data = taken.buffers()
+    edges = np.frombuffer(edges, np.int32)[: len(ids) + 1] if len(ids) else np.zeros(1, np.int32)
+    whole = memoryview(data) if data is not None else memoryview(b"")
+    cut = edges[offsets].tolist()
+    for a, b in zip(cut[:-1], cut[1:], strict=True):
+        yield bytes(whole[a + (a < b and whole[a : a + 1] == b" ") : b])
 
 
 def decode(df: DataFrame, model_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """Per row: its id and the text of its piece ids (null: null)."""
-    _, sp = _model(model_path)
-    pieces = [bytes([int(sp.id_to_piece(i)[1:-1], 16)]) if sp.is_byte(i) else b"" if sp.is_control(i) else sp.id_to_piece(i).replace(MARK, " ").encode() for i in range(sp.get_piece_size())]
+    """Per row: its id and the text of its piece ids (null: null); bytes that aren't UTF-8
+    become marks, ids that the model lacks are an error."""
+    proto, _ = _model(model_path)
     rows = only(df, id=id_col, ids=ids_col)
 
-    def text(ids: list[int] | None) -> str | None:
-        if ids is None:
-            return None
-        return b"".join([pieces[i] for i in ids]).removeprefix(b" ").decode("utf-8", "replace")
-
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([text(x) for x in batch.column(1).to_pylist()], pa.string())], names=["id", "text"])
+        lists = batch.column(1)
+        offsets = np.concatenate(([0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)))).astype(np.int64)
+        texts = [None if null else b.decode("utf-8", "replace") for b, null in zip(_texts(lists.flatten().cast(pa.int32()), offsets, _piece_bytes(proto)), lists.is_null().to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["id", "text"])
 
     return map_arrow(rows, run, f"id {rows.schema['id'].dataType.simpleString()}, text string").withColumnRenamed("id", id_col)

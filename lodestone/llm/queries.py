@@ -59,7 +59,7 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return encode(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), checked=True)
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
