@@ -20,8 +20,10 @@ WHOLE = "size(embedding) > 0 and forall(embedding, x -> x is not null)"
 
 def _blocks(queries: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Query ids and unit vectors, a bounded block at a time."""
+    rows = queries.where(WHOLE).select("query_id", "embedding")
+    few = rows.limit(BLOCK + 1).toArrow()
     ids, vectors = [], []
-    for r in queries.where(WHOLE).toLocalIterator():
+    for r in few.to_pylist() if few.num_rows <= BLOCK else (r.asDict() for r in rows.coalesce(1).toLocalIterator()):
         if vectors and len(r["embedding"]) != len(vectors[0]):
             yield np.array(ids), np.array(vectors, dtype=np.float64)
             ids, vectors = [], []

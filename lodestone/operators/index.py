@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as T
 from lodestone.operators import sparse as S
 
-BUCKETS = 256
+BUCKETS, FEW = 256, 10_000
+POSTINGS = "doc_id long, term string, tf long, dl int, bucket int"
 EMPTY = {"segments": [], "removed": [], "n": 0, "terms": 0}
 
 
@@ -64,26 +65,38 @@ class SparseIndex:
 
     # --- what stands
 
-    def _all(self, kind: str, schema: str, state: dict) -> DataFrame:
-        parts = [self.spark.read.schema(schema).parquet(f"{self.folder}/{x}/{kind}") for x in state["segments"]]
+    def _all(self, kind: str, schema: str, state: dict, buckets: list[int] | None = None) -> DataFrame:
+        segments = list(state["segments"])
+        if buckets is None:
+            parts = [self.spark.read.schema(schema).parquet(f"{self.folder}/{x}/{kind}") for x in segments]
+        else:
+            # the folders of the asked buckets alone, so that no others are listed
+            found = {x: self._buckets(f"{x}/{kind}", buckets) for x in segments}
+            segments = [x for x in segments if found[x]]
+            parts = [self.spark.read.schema(schema).option("basePath", f"{self.folder}/{x}/{kind}").parquet(*found[x]) for x in segments]
         if not parts:
             return self.spark.createDataFrame([], schema)
         gone = [self.spark.read.parquet(f"{self.folder}/{x}") for x in state["removed"]]
         # an id that is removed and added again counts from its new segment on
         at = {x: i for i, x in enumerate(state["segments"])}
-        parts = [p.withColumn("segment", F.lit(at[x])) for x, p in zip(state["segments"], parts, strict=True)]
+        parts = [p.withColumn("segment", F.lit(at[x])) for x, p in zip(segments, parts, strict=True)]
         rows = reduce(DataFrame.unionByName, parts)
         if gone:
             late = reduce(DataFrame.unionByName, gone).groupBy("doc_id").agg(F.max("upto").alias("upto"))
             rows = rows.join(late, "doc_id", "left").where("upto is null or segment >= upto").drop("upto")
         return rows.drop("segment")
 
+    def _buckets(self, folder: str, wanted: list[int]) -> list[str]:
+        path, fs = self._path(folder)
+        there = {f.getPath().getName() for f in fs.listStatus(path)}
+        return [f"{self.folder}/{folder}/bucket={b}" for b in wanted if f"bucket={b}" in there]
+
     def documents(self) -> DataFrame:
         """(doc_id, dl) of the documents in the index."""
         return self._all("docs", "doc_id long, dl int", self._manifest()[1])
 
     def postings(self) -> DataFrame:
-        return self._all("postings", "doc_id long, term string, tf long, dl int, bucket int", self._manifest()[1])
+        return self._all("postings", POSTINGS, self._manifest()[1])
 
     def stats(self) -> dict:
         _, state = self._manifest()
@@ -150,9 +163,16 @@ class SparseIndex:
     def search(self, queries: DataFrame, k: int = 10) -> DataFrame:
         """queries (query_id, text) to (query_id, doc_id, score, rank) by BM25."""
         _, state = self._manifest()
-        asked = S.asked_terms(queries)
-        # at most BUCKETS numbers
-        buckets = [r[0] for r in asked.select(_bucket(F.col("term"))).distinct().collect()]
-        post = self.postings().where(F.col("bucket").isin(buckets)).drop("bucket").join(asked.select("term").distinct(), "term", "left_semi")
+        asked = S.asked_terms(queries).withColumn("bucket", _bucket(F.col("term")))
+        # few queries become a table of known size, which joins without a shuffle
+        few = asked.limit(FEW + 1).toArrow()
+        if few.num_rows <= FEW:
+            buckets = sorted(set(few["bucket"].to_pylist()))
+            asked = self.spark.createDataFrame(few)
+        else:
+            # at most BUCKETS numbers
+            buckets = [r[0] for r in asked.select("bucket").distinct().collect()]
+        asked = asked.drop("bucket")
+        post = self._all("postings", POSTINGS, state, buckets).drop("bucket").join(asked.select("term").distinct(), "term", "left_semi")
         avgdl = state["terms"] / state["n"] if state["n"] else 1.0
         return S.top_k(S.score(post, asked, F.lit(state["n"]), F.lit(avgdl), self.k1, self.b), k)
