@@ -197,13 +197,13 @@ def repeated_strings(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     known = rows.select("id", "text", F.xxhash64("text").alias("t1"), F.xxhash64("text", F.lit(1)).alias("t2"), tag).join(oldest, ["t1", "t2"], "left")
     known = settle(known.select("id", "text", "tag", F.coalesce(F.col("id") > F.col("least"), F.lit(False)).alias("copy")))
     part = known.where(f"id is not null and not copy and octet_length(text) >= {length}").select("id", "tag", "text")
-    found = map_arrow(part, _grams(length, gram), f"id {kind}, key long, place long")
+    found = settle(map_arrow(part, _grams(length, gram), f"id {kind}, key long, place long"))
     keys = settle(found.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key"))
     own = ["id", F.shiftright("place", TAG).alias("tag")]
     alive = settle(found.join(keys, "key", "left_semi").groupBy(*own).agg(F.collect_list("place").alias("at")))
-    release(keys)
-    once = part.dropDuplicates(["id", "tag"])
-    halves = settle(map_arrow(once.join(alive, ["id", "tag"]), _halves(length, gram), f"id {kind}, half long, whole long, place long"))
+    release(keys, found)
+    # rows of equal id and text give the same rows twice, which no step minds
+    halves = settle(map_arrow(part.join(alive, ["id", "tag"]), _halves(length, gram), f"id {kind}, half long, whole long, place long"))
     release(alive)
     classes = settle(halves.groupBy("half", "whole").agg(F.min("id").alias("least")))
     late = settle(halves.join(classes, ["half", "whole"]).where("id > least").select("id", "place"))
@@ -212,7 +212,7 @@ def repeated_strings(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     release(classes)
     asked = settle(halves.join(firsts, ["half", "whole", "id"], "left_semi").groupBy(*own).agg(F.collect_list("place").alias("at")))
     release(halves, firsts)
-    strings = settle(map_arrow(once.join(asked, ["id", "tag"]), _strings(length), f"id {kind}, key long, key2 long, place long"))
+    strings = settle(map_arrow(part.join(asked, ["id", "tag"]), _strings(length), f"id {kind}, key long, key2 long, place long"))
     release(asked)
     first = strings.groupBy("key", "key2").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key", "key2", "lo")
     single = strings.join(first, ["key", "key2"]).where("id > lo").select("id", "place")
