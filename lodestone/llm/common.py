@@ -50,7 +50,7 @@ def shared_dir(spark: SparkSession) -> str:
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def settle(df: DataFrame) -> DataFrame:
+def settle(df: DataFrame, codec: str = "snappy") -> DataFrame:
     """The rows, written to the shared folder and read again: lineage ends here, and
     lost executors cost no recomputation of what stands before."""
     spark = df.sparkSession
@@ -58,7 +58,7 @@ def settle(df: DataFrame) -> DataFrame:
     before = spark.conf.get(_CLEAN, "false")
     spark.conf.set(_CLEAN, "true")
     try:
-        df.write.parquet(path)
+        df.write.option("compression", codec).parquet(path)
     finally:
         spark.conf.set(_CLEAN, before)
     out = spark.read.schema(df.schema).parquet(path)

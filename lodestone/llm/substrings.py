@@ -195,7 +195,7 @@ def repeated_strings(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # copies of a text beyond its least document go whole and take no further part
     oldest = long.groupBy(F.xxhash64("text").alias("t1"), F.xxhash64("text", F.lit(1)).alias("t2")).agg(F.min("id").alias("least"))
     known = rows.select("id", "text", F.xxhash64("text").alias("t1"), F.xxhash64("text", F.lit(1)).alias("t2"), tag).join(oldest, ["t1", "t2"], "left")
-    known = settle(known.select("id", "text", "tag", F.coalesce(F.col("id") > F.col("least"), F.lit(False)).alias("copy")))
+    known = settle(known.select("id", "text", "tag", F.coalesce(F.col("id") > F.col("least"), F.lit(False)).alias("copy")), "zstd")
     part = known.where(f"id is not null and not copy and octet_length(text) >= {length}").select("id", "tag", "text")
     found = settle(map_arrow(part, _grams(length, gram), f"id {kind}, key long, place long"))
     keys = settle(found.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key"))
@@ -214,10 +214,10 @@ def repeated_strings(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     release(halves, firsts)
     strings = settle(map_arrow(part.join(asked, ["id", "tag"]), _strings(length), f"id {kind}, key long, key2 long, place long"))
     release(asked)
-    first = strings.groupBy("key", "key2").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key", "key2", "lo")
+    first = settle(strings.groupBy("key", "key2").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key", "key2", "lo"))
     single = strings.join(first, ["key", "key2"]).where("id > lo").select("id", "place")
     marks = settle(late.union(single).groupBy(*own).agg(F.collect_list("place").alias("spans")))
-    release(late, strings)
+    release(late, strings, first)
     whole = known.join(marks, ["id", "tag"], "left").select("id", "text", F.coalesce("spans", F.array().cast("array<bigint>")).alias("spans"), "copy")
     out = map_arrow(whole, _remove(length), f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>")
     return out.withColumnRenamed("id", id_col)
