@@ -46,7 +46,7 @@ OPENINGS = ["what is", "who is", "when did", "where is"]
 MARKERS = ["and", "but", "also", "additionally", "furthermore", "moreover", "compare", "contrast"]
 
 # Words of a query that ask for the web.
-WEB_WORDS = ["latest", "recent", "current", "today", "news", "update"]
+WEB_WORDS = ["latest", "recent", "current", "today", "news", "update", "new", "2024", "2025", "now"]
 
 # Kinds of a chunk by its beginning.
 CHUNK_STARTS = [
@@ -106,13 +106,49 @@ CONTENT_TYPES = {
 MORE_CONTENT_TYPES = ["application/xhtml+xml", "text/x-markdown", "text/xml"]
 
 # Extensions of media files.
-AUDIO = [".mp3", ".wav", ".m4a", ".flac", ".ogg", ".aac", ".wma", ".opus"]
-VIDEO = [".mp4", ".mkv", ".avi", ".mov", ".webm", ".flv", ".wmv", ".m4v"]
-IMAGE = [".png", ".jpg", ".jpeg", ".gif", ".bmp", ".webp", ".tiff"]
+AUDIO = [".mp3", ".wav", ".m4a", ".flac", ".ogg", ".aac", ".opus", ".wma", ".aiff", ".aif"]
+VIDEO = [".mp4", ".mkv", ".webm", ".mov", ".avi", ".m4v", ".flv", ".wmv", ".ts"]
+IMAGE = [".png", ".jpg", ".jpeg", ".gif", ".webp", ".bmp", ".tiff", ".tif"]
 PLAIN = [".txt", ".md", ".rst"]
 
 # Names of languages; others are named by their code in capitals.
-LANGUAGES = {"en": "English", "de": "German", "fr": "French", "es": "Spanish", "it": "Italian", "pt": "Portuguese", "nl": "Dutch", "pl": "Polish", "ru": "Russian", "uk": "Ukrainian", "zh": "Chinese", "ja": "Japanese", "ko": "Korean", "ar": "Arabic", "hi": "Hindi", "tr": "Turkish", "sv": "Swedish"}
+LANGUAGES = {
+    "en": "English",
+    "zh": "Chinese",
+    "es": "Spanish",
+    "ar": "Arabic",
+    "pt": "Portuguese",
+    "ru": "Russian",
+    "ja": "Japanese",
+    "de": "German",
+    "fr": "French",
+    "ko": "Korean",
+    "it": "Italian",
+    "nl": "Dutch",
+    "pl": "Polish",
+    "tr": "Turkish",
+    "vi": "Vietnamese",
+    "th": "Thai",
+    "id": "Indonesian",
+    "cs": "Czech",
+    "sv": "Swedish",
+    "ro": "Romanian",
+    "el": "Greek",
+    "hu": "Hungarian",
+    "da": "Danish",
+    "fi": "Finnish",
+    "no": "Norwegian",
+    "hi": "Hindi",
+    "bn": "Bengali",
+    "ta": "Tamil",
+    "ur": "Urdu",
+    "fa": "Persian",
+    "he": "Hebrew",
+    "ms": "Malay",
+    "sw": "Swahili",
+    "zu": "Zulu",
+    "af": "Afrikaans",
+}
 
 # Field names of JSON records, in order.
 TEXT_FIELDS = ["content", "body", "text", "description", "message", "summary", "details", "value"]

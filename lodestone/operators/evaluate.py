@@ -24,7 +24,7 @@ def overlaps(queries: DataFrame, results: DataFrame, most: int = CONSIDERED) ->
     return rows.select("query_id", "rank", "score", F.length("content").alias("n"), F.size("q").alias("asked"), F.size(F.array_intersect("q", words)).alias("shared"))
 
 
-def quick_check(queries: DataFrame, results: DataFrame, least: int = 2) -> DataFrame:
+def quick_check(queries: DataFrame, results: DataFrame, least: int = 1) -> DataFrame:
     """(query_id, enough): ``least`` results, as many of a score over 0.5, and as many of the
     first eight with three tenths of the query's words."""
     counts = results.groupBy("query_id").agg(F.count("*").alias("n"), F.count_if(F.col("score") > 0.5).alias("high"))
@@ -34,7 +34,7 @@ def quick_check(queries: DataFrame, results: DataFrame, least: int = 2) -> DataF
     return rows.select("query_id", ok.alias("enough"))
 
 
-def context_scores(queries: DataFrame, results: DataFrame, threshold: float = 0.6) -> DataFrame:
+def context_scores(queries: DataFrame, results: DataFrame, threshold: float = 0.5) -> DataFrame:
     """(query_id, relevance, coverage, specificity, confidence, sufficient, recommendation) of a
     query's first eight results.  A query without results is to be rewritten, with confidence 1."""
     seen = overlaps(queries, results)

@@ -109,15 +109,15 @@ def _results(spark: SparkSession, d: str) -> DataFrame:
 
 
 @_query(f"""with {SEEN}, c as (select query_id, count(*) as n, count(*) filter (score > 0.5) as high, count(*) filter (rank <= 8 and shared >= asked * 0.3) as near from seen group by 1)
-select item_id as query_id, coalesce(n, 0) >= 2 and coalesce(high, 0) >= 2 and coalesce(near, 0) >= 2 as enough from benchmark left join c on c.query_id = item_id""")
+select item_id as query_id, coalesce(n, 0) >= 1 and coalesce(high, 0) >= 1 and coalesce(near, 0) >= 1 as enough from benchmark left join c on c.query_id = item_id""")
 def quick_check(spark, d):
     return E.quick_check(_asked(spark, d), _results(spark, d))
 
 
 @_query(f"""with {SEEN}, a as (select query_id, avg(shared / asked) * 5 + avg(score) * 5 as relevance, least(10, count(*) filter (shared / asked > 0.2) * 3.0)::double as coverage, case when sum(n) > 5000 then 8.0 when sum(n) > 2000 then 6.0 when sum(n) > 500 then 4.0 else 2.0 end::double as specificity from seen where rank <= 8 group by 1),
 m as (select *, (relevance + coverage + specificity) / 3 as mean from a)
-select query_id, round(relevance, 6) as relevance, coverage, specificity, round(greatest(0.4, least(0.8, 1 - ((relevance - mean) ** 2 + (coverage - mean) ** 2 + (specificity - mean) ** 2) / 3 / 50)), 6) as confidence, mean >= 6 as sufficient,
-  case when mean >= 6 then 'proceed' when relevance < 3 then 'rewrite_query' when coverage < 3 then 'expand_retrieval' else 'proceed' end as recommendation from m
+select query_id, round(relevance, 6) as relevance, coverage, specificity, round(greatest(0.4, least(0.8, 1 - ((relevance - mean) ** 2 + (coverage - mean) ** 2 + (specificity - mean) ** 2) / 3 / 50)), 6) as confidence, mean >= 5 as sufficient,
+  case when mean >= 5 then 'proceed' when relevance < 3 then 'rewrite_query' when coverage < 3 then 'expand_retrieval' else 'proceed' end as recommendation from m
 union all select item_id, 0, 0, 0, 1, false, 'rewrite_query' from benchmark where item_id not in (select query_id from a)""")
 def context_eval(spark, d):
     return rounded(E.context_scores(_asked(spark, d), _results(spark, d)), "relevance", "confidence")
