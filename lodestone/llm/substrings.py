@@ -197,11 +197,12 @@ def repeated_strings(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     known = rows.select("id", "text", F.xxhash64("text").alias("t1"), F.xxhash64("text", F.lit(1)).alias("t2"), tag).join(oldest, ["t1", "t2"], "left")
     known = settle(known.select("id", "text", "tag", F.coalesce(F.col("id") > F.col("least"), F.lit(False)).alias("copy")), "zstd")
     part = known.where(f"id is not null and not copy and octet_length(text) >= {length}").select("id", "tag", "text")
-    found = settle(map_arrow(part, _grams(length, gram), f"id {kind}, key long, place long"))
+    # cheaper made twice than written: most grams are in one document alone
+    found = map_arrow(part, _grams(length, gram), f"id {kind}, key long, place long")
     keys = settle(found.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key"))
     own = ["id", F.shiftright("place", TAG).alias("tag")]
     alive = settle(found.join(keys, "key", "left_semi").groupBy(*own).agg(F.collect_list("place").alias("at")))
-    release(keys, found)
+    release(keys)
     # rows of equal id and text give the same rows twice, which no step minds
     halves = settle(map_arrow(part.join(alive, ["id", "tag"]), _halves(length, gram), f"id {kind}, half long, whole long, place long"))
     release(alive)
