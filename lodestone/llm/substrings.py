@@ -1,11 +1,12 @@
-"""Operator 5: removal of repeated strings, by prefix doubling over sampled positions.
+"""Operator 5: removal of repeated strings, by hash grouping of sampled positions.
 
 A byte goes if a string of ``length`` bytes that covers it also starts in a document with
 a smaller id.  Ranking every position would sort many times the corpus, so positions are
 sampled: the anchor of a string is, among the starts of its grams of ``GRAM`` bytes, the
 one of least hash, leftmost of equals.  Equal strings have their anchors at the same
 place, so they meet whatever else is dropped; an anchor has all strings that chose it.
-Then the ranks of anchors grow as in prefix doubling, and what is unique stops:
+This stands in place of prefix doubling (figures in the README): anchors are grouped by
+longer and longer strings, and what is unique stops:
 
 1. By their grams: an anchor whose gram is in one document alone is done.
 2. By 35 bytes from the anchor on, or up to the gram's end, for the strings that hold
