@@ -208,7 +208,8 @@ class InvertedLists:
 
         def visited(asking: DataFrame, bounded: bool) -> DataFrame:
             pairs = asking.select("key", "id", "label", "v", "low", "high", "bound").mapInArrow(_choose(self.meta, self.centroids, self.kind, 4 * k, bounded), "block long, head binary, edges binary, q binary")
-            met = pairs.join(self.lists.select("block", "ids", "labels", "v"), "block").select("head", "edges", "q", "ids", "labels", "v")
+            # Spark's estimate of the pairs' size is far too small: without the hint it may broadcast them
+            met = pairs.hint("merge").join(self.lists.select("block", "ids", "labels", "v"), "block").select("head", "edges", "q", "ids", "labels", "v")
             made = met.mapInArrow(_score(k, same, self.kind, self.exact), "key long, w int, id long, score long")
             return made.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
