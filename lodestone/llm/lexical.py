@@ -246,6 +246,9 @@ def search(indexed: DataFrame, items: DataFrame, k: int = 10, item_col: str = "i
         # a block's terms are at most those of its queries: few in all means few here
         lists = met(post, wanted).select("block", "shard", "weight", "items", F.col("df").alias("held"), "postings")
         every = shards.select(F.col("shard").alias("own"), "ids", "lengths").withColumn("own_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        # groups are small in bytes and long in time: as many tasks as there are partitions, none put together
+        parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        lists, every = lists.repartition(parts, "block", "shard"), every.repartition(parts, "own_block", "own")
         found = lists.groupBy("block", "shard").cogroup(every.groupBy("own_block", "own")).applyInArrow(_search(k, n, total, *kinds), result)
     order = Window.partitionBy("item").orderBy(F.desc("score"), F.col("id").asc_nulls_last())
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
