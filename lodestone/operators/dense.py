@@ -7,8 +7,11 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from lodestone.functions.vector import dot, int8, norm
 from lodestone.operators.sparse import DECIMALS, top_k
@@ -18,22 +21,22 @@ BLOCK = 2048
 WHOLE = "size(embedding) > 0 and forall(embedding, x -> x is not null)"
 
 
-def _blocks(queries: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _blocks(queries: DataFrame) -> Iterator[tuple[list, np.ndarray]]:
     """Query ids and unit vectors, a bounded block at a time."""
     rows = queries.where(WHOLE).select("query_id", "embedding")
     few = rows.limit(BLOCK + 1).toArrow()
     ids, vectors = [], []
     for r in few.to_pylist() if few.num_rows <= BLOCK else (r.asDict() for r in rows.coalesce(1).toLocalIterator()):
         if vectors and len(r["embedding"]) != len(vectors[0]):
-            yield np.array(ids), np.array(vectors, dtype=np.float64)
+            yield ids, np.array(vectors, dtype=np.float64)
             ids, vectors = [], []
         ids.append(r["query_id"])
         vectors.append(r["embedding"])
         if len(ids) == BLOCK:
-            yield np.array(ids), np.array(vectors, dtype=np.float64)
+            yield ids, np.array(vectors, dtype=np.float64)
             ids, vectors = [], []
     if ids:
-        yield np.array(ids), np.array(vectors, dtype=np.float64)
+        yield ids, np.array(vectors, dtype=np.float64)
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -46,21 +49,24 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return np.divide(m, size, out=np.zeros_like(m), where=size > 0)
 
 
-def _search(ids: np.ndarray, queries: np.ndarray, k: int, binary: bool):
+def _search(ids: list, queries: np.ndarray, k: int, binary: bool, kinds: tuple[pa.DataType, pa.DataType]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = pa.array(ids, kinds[0])
         q = np.where(queries > 0, 1.0, -1.0) if binary else _unit(queries)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            doc, m = batch.column(0).to_numpy(), _matrix(batch.column(1))
+            # by id, so that places tell which of equal scores comes first, whatever the type of ids
+            order = pc.sort_indices(batch.column(0))
+            doc, m = batch.column(0).take(order), _matrix(batch.column(1))[order.to_numpy()]
             m = np.where(m > 0, 1.0, -1.0) if binary else _unit(m)
             for lo in range(0, len(doc), 4096):
-                own, score = doc[lo : lo + 4096], q @ m[lo : lo + 4096].T
+                own, score = doc.slice(lo, 4096), q @ m[lo : lo + 4096].T
                 # as binary: agreeing less differing signs, so that the distance is (d - score) / 2
                 score = -(q.shape[1] - score) / 2 if binary else score
-                order = np.lexsort((np.broadcast_to(own, score.shape), -np.round(score, DECIMALS)))[:, :k]
-                n = order.shape[1]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(own[order].reshape(-1)), pa.array(np.take_along_axis(score, order, 1).reshape(-1))], names=["query_id", "doc_id", "score"])
+                best = np.argsort(-np.round(score, DECIMALS), axis=1, kind="stable")[:, :k]
+                n = best.shape[1]
+                yield pa.RecordBatch.from_arrays([asked.take(pa.array(np.repeat(np.arange(len(ids)), n))), own.take(pa.array(best.reshape(-1))), pa.array(np.take_along_axis(score, best, 1).reshape(-1))], names=["query_id", "doc_id", "score"])
 
     return run
 
@@ -71,10 +77,12 @@ def dense(vectors: DataFrame, queries: DataFrame, k: int = 10, binary: bool = Fa
     signs.  Scores under ``least`` go.  Vectors of another length than a query's, and
     those with null components, aren't its candidates.  Each batch keeps its k best, so little
     more than the result is shuffled."""
-    rows = vectors.where(WHOLE).select(F.col("doc_id").cast("long"), "embedding")
-    parts = [rows.where(F.size("embedding") == q.shape[1]).mapInArrow(_search(ids.astype(np.int64), q, k, binary), "query_id long, doc_id long, score double") for ids, q in _blocks(queries)]
+    rows = vectors.where(WHOLE).select("doc_id", "embedding")
+    made = StructType([StructField("query_id", queries.schema["query_id"].dataType), StructField("doc_id", rows.schema["doc_id"].dataType), StructField("score", DoubleType())])
+    kinds = to_arrow_type(made["query_id"].dataType), to_arrow_type(made["doc_id"].dataType)
+    parts = [rows.where(F.size("embedding") == q.shape[1]).mapInArrow(_search(ids, q, k, binary, kinds), made) for ids, q in _blocks(queries)]
     if not parts:
-        parts = [rows.select(F.col("doc_id").alias("query_id"), "doc_id", F.lit(0.0).alias("score")).where("false")]
+        parts = [rows.sparkSession.createDataFrame([], made)]
     found = top_k(reduce(DataFrame.unionByName, parts), k)
     return found if least is None else found.where(F.col("score") >= least)
 

@@ -2,15 +2,14 @@
 
 Postings (term, doc_id, tf, dl) lie in folders by a hash bucket of their term, so that a
 search reads the buckets of its terms alone.  Adding documents writes a segment, removing
-some writes their ids; neither touches what stands.  A manifest with the number of documents
-and terms names what counts; the one of the highest number is the index, so readers see
-the state before a change or after it.  Document frequencies are counted over the postings
+some writes their ids; neither touches what stands.  A log of states names what counts, with the number of
+documents and terms; its last one is the index, so readers see the state before a change or after it, and of two
+writers from one state the second fails.  Document frequencies are counted over the postings
 read, so weights are exact after every change.  ``compact`` writes everything anew.
 """
 
 from __future__ import annotations
 
-import json
 import uuid
 from functools import reduce
 
@@ -19,9 +18,10 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
 from lodestone.operators import sparse as S
+from lodestone.sources.keyed import Log
 
-BUCKETS, FEW = 256, 10_000
-POSTINGS = "doc_id long, term string, tf long, dl int, bucket int"
+#: Buckets of terms; query terms that become a local table at most, and those that become a filter.
+BUCKETS, FEW, FEW_TERMS = 32, 10_000, 200
 EMPTY = {"segments": [], "removed": [], "n": 0, "terms": 0}
 
 
@@ -30,8 +30,10 @@ def _bucket(term: F.Column) -> F.Column:
 
 
 class SparseIndex:
-    def __init__(self, spark: SparkSession, folder: str, k1: float = 1.5, b: float = 0.75) -> None:
-        self.spark, self.folder, self.k1, self.b = spark, folder.rstrip("/"), k1, b
+    def __init__(self, spark: SparkSession, folder: str, k1: float = 1.5, b: float = 0.75, id_type: str = "long") -> None:
+        self.spark, self.folder, self.k1, self.b, self.id_type = spark, folder.rstrip("/"), k1, b, id_type
+        self.log = Log(spark, f"{self.folder}/manifests")
+        self.kinds = {"docs": f"doc_id {id_type}, dl int", "postings": f"doc_id {id_type}, term string, tf long, dl int, bucket int"}
 
     # --- the manifest
 
@@ -40,32 +42,18 @@ class SparseIndex:
         return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
     def _manifest(self) -> tuple[int, dict]:
-        path, fs = self._path("manifests")
-        if not fs.exists(path):
-            return 0, dict(EMPTY)
-        names = [f.getPath().getName() for f in fs.listStatus(path)]
-        last = max((n for n in names if n.endswith(".json")), default=None)
-        if last is None:
-            return 0, dict(EMPTY)
-        at, _ = self._path(f"manifests/{last}")
-        reader = self.spark._jvm.java.io.BufferedReader(self.spark._jvm.java.io.InputStreamReader(fs.open(at)))
-        try:
-            return int(last[:-5]), json.loads(reader.readLine())
-        finally:
-            reader.close()
+        """The number of the next change, and the state."""
+        top, _, state = self.log.last()
+        return top, state or dict(EMPTY)
 
     def _commit(self, number: int, state: dict) -> None:
-        temporary, fs = self._path(f"manifests/{uuid.uuid4().hex}.tmp")
-        out = fs.create(temporary)
-        out.write(json.dumps(state).encode())
-        out.close()
-        final, _ = self._path(f"manifests/{number + 1:012d}.json")
-        if not fs.rename(temporary, final):
-            raise RuntimeError("another writer changed the index")
+        """The state after this one; ``keyed.Conflict`` if another writer was first."""
+        self.log.commit(number + 1, state)
 
     # --- what stands
 
-    def _all(self, kind: str, schema: str, state: dict, buckets: list[int] | None = None) -> DataFrame:
+    def _all(self, kind: str, state: dict, buckets: list[int] | None = None) -> DataFrame:
+        schema = self.kinds[kind]
         segments = list(state["segments"])
         if buckets is None:
             parts = [self.spark.read.schema(schema).parquet(f"{self.folder}/{x}/{kind}") for x in segments]
@@ -93,10 +81,10 @@ class SparseIndex:
 
     def documents(self) -> DataFrame:
         """(doc_id, dl) of the documents in the index."""
-        return self._all("docs", "doc_id long, dl int", self._manifest()[1])
+        return self._all("docs", self._manifest()[1])
 
     def postings(self) -> DataFrame:
-        return self._all("postings", POSTINGS, self._manifest()[1])
+        return self._all("postings", self._manifest()[1])
 
     def stats(self) -> dict:
         _, state = self._manifest()
@@ -105,17 +93,23 @@ class SparseIndex:
     # --- changes
 
     def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> int:
-        """Add documents that aren't in the index and have a term; how many those were."""
+        """Add documents that aren't in the index and have a term; how many those were.  Of rows of one id the last in
+        the frame counts."""
         number, state = self._manifest()
-        rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null").dropDuplicates(["doc_id"])
+        rows = docs.select(F.col(id_col).cast(self.id_type).alias("doc_id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("at")).where("doc_id is not null")
         if state["segments"]:
             rows = rows.join(self.documents().select("doc_id"), "doc_id", "left_anti")
+        rows = rows.groupBy("doc_id").agg(F.max_by("text", "at").alias("text"))
         name = f"segment-{uuid.uuid4().hex}"
         post = S.postings(rows).withColumn("bucket", _bucket(F.col("term")))
-        post.repartition("bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{self.folder}/{name}/postings")
-        own = rows.select("doc_id", F.size(T.terms(F.col("text"))).alias("dl")).where("dl > 0")
-        own.write.parquet(f"{self.folder}/{name}/docs")
-        new = self.spark.read.schema("doc_id long, dl int").parquet(f"{self.folder}/{name}/docs").agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
+        # a frequent term's postings are dealt to several tasks and files
+        parts = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+        dealt = post.repartition(parts, "bucket", F.pmod(F.xxhash64("doc_id"), F.lit(max(1, parts // BUCKETS))))
+        dealt.sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{self.folder}/{name}/postings")
+        # from the postings as written, so that both tell of the same texts
+        stands = self.spark.read.schema(self.kinds["postings"]).parquet(f"{self.folder}/{name}/postings")
+        stands.groupBy("doc_id").agg(F.max("dl").alias("dl")).write.parquet(f"{self.folder}/{name}/docs")
+        new = self.spark.read.schema(self.kinds["docs"]).parquet(f"{self.folder}/{name}/docs").agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
         if new[0]:
             self._commit(number, state | {"segments": [*state["segments"], name], "n": state["n"] + new[0], "terms": state["terms"] + new[1]})
         return new[0]
@@ -123,18 +117,20 @@ class SparseIndex:
     def remove(self, ids: DataFrame, id_col: str = "doc_id") -> int:
         """Remove the documents of these ids; how many there were."""
         number, state = self._manifest()
+        if not state["segments"]:
+            return 0
         name = f"removed-{uuid.uuid4().hex}"
-        gone = self.documents().join(ids.select(F.col(id_col).cast("long").alias("doc_id")).distinct(), "doc_id", "left_semi")
+        gone = self.documents().join(ids.select(F.col(id_col).cast(self.id_type).alias("doc_id")).distinct(), "doc_id", "left_semi")
         gone.withColumn("upto", F.lit(len(state["segments"]))).write.parquet(f"{self.folder}/{name}")
-        old = self.spark.read.schema("doc_id long, dl int, upto int").parquet(f"{self.folder}/{name}").agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
+        old = self.spark.read.schema(f"{self.kinds['docs']}, upto int").parquet(f"{self.folder}/{name}").agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
         if old[0]:
             self._commit(number, state | {"removed": [*state["removed"], name], "n": state["n"] - old[0], "terms": state["terms"] - old[1]})
         return old[0]
 
     def sync(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[int, int]:
         """Make the index hold exactly these documents' ids: (added, removed)."""
-        there = docs.select(F.col(id_col).cast("long").alias("doc_id"))
-        removed = self.remove(self.documents().join(there, "doc_id", "left_anti"))
+        there = docs.select(F.col(id_col).cast(self.id_type).alias("doc_id"))
+        removed = self.remove(self.documents().join(there, "doc_id", "left_anti")) if self._manifest()[1]["segments"] else 0
         return self.add(docs, id_col, text_col), removed
 
     def rebuild(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> int:
@@ -160,19 +156,25 @@ class SparseIndex:
 
     # --- search
 
-    def search(self, queries: DataFrame, k: int = 10) -> DataFrame:
-        """queries (query_id, text) to (query_id, doc_id, score, rank) by BM25."""
+    def search(self, queries: DataFrame, k: int = 10, within: DataFrame | None = None) -> DataFrame:
+        """queries (query_id, text) to (query_id, doc_id, score, rank) by BM25; ``within``: the documents (doc_id) that
+        may be found, all without it.  Weights are those of the whole index."""
         _, state = self._manifest()
         asked = S.asked_terms(queries).withColumn("bucket", _bucket(F.col("term")))
         # few queries become a table of known size, which joins without a shuffle
         few = asked.limit(FEW + 1).toArrow()
         if few.num_rows <= FEW:
             buckets = sorted(set(few["bucket"].to_pylist()))
+            terms = sorted(set(few["term"].to_pylist()))
             asked = self.spark.createDataFrame(few)
         else:
+            terms = []
             # at most BUCKETS numbers
             buckets = [r[0] for r in asked.select("bucket").distinct().collect()]
         asked = asked.drop("bucket")
-        post = self._all("postings", POSTINGS, state, buckets).drop("bucket").join(asked.select("term").distinct(), "term", "left_semi")
+        post = self._all("postings", state, buckets).drop("bucket")
+        # few terms are a filter of the scan; files are sorted by term, so that it skips what can't hold them
+        post = post.where(F.col("term").isin(terms)) if 0 < len(terms) <= FEW_TERMS else post.join(asked.select("term").distinct(), "term", "left_semi")
         avgdl = state["terms"] / state["n"] if state["n"] else 1.0
-        return S.top_k(S.score(post, asked, F.lit(state["n"]), F.lit(avgdl), self.k1, self.b), k)
+        scored = S.score(post, asked, F.lit(state["n"]), F.lit(avgdl), self.k1, self.b)
+        return S.top_k(scored if within is None else scored.join(within, "doc_id", "left_semi"), k)

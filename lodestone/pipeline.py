@@ -25,7 +25,7 @@ class Engine:
     def __init__(self, spark: SparkSession, folder: str, config: Config | None = None, embed: P.Embedder | None = None, score: P.Scorer | None = None, generate: P.Generator | None = None) -> None:
         self.spark, self.config = spark, config or Config()
         self.store = K.ChunkStore(spark, f"{folder}/chunks")
-        self.index = SparseIndex(spark, f"{folder}/index")
+        self.index = SparseIndex(spark, f"{folder}/index", id_type="string")
         self.embed, self.score, self.generate = embed or P.HashedWords(self.config.dimension), score or P.SharedWords(), generate or P.FirstSentences()
 
     # --- into the store
@@ -41,9 +41,9 @@ class Engine:
             cut = C.chunks(docs, partial(C.fixed, size=self.config.chunk_size, overlap=self.config.chunk_overlap), id_col, text_col)
             place = {"chunk_index": F.col("chunk_index"), "source": F.col(id_col).cast("string")}
             children, parents = cut.withColumn("doc_id", K.content_id(F.col("content"), place)), None
-        if parents is not None:
-            self.store.upsert_documents(parents)
-        self.store.upsert(P.embedded(children, self.embed))
+        rows = P.embedded(children, self.embed)
+        # one change of the store for both levels
+        self.store.upsert(rows if parents is None else rows.unionByName(parents, allowMissingColumns=True))
         added, removed = self.sync()
         return {"chunks": self.store.count(), "indexed": added, "unindexed": removed}
 
@@ -58,14 +58,13 @@ class Engine:
         return self.ingest(found.select(F.col("url").alias("source_path"), html_text(F.col("html")).alias("content")))
 
     def _embedded(self) -> DataFrame:
-        """Embedded chunks under the numbers that retrieval works with."""
-        return self.store.chunks().where("embedding is not null").withColumn("number", F.xxhash64("doc_id"))
+        return self.store.chunks().where("embedding is not null")
 
     def sync(self) -> tuple[int, int]:
-        return self.index.sync(self._embedded(), "number", "content")
+        return self.index.sync(self._embedded(), "doc_id", "content")
 
     def rebuild(self) -> int:
-        return self.index.rebuild(self._embedded(), "number", "content")
+        return self.index.rebuild(self._embedded(), "doc_id", "content")
 
     def clear(self, confirm: bool = False) -> bool:
         if self.store.clear(confirm):
@@ -77,22 +76,22 @@ class Engine:
 
     # --- out of it
 
-    def search(self, queries: DataFrame, mode: str = "hybrid", k: int | None = None, scope: str | None = None) -> DataFrame:
-        """(query_id, doc_id, score, rank, content, parent_id) by dense, bm25 or hybrid search."""
+    def search(self, queries: DataFrame, mode: str = "hybrid", k: int | None = None, scope: str | None = None, language: str | None = None) -> DataFrame:
+        """(query_id, doc_id, score, rank, content, parent_id) by dense, bm25 or hybrid search, of one language if asked."""
         if mode not in MODES:
             raise ValueError(f"mode is one of {MODES}")
         c = self.config
-        rows = self._embedded().where(K.level_filter(scope or c.search_scope))
+        wanted = K.level_filter(scope or c.search_scope)
+        rows = self._embedded().where(wanted if language is None else wanted & (F.col("language_code") == language))
         runs = []
         if mode != "bm25":
             asked = P.embedded(queries, self.embed, "text").select("query_id", "embedding")
-            runs.append(D.dense(rows.select(F.col("number").alias("doc_id"), "embedding"), asked, c.dense_k, least=c.min_similarity))
+            runs.append(D.dense(rows.select("doc_id", "embedding"), asked, c.dense_k, least=c.min_similarity))
         if mode != "dense":
-            found = self.index.search(queries, c.sparse_k)
-            runs.append(found.join(rows.select(F.col("number").alias("doc_id")), "doc_id", "left_semi"))
+            # what is out of scope goes before the cut to k
+            runs.append(self.index.search(queries, c.sparse_k, within=rows.select("doc_id")))
         best = fusion.rrf(runs, k or c.fused_k, c.rrf_constant) if len(runs) > 1 else runs[0].where(F.col("rank") <= (k or c.fused_k))
-        text = rows.select(F.col("number").alias("doc_id"), F.col("doc_id").alias("id"), "content", "parent_id")
-        return best.join(text, "doc_id").select("query_id", F.col("id").alias("doc_id"), "score", "rank", "content", "parent_id")
+        return best.join(rows.select("doc_id", "content", "parent_id"), "doc_id").select("query_id", "doc_id", "score", "rank", "content", "parent_id")
 
     def context(self, queries: DataFrame, mode: str = "hybrid") -> DataFrame:
         """search, children merged to parents, reranked and cut to the context's size."""

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
+from lodestone.sources.keyed import KeyedTable
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
@@ -92,8 +93,11 @@ def latest(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
 
 def upsert(stored: DataFrame, new: DataFrame, keys: list[str], order: list[Column] | None = None) -> DataFrame:
     """Stored rows whose keys aren't in new, and of each key in new the row that comes first in
-    ``order`` (any one without it)."""
-    chosen = latest(new, keys, order) if order else new.dropDuplicates(keys)
+    ``order``; without it the last in the frame."""
+    if order:
+        chosen = latest(new, keys, order)
+    else:
+        chosen = latest(new.withColumn("_at", F.monotonically_increasing_id()), keys, [F.desc("_at")]).drop("_at")
     return stored.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(chosen)
 
 
@@ -108,8 +112,8 @@ def sync_diff(store: DataFrame, index: DataFrame, key: str) -> DataFrame:
 
 
 def level_filter(level: str | None) -> Column:
-    """doc_level by the names of levels and scopes; names that aren't known, and ``all``, take every row."""
-    wanted = {"child": "child", "leaves": "child", "leaf": "child", "parent": "parent", "parents": "parent"}.get(level or "all")
+    """doc_level by the names of levels and scopes; ``all`` takes every row, names that aren't known are ``leaves``."""
+    wanted = {"parent": "parent", "parents": "parent", "all": None}.get(level or "all", "child")
     return F.col("doc_level") == wanted if wanted else F.lit(True)
 
 
@@ -125,36 +129,15 @@ CHUNK = "doc_id string, content string, doc_level string, parent_id string, lang
 
 
 class ChunkStore:
-    """Chunks (CHUNK) in a folder of versions; the last complete one is the store.
+    """Chunks (CHUNK) in a keyed table: a change writes what it changes, readers see the state before or
+    after it, and of two writers none is lost."""
 
-    A change writes the next version from the current one by joins, so readers see the state
-    before or after it, and a change that fails leaves nothing behind that counts."""
-
-    def __init__(self, spark: SparkSession, folder: str, longest: int = 200_000) -> None:
-        self.spark, self.folder, self.longest = spark, folder.rstrip("/"), longest
-
-    def _fs(self):
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
-        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-
-    def _version(self) -> int:
-        path, fs = self._fs()
-        if not fs.exists(path):
-            return -1
-        names = [f.getPath().getName() for f in fs.listStatus(path)]
-        return max((int(n[1:]) for n in names if n.startswith("v") and n[1:].isdigit()), default=-1)
+    def __init__(self, spark: SparkSession, folder: str, longest: int = 200_000, **table: int) -> None:
+        self.spark, self.longest = spark, longest
+        self.table = KeyedTable(spark, folder, CHUNK, ["doc_id"], **table)
 
     def chunks(self) -> DataFrame:
-        at = self._version()
-        return self.spark.createDataFrame([], CHUNK) if at < 0 else self.spark.read.schema(CHUNK).parquet(f"{self.folder}/v{at}")
-
-    def _replace(self, rows: DataFrame) -> None:
-        at, (_, fs) = self._version() + 1, self._fs()
-        path = self.spark._jvm.org.apache.hadoop.fs.Path
-        temporary = f"{self.folder}/new-{uuid.uuid4().hex}"
-        rows.select(*self.chunks().columns).write.parquet(temporary)
-        if not fs.rename(path(temporary), path(f"{self.folder}/v{at}")):
-            raise RuntimeError("another writer changed the store")
+        return self.table.rows()
 
     def _chunk(self, rows: DataFrame, level: str) -> DataFrame:
         """Rows in the store's columns: long contents are cut and marked, defaults filled in."""
@@ -173,30 +156,30 @@ class ChunkStore:
             meta.alias("meta"),
         )
 
-    def upsert(self, rows: DataFrame, order: list[Column] | None = None) -> None:
-        """Add or replace embedded chunks; ``order`` tells which of rows of one id is the last."""
+    def upsert(self, rows: DataFrame, order: list[Column] | None = None) -> dict:
+        """Add or replace embedded chunks; of rows of one id the last counts, by ``order`` or by place."""
         kept = latest(rows, ["doc_id"], order) if order else rows
-        self._replace(upsert(self.chunks(), self._chunk(kept, "child"), ["doc_id"]))
+        return self.table.upsert(self._chunk(kept, "child"))
 
-    def upsert_documents(self, rows: DataFrame) -> None:
+    def upsert_documents(self, rows: DataFrame) -> dict:
         """Add or replace chunks without vectors: parents unless they say otherwise."""
-        self._replace(upsert(self.chunks(), self._chunk(rows.drop("embedding"), "parent"), ["doc_id"]))
+        return self.table.upsert(self._chunk(rows.drop("embedding"), "parent"))
 
-    def remove(self, ids: DataFrame) -> None:
-        self._replace(delete(self.chunks(), ids.select(F.col("doc_id").cast("string").alias("doc_id")), ["doc_id"]))
+    def remove(self, ids: DataFrame) -> int:
+        return self.table.delete(ids.select("doc_id"))
 
     def clear(self, confirm: bool = False) -> bool:
         """Empty the store, if confirmed."""
         if confirm:
-            self._replace(self.spark.createDataFrame([], CHUNK))
+            self.table.clear()
         return confirm
 
     def get(self, doc_id: str) -> DataFrame:
-        return self.chunks().where(F.col("doc_id") == doc_id)
+        return self.table.get(doc_id)
 
     def lookup(self, ids: DataFrame) -> DataFrame:
         """ids (doc_id, ...) with their chunks, those that are there."""
-        return ids.join(self.chunks(), "doc_id")
+        return self.table.lookup(ids)
 
     def ids(self, pattern: str = "*", limit: int | None = None, embedded: bool = False) -> DataFrame:
         """doc_id by a glob pattern, in order."""
@@ -211,11 +194,11 @@ class ChunkStore:
         return ids.select("doc_id").distinct().join(have, "doc_id", "left").select("doc_id", F.coalesce("embedded", F.lit(False)).alias("embedded"))
 
     def count(self) -> int:
-        return self.chunks().count()
+        return self.table.count()
 
     def info(self) -> dict:
         row = self.chunks().agg(F.count("*").alias("documents"), F.count("embedding").alias("embedded"), F.count_if(F.col("doc_level") == "parent").alias("parents"), F.countDistinct("language_code").alias("languages")).first()
-        return row.asDict() | {"version": self._version()}
+        return row.asDict() | {"version": self.table.version()}
 
     def healthy(self) -> bool:
         try:
