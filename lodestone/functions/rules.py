@@ -165,3 +165,7 @@ NO_PAGES = "^(#|javascript:|mailto:|tel:)"
 
 # The form of a citation marker: before, between and after the numbers.
 MARKERS_BY_STYLE = {"inline": (" [", ", ", "]"), "footnote": ("^[", ",", "]"), "academic": (" (Source ", ", ", ")"), "hyperlink": (" [", ", ", "]"), "enterprise": (" {ref:", ",", "}")}
+
+# Answers of a hop that add nothing to what is known, and the mode of the next attempt after each.
+UNKNOWN_ANSWERS = ["unknown", "not found", ""]
+MODE_CYCLE = {"hybrid": "dense", "dense": "bm25", "bm25": "hybrid"}

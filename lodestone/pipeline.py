@@ -14,6 +14,7 @@ from lodestone.config import Config
 from lodestone.operators import chunking as C
 from lodestone.operators import cite, compress, crawl, evaluate, fusion
 from lodestone.operators import dense as D
+from lodestone.operators.cache import ResultCache
 from lodestone.operators.index import SparseIndex
 from lodestone.operators.sparse import top_k
 from lodestone.sources import store as K
@@ -22,10 +23,12 @@ MODES = ("hybrid", "dense", "bm25")
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, folder: str, config: Config | None = None, embed: P.Embedder | None = None, score: P.Scorer | None = None, generate: P.Generator | None = None) -> None:
+    def __init__(self, spark: SparkSession, folder: str, config: Config | None = None, embed: P.Embedder | None = None, score: P.Scorer | None = None, generate: P.Generator | None = None, cache: bool = False) -> None:
+        """``cache``: keep embeddings by text in the folder, so that each text is embedded once."""
         self.spark, self.config = spark, config or Config()
         self.store = K.ChunkStore(spark, f"{folder}/chunks")
         self.index = SparseIndex(spark, f"{folder}/index", id_type="string")
+        self.cache = ResultCache(spark, f"{folder}/embeddings", "array<float>") if cache else None
         self.embed, self.score, self.generate = embed or P.HashedWords(self.config.dimension), score or P.SharedWords(), generate or P.FirstSentences()
 
     # --- into the store
@@ -41,7 +44,7 @@ class Engine:
             cut = C.chunks(docs, partial(C.fixed, size=self.config.chunk_size, overlap=self.config.chunk_overlap), id_col, text_col)
             place = {"chunk_index": F.col("chunk_index"), "source": F.col(id_col).cast("string")}
             children, parents = cut.withColumn("doc_id", K.content_id(F.col("content"), place)), None
-        rows = P.embedded(children, self.embed)
+        rows = P.embedded(children, self.embed, cache=self.cache)
         # one change of the store for both levels
         self.store.upsert(rows if parents is None else rows.unionByName(parents, allowMissingColumns=True))
         added, removed = self.sync()
@@ -85,7 +88,7 @@ class Engine:
         rows = self._embedded().where(wanted if language is None else wanted & (F.col("language_code") == language))
         runs = []
         if mode != "bm25":
-            asked = P.embedded(queries, self.embed, "text").select("query_id", "embedding")
+            asked = P.embedded(queries, self.embed, "text", cache=self.cache).select("query_id", "embedding")
             runs.append(D.dense(rows.select("doc_id", "embedding"), asked, c.dense_k, least=c.min_similarity))
         if mode != "dense":
             # what is out of scope goes before the cut to k

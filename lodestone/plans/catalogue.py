@@ -427,4 +427,4 @@ def session_chapters(spark, d):
     return J.sessions(K.table(spark, d, "events"))
 
 
-from lodestone.plans import library  # noqa: E402, F401  registers further queries
+from lodestone.plans import library, stored  # noqa: E402, F401  register further queries

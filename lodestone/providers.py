@@ -17,7 +17,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
+from lodestone.operators.cache import ResultCache
 from lodestone.operators.sparse import top_k
+from lodestone.sources.store import text_key
 
 WORD = re.compile(r"[^\W_]+")
 
@@ -157,13 +159,17 @@ def translated(df: DataFrame, translate: Generator, target: str = "en", text_col
     return df.where(~wanted).withColumn("original", F.lit(None).cast("string")).withColumn("was_translated", F.lit(False)).unionByName(done.select(*df.columns, "original", "was_translated"))
 
 
-def embedded(df: DataFrame, embed: Embedder, text_col: str = "content", out: str = "embedding") -> DataFrame:
-    """df with vectors; each distinct text is embedded once."""
+def embedded(df: DataFrame, embed: Embedder, text_col: str = "content", out: str = "embedding", cache: ResultCache | None = None) -> DataFrame:
+    """df with vectors; each distinct text is embedded once, and with a ``cache`` only if it isn't stored there."""
 
     @F.pandas_udf("array<float>")
     def run(texts: pd.Series) -> pd.Series:
         return embed(texts)
 
+    if cache is not None:
+        keyed = df.withColumn("_k", text_key("embed", F.col(text_col), dimension=embed.dimension))
+        made = cache.fetch(keyed.select("_k", F.col(text_col).alias("_t")), "_k", lambda missing: missing.select("key", run("_t").alias("value")))
+        return keyed.join(made.select("_k", F.col("value").alias(out)).dropDuplicates(["_k"]), "_k", "left").drop("_k")
     known = df.select(F.col(text_col).alias("_t")).where("_t is not null").distinct().withColumn(out, run("_t"))
     return df.join(known, df[text_col] == known["_t"], "left").drop("_t")
 

@@ -81,8 +81,9 @@ def content_id(content: Column, meta: dict[str, Column] | None = None) -> Column
 
 
 def text_key(operation: str, query: Column, **options: object) -> Column:
-    """A cache key: the operation, the query and the options by name."""
-    return F.sha2(F.concat_ws("|", F.lit(operation), query, *[F.lit(f"{k}={v}") for k, v in sorted(options.items())]).cast("binary"), 256)
+    """A cache key: the operation, the query and the options by name; null for null."""
+    key = F.sha2(F.concat_ws("|", F.lit(operation), query, *[F.lit(f"{k}={v}") for k, v in sorted(options.items())]).cast("binary"), 256)
+    return F.when(query.isNotNull(), key)
 
 
 def latest(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
