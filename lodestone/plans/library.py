@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from lodestone import providers as V
 from lodestone.functions import rules as R
 from lodestone.functions import text as T
+from lodestone.functions.arithmetic import evaluate
 from lodestone.operators import analytics as A
 from lodestone.operators import chunking as C
 from lodestone.operators import cite, compress, crawl
@@ -318,6 +319,21 @@ def upsert_documents(spark, d):
     return K.upsert(docs.withColumn("seq", F.lit(0)), new.union(newer), ["doc_id"], [F.desc("seq")]).drop("seq")
 
 
+# --- arithmetic
+
+
+@_query("""select l_orderkey, l_linenumber, round(l_quantity::double * (1 - l_discount::double) + (-pow(l_tax::double, 2)) - l_extendedprice::double % 7, 4) as value,
+  round(greatest(sqrt(l_quantity::double), l_linenumber) / (l_linenumber - 1 + case when l_linenumber = 1 then null else 0 end), 4) as share from lineitem""")
+def calculated(spark, d):
+    n = lambda c: F.col(c).cast("double").cast("string")
+    first = F.concat(n("l_quantity"), F.lit(" * (1 - "), n("l_discount"), F.lit(") + -"), n("l_tax"), F.lit("**2 - "), n("l_extendedprice"), F.lit("%7"))
+    # without a value for the first line, as it divides by 0
+    second = F.concat(F.lit("max([sqrt("), n("l_quantity"), F.lit("), "), n("l_linenumber"), F.lit("]) / ("), n("l_linenumber"), F.lit(" - 1)"))
+    rows = K.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_tax", "l_extendedprice")
+    # long work on small rows: dealt to all cores
+    return rows.repartition("l_orderkey", "l_linenumber").select("l_orderkey", "l_linenumber", F.round(evaluate(first), 4).alias("value"), F.round(evaluate(second), 4).alias("share"))
+
+
 # --- chunks
 
 
