@@ -72,6 +72,12 @@ def test_code_blocks():
     assert [(b.block_type, b.block_name) for b in codeblocks.blocks(js, "javascript")] == [("imports", None), ("function", "go"), ("function", "f")]
     go = "import \"fmt\"\nfunc (s *S) Run() {\n}\ntype S struct {\n}\n"
     assert [b.block_name for b in codeblocks.blocks(go, "go")] == [None, "Run", "S"]
+    java = "import a.b;\npublic final class A {\n  // }\n  private static List<String> names(int n) throws X {\n    String s = \"}\"; char c = '}';\n    if (n > 0) {\n      return null;\n    }\n  }\n  int x = f(1);\n}\nclass B {}\n"
+    assert [(b.block_type, b.block_name, b.start_line, b.end_line) for b in codeblocks.blocks(java, "java")] == [("imports", None, None, None), ("class", "A", 1, 11), ("method", "names", 3, 9), ("class", "B", 11, 12)]
+    rust = "use a::b;\npub(crate) async fn run<'a>(x: &'a str) {\n  /* { */ let s = \"{\";\n}\nimpl<T> Show for Thing<T> {\n}\npub struct Unit;\nstruct P {\n  x: i32,\n}\n"
+    assert [(b.block_type, b.block_name, b.start_line, b.end_line) for b in codeblocks.blocks(rust, "rust")] == [("imports", None, None, None), ("function", "run", 1, 4), ("impl", "Thing", 4, 6), ("struct", "Unit", 6, 7), ("struct", "P", 7, 10)]
+    more = "export default class C extends D {\n}\nconst g = async (a, b) => a + b;\nlet h = 5;\nfunction* k() {\n  return `}\n`;\n}\n"
+    assert [(b.block_name, b.start_line, b.end_line) for b in codeblocks.blocks(more, "typescript")] == [("C", 0, 2), ("g", 2, 3), ("k", 4, 8)]
     assert codeblocks.blocks("plain", "unknown")[0].block_type == "file"
     big = "def f():\n" + "    x = 1\n" * 400
     parts = codeblocks.chunks("import os\n" + big, "python")
