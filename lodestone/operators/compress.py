@@ -18,27 +18,27 @@ def needs_summary(docs: DataFrame, key: str, text_col: str = "text", budget: int
 
 
 def budgets(results: DataFrame, total: int = 3000) -> DataFrame:
-    """results (query_id, doc_id, score) with the characters each may take: its share of the
-    scores, or equal shares where they don't add up to more than 0; 200 at least."""
+    """results (query_id, doc_id, score) with the characters each may take: half as much again as its share of the
+    scores, or equal shares of the total where they don't add up to more than 0; 200 at least."""
     w = Window.partitionBy("query_id")
     all_, n = F.sum("score").over(w), F.count("*").over(w)
-    share = F.when(all_ > 0, F.col("score") / all_).otherwise(1 / n)
-    return results.withColumn("budget", F.greatest(F.lit(200), F.floor(share * total * 1.5)).cast("long"))
+    share = F.when(all_ > 0, F.col("score") / all_ * total * 1.5).otherwise(F.lit(total) / n)
+    return results.withColumn("budget", F.greatest(F.lit(200), F.floor(share)).cast("long"))
 
 
 def compressed(results: DataFrame, total: int = 3000) -> DataFrame:
     """results (query_id, doc_id, content, score) cut to their budgets at the end of a sentence
-    where one ends in the second half, with key facts and lengths."""
+    where one ends in the second half, else before three dots, with key facts, lengths and whether they were over budget."""
     rows = budgets(results, total)
     cut = F.substring(F.col("content"), F.lit(1), F.col("budget").cast("int"))
     whole = F.regexp_extract(cut, r"(?s)^(.*[.!?])\s", 1)
-    kept = F.when(F.length("content") <= F.col("budget"), F.col("content")).when(F.length(whole) * 2 > F.col("budget"), whole).otherwise(F.concat(cut, F.lit("...")))
-    return rows.select("query_id", "doc_id", "score", kept.alias("content"), T.key_facts(F.col("content")).alias("key_facts"), F.length("content").alias("original"), F.length(kept).alias("compressed"))
+    kept = F.when(F.length("content") <= F.col("budget"), F.col("content")).when(F.length(whole) * 2 > F.col("budget"), whole).otherwise(F.concat(F.substring(F.col("content"), F.lit(1), (F.col("budget") - 3).cast("int")), F.lit("...")))
+    return rows.select("query_id", "doc_id", "score", kept.alias("content"), T.key_facts(F.col("content")).alias("key_facts"), F.length("content").alias("original"), F.length(kept).alias("compressed"), (F.length("content") > F.col("budget")).alias("over"))
 
 
 def totals(rows: DataFrame) -> DataFrame:
-    """(query_id, original, compressed, ratio, n_compressed) of compressed results."""
-    out = rows.groupBy("query_id").agg(F.sum("original").alias("original"), F.sum("compressed").alias("compressed"), F.count_if(F.col("compressed") < F.col("original")).alias("n_compressed"))
+    """(query_id, original, compressed, ratio, n_compressed) of compressed results: how many were over their budget."""
+    out = rows.groupBy("query_id").agg(F.sum("original").alias("original"), F.sum("compressed").alias("compressed"), F.count_if("over").alias("n_compressed"))
     return out.withColumn("ratio", F.when(F.col("original") > 0, F.col("compressed") / F.col("original")).otherwise(1.0))
 
 

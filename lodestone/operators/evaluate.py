@@ -97,10 +97,11 @@ def gives_up(confidence: Column, retries: Column, most: int = 2, threshold: floa
     return ((retries >= most) & (confidence < threshold)) | ((confidence < 0.2) & (retries > 0))
 
 
-def retrieval_quality(results: DataFrame, most: int = 10) -> DataFrame:
-    """(query_id, quality): the mean score of the first ten, within 0 and 1."""
+def retrieval_quality(results: DataFrame, most: int = 10, queries: DataFrame | None = None) -> DataFrame:
+    """(query_id, quality): the mean score of the first ten, within 0 and 1; 0 for those of ``queries`` without results."""
     mean = F.avg("score")
-    return results.where(F.col("rank") <= most).groupBy("query_id").agg(F.greatest(F.lit(0.0), F.least(F.lit(1.0), mean)).alias("quality"))
+    found = results.where(F.col("rank") <= most).groupBy("query_id").agg(F.greatest(F.lit(0.0), F.least(F.lit(1.0), mean)).alias("quality"))
+    return found if queries is None else queries.select("query_id").join(found, "query_id", "left").select("query_id", F.coalesce("quality", F.lit(0.0)).alias("quality"))
 
 
 def factuality(claims: DataFrame, key: str = "answer_id") -> DataFrame:

@@ -124,9 +124,53 @@ def context_eval(spark, d):
     return rounded(E.context_scores(_asked(spark, d), _results(spark, d)), "relevance", "confidence")
 
 
-@_query(f"with {BM25} select query_id, round(greatest(0, least(1, avg(score / 100))), 6) as quality from sparse group by 1")
+@_query(f"with {BM25}, q as (select query_id, greatest(0, least(1, avg(score / 100))) as quality from sparse where query_id % 4 > 0 group by 1) select item_id as query_id, round(coalesce(quality, 0), 6) as quality from benchmark left join q on q.query_id = item_id")
 def retrieval_quality(spark, d):
-    return rounded(E.retrieval_quality(_results(spark, d)), "quality")
+    """A quarter of the queries are left without results."""
+    return rounded(E.retrieval_quality(_results(spark, d).where("query_id % 4 > 0"), queries=_asked(spark, d)), "quality")
+
+
+@_query("""with e as (select event_id, (event_id % 11) / 10.0 as given, case when event_id % 5 > 0 then (event_id % 13)::double end as rel, (event_id % 7)::double as cov, event_id % 4 as tries, case event_id % 5 when 0 then 'proceed' when 1 then 'expand_retrieval' when 2 then 'rewrite_query' when 3 then 'abort' else 'other' end as advice, event_id % 3 = 0 as enough from events),
+c as (select *, case when given = 0.5 then (coalesce(rel, 5) + 6 + cov) / 30 else given end as confidence from e)
+select event_id, round(confidence, 6) as confidence, (tries >= 2 and confidence < 0.4) or (confidence < 0.2 and tries > 0) as gives_up, advice <> 'abort' and (enough or advice in ('proceed', 'expand_retrieval')) as proceeds,
+  array_to_string(case when coalesce(rel, 5) >= 4 and cov >= 4 then ['Context appears adequate'] else list_concat(case when coalesce(rel, 5) < 4 then ['Try using more specific keywords', 'Consider rephrasing the query'] else [] end, case when cov < 4 then ['Search for additional related documents', 'Try breaking the query into sub-questions'] else [] end)[:3] end, '|') as suggestions,
+  least(10, coalesce(rel, 5))::double as relevance, case when advice = 'other' then 'proceed' else advice end as recommendation from c""")
+def critic_rules(spark, d):
+    advice = F.expr("case event_id % 5 when 0 then 'proceed' when 1 then 'expand_retrieval' when 2 then 'rewrite_query' when 3 then 'abort' else 'other' end")
+    rows = K.table(spark, d, "events").select("event_id", (F.col("event_id") % 11 / 10).alias("given"), F.expr("case when event_id % 5 > 0 then double(event_id % 13) end").alias("relevance"), (F.col("event_id") % 7).cast("double").alias("coverage"), (F.col("event_id") % 4).alias("tries"), advice.alias("recommendation"), (F.col("event_id") % 3 == 0).alias("sufficient"))
+    confidence = E.critique_confidence(F.col("given"), F.col("relevance"), F.lit(6.0), F.col("coverage"))
+    rows = rows.withColumns({"confidence": confidence, "proceeds": E.proceeds(F.col("recommendation"), F.col("sufficient"))})
+    rows = rows.withColumns({"gives_up": E.gives_up(F.col("confidence"), F.col("tries")), "suggestions": F.array_join(E.suggestions(F.coalesce("relevance", F.lit(5.0)), F.col("coverage")), "|")})
+    return rounded(E.normal_evaluation(rows).select("event_id", "confidence", "gives_up", "proceeds", "suggestions", "relevance", "recommendation"), "confidence")
+
+
+@_query("""with t as (select conv_id, turn, lower(text) as q, list_transform([lead(text) over (partition by conv_id order by turn)], lambda x: lower(coalesce(x, ''))) as c from conversations)
+select conv_id, turn, array_to_string(list_filter([case when contains(q, 'how') and not (contains(c[1], 'step') or contains(c[1], 'first')) then 'Step-by-step instructions may be missing' end, case when contains(q, 'why') and not (contains(c[1], 'because') or contains(c[1], 'reason')) then 'Explanatory content may be missing' end,
+  case when contains(q, 'compare') or contains(q, 'difference') then 'Comparative analysis may need more sources' end], lambda x: x is not null), '|') as missing from t where q is not null""")
+def missing_aspects(spark, d):
+    """What a turn asks for and the next one doesn't seem to have."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    rows = K.table(spark, d, "conversations").withColumn("c", F.array(F.coalesce(F.lead("text").over(w), F.lit("")))).where("text is not null")
+    return rows.select("conv_id", "turn", F.array_join(E.missing_aspects(F.col("text"), F.col("c")), "|").alias("missing"))
+
+
+@_query("select doc_id, sha256('embed|' || text || '|dimension=384|model=words') as key from documents")
+def text_keys(spark, d):
+    return _documents(spark, d).select("doc_id", K.text_key("embed", F.col("text"), model="words", dimension=384).alias("key"))
+
+
+@_query("select doc_id from documents where lang = 'en' and source is not null and doc_id % 2 = 0")
+def metadata_filter(spark, d):
+    docs = K.table(spark, d, "documents").withColumn("meta", F.create_map(F.lit("lang"), F.col("lang"), F.lit("even"), (F.col("doc_id") % 2 == 0).cast("string"), F.lit("named"), F.col("source").isNotNull().cast("string")))
+    return docs.where(K.meta_filter({"lang": "en", "even": "true", "named": "true"})).select("doc_id")
+
+
+@_query("""with base as (select *, rtrim(lower(case when doc_level = 'x' then '' else doc_level end)) as l from (select doc_id, case doc_id % 3 when 0 then 'child' when 1 then 'parent' else null end as doc_level from documents))
+select doc_id, doc_level = 'child' as leaves, doc_level = 'parent' as parents, true as everything, doc_level = 'child' as unknown from base where doc_level is not null""")
+def search_scopes(spark, d):
+    """What each scope takes; a name that isn't known takes leaves."""
+    rows = _documents(spark, d).select("doc_id", F.expr("case doc_id % 3 when 0 then 'child' when 1 then 'parent' end").alias("doc_level")).where("doc_level is not null")
+    return rows.select("doc_id", *[K.level_filter(scope).alias(name) for name, scope in (("leaves", "leaves"), ("parents", "parents"), ("everything", "all"), ("unknown", "something"))])
 
 
 @_query(f"""with {CLAIMS}, l as (select answer_id, doc_id, case when status = 'contradicted' then 'Contradicted claim: ''claim ' || doc_id || '...'' - no' when status = 'not_supported' and confidence > 0.7 then 'Unsupported claim: ''claim ' || doc_id || '...''' end as line from claims)
@@ -198,7 +242,10 @@ def needs_summary(spark, d):
     return compress.needs_summary(rows, "k").select("k.source", "k.lang", "needs_summary")
 
 
-@_query()
+@_query(f"""with {BM25}, r as (select s.query_id, s.score / 100 as score, d.text from sparse s join documents d using (doc_id)),
+b as (select query_id, text, greatest(200, floor(score / sum(score) over (partition by query_id) * 3000 * 1.5)::bigint)::int as budget from r), c as (select *, regexp_extract(left(text, budget), '(?s)^(.*[.!?])\\s', 1) as whole from b),
+k as (select query_id, length(text) as original, length(text) > budget as over, case when length(text) <= budget then length(text) when length(whole) * 2 > budget then length(whole) else budget end as compressed from c)
+select query_id, sum(original)::bigint as original, sum(compressed)::bigint as compressed, count(*) filter (over) as n_compressed, round(sum(compressed) / sum(original), 6) as ratio from k group by 1""")
 def compression_totals(spark, d):
     rows = _results(spark, d).select("query_id", "doc_id", "score", "content")
     return rounded(compress.totals(compress.compressed(rows)), "ratio")
