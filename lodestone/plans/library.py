@@ -478,18 +478,30 @@ def labels_and_keys(spark, d):
     return K.table(spark, d, "events").select("event_id", T.latency_label((F.floor(F.col("value") / 10) * 10).cast("double")).alias("label"), T.citation_key(F.col("event_id"), F.col("user_id"), F.col("event_id") % 5).alias("key"))
 
 
+#: Forms of paths, with what is told of each by its language, kind, medium and content type.
 _PATHS = [
-    ("src/a.py", "python", "document", "other", "text/html"), ("lib/B.TSX", "typescript", "document", "other", "text/html"), ("x/readme.md", "markdown", "text", "other", "text/markdown"),
-    ("talk.mp3", "unknown", "audio", "audio", "text/html"), ("clip.MP4", "unknown", "video", "video", "text/html"), ("https://youtu.be/abc", "unknown", "document", "youtube", "text/html"),
-    ("https://h.example/a.pdf?x=1", "unknown", "document", "remote", "application/pdf"), ("data.jsonl", "unknown", "jsonl", "other", "text/html"), ("p.html", "unknown", "html", "other", "text/html"),
+    ("src/#.py", "python", "document", "other", "text/html"), ("lib/#.TSX", "typescript", "document", "other", "text/html"), ("x/#.md", "markdown", "text", "other", "text/markdown"),
+    ("talk#.mp3", "unknown", "audio", "audio", "text/html"), ("clip#.MP4", "unknown", "video", "video", "text/html"), ("https://youtu.be/#", "unknown", "document", "youtube", "text/html"),
+    ("https://h.example/#.pdf?x=1", "unknown", "document", "remote", "application/pdf"), ("data#.jsonl", "unknown", "jsonl", "other", "text/html"), ("#.html", "unknown", "html", "other", "text/html"),
 ]
+_PATH = "case doc_id % 9 " + " ".join(f"when {i} then replace('{r[0]}', '#', concat('p', doc_id))" for i, r in enumerate(_PATHS)) + " end"
 
 
-@_query("select * from (values " + ", ".join("('" + "', '".join(r) + "')" for r in _PATHS) + ") t(path, language, kind, media, content_type)")
+@_query(f"select doc_id, {_PATH} as path, t.language, t.kind, t.media, t.content_type from documents join (values " + ", ".join(f"({i}, '" + "', '".join(r[1:]) + "')" for i, r in enumerate(_PATHS)) + ") t(i, language, kind, media, content_type) on i = doc_id % 9")
 def file_kinds(spark, d):
+    """Each document under a path of one of these forms."""
     p = F.col("path")
-    rows = spark.createDataFrame([(r[0],) for r in _PATHS], "path string")
-    return rows.select("path", T.code_language(p).alias("language"), T.file_kind(p).alias("kind"), T.media_source(p).alias("media"), T.content_type(p, F.lit("image/png; q=1")).alias("content_type"))
+    rows = K.table(spark, d, "documents").select("doc_id", F.expr(_PATH).alias("path"))
+    return rows.select("doc_id", "path", T.code_language(p).alias("language"), T.file_kind(p).alias("kind"), T.media_source(p).alias("media"), T.content_type(p, F.lit("image/png; q=1")).alias("content_type"))
+
+
+@_query(r"""with l as (select page_id, url, unnest(regexp_extract_all(html, '<a href="(/[^"#?]*)"', 1)) as path from pages), h as (select page_id, lower(split_part(url, '/', 3)) as host, path from l)
+select page_id, host, count(distinct path) as links from h group by all""")
+def page_links(spark, d):
+    """Per page how many pages of its own site it links to by paths from the root."""
+    rows = K.table(spark, d, "pages").select("page_id", T.domain(F.col("url")).alias("host"), F.explode(T.html_links(F.col("html"), F.col("url"))).alias("link"))
+    own = rows.where(T.domain(F.col("link")) == F.col("host")).where(F.instr("link", "?") == 0)
+    return own.groupBy("page_id", "host").agg(F.count_distinct("link").alias("links"))
 
 
 @_query("select doc_id, case lang " + " ".join(f"when '{k}' then '{v}'" for k, v in R.LANGUAGES.items()) + " else upper(lang) end as name from documents")
