@@ -133,18 +133,27 @@ def frame_times(duration: Column, n: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), n - 1), lambda i: i * duration / F.greatest(n - 1, F.lit(1)))
 
 
-def scene_windows(duration: float, scenes: list[float], size: float = 10.0, overlap: float = 2.0, most: int = 0) -> list[tuple[float, float]]:
-    """A grid of overlapping windows, split at scene changes that aren't near an edge."""
+def scene_windows(recordings: DataFrame, key: str, size: float = 10.0, overlap: float = 2.0, most: int = 0) -> DataFrame:
+    """(key, window_no, start, stop) of recordings (key, duration, scenes): a grid of overlapping windows, split at scene
+    changes that aren't near an edge, within the recording and as long as the overlap at least; the first ``most`` if asked.
+
+    A window is split by the changes inside it alone, one after the other, so each is folded for itself."""
     step = size - overlap if size > overlap else size
-    n = 1
-    while (n - 1) * step + size < duration:
-        n += 1
-    grid = [(k * step, k * step + size) for k in range(n)] if duration > 0 else []
-    for scene in sorted(scenes):
-        grid = [w for a, b in grid for w in ([(a, scene), (max(scene - overlap, a), b)] if scene - a > overlap and b - scene > overlap else [(a, b)])]
-    cut = [(max(0.0, a), min(b, duration)) for a, b in grid]
-    out = [(a, b) for a, b in cut if b - a >= overlap]
-    return out[:most] if most > 0 else out
+    n = F.greatest(F.lit(1), F.ceil((F.col("duration") - size) / step) + 1)
+    pair = lambda a, b: F.struct(a.cast("double").alias("a"), b.cast("double").alias("b"))
+    none = F.array().cast("array<struct<a:double,b:double>>")
+    grid = F.when(F.col("duration") > 0, F.transform(F.sequence(F.lit(0), (n - 1).cast("int")), lambda k: pair(k * step, k * step + size))).otherwise(none)
+
+    def split(windows: Column, scene: Column) -> Column:
+        both = lambda w: F.array(pair(w["a"], scene), pair(F.greatest(scene - overlap, w["a"]), w["b"]))
+        return F.flatten(F.transform(windows, lambda w: F.when((scene - w["a"] > overlap) & (w["b"] - scene > overlap), both(w)).otherwise(F.array(w))))
+
+    scenes = F.array_sort(F.filter(F.coalesce("scenes", F.array().cast("array<double>")), lambda s: s.isNotNull()))
+    folded = F.flatten(F.transform(grid, lambda w: F.aggregate(F.filter(scenes, lambda s: (s > w["a"]) & (s < w["b"])), F.array(w), split)))
+    cut = F.transform(folded, lambda w: pair(F.greatest(F.lit(0.0), w["a"]), F.least(w["b"], F.col("duration"))))
+    whole = F.filter(cut, lambda w: w["b"] - w["a"] >= overlap)
+    rows = recordings.select(key, F.posexplode(F.slice(whole, 1, most) if most > 0 else whole).alias("window_no", "w"))
+    return rows.select(key, "window_no", F.col("w.a").alias("start"), F.col("w.b").alias("stop"))
 
 
 def near_scene(windows: DataFrame, scenes: DataFrame, key: str, gap: float) -> DataFrame:

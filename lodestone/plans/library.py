@@ -603,6 +603,14 @@ def frame_times(spark, d):
     return rounded(rows.select("user_id", F.explode(A.frame_times(F.col("m"), F.lit(5))).alias("at")), "at")
 
 
+@_query()
+def scene_windows(spark, d):
+    """Windows over users' recordings, split at their errors: tested against a loop."""
+    scene = F.array_sort(F.collect_list(F.when(F.col("event_type") == "error", F.col("value"))))
+    rows = K.table(spark, d, "events").groupBy("user_id").agg(F.max("value").alias("duration"), scene.alias("scenes"))
+    return A.scene_windows(rows, "user_id")
+
+
 @_query(f"with {SEGMENTS} select event_id from seg s where event_type <> 'error' and exists (select 1 from seg e where e.event_type = 'error' and e.user_id = s.user_id and abs(s.start - e.start) <= 1800)")
 def near_scene(spark, d):
     rows = _segments(spark, d)

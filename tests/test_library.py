@@ -268,10 +268,29 @@ def test_files(spark, tmp_path):
 # --- folds
 
 
-def test_scene_windows():
-    assert A.scene_windows(30, []) == [(0.0, 10.0), (8.0, 18.0), (16.0, 26.0), (24.0, 30.0)]
-    assert A.scene_windows(10, [5]) == [(0.0, 5.0), (3.0, 10.0)] and A.scene_windows(10, [1, 9]) == [(0.0, 10.0)]
-    assert A.scene_windows(0, []) == [] and len(A.scene_windows(100, [], most=3)) == 3
+def windows_of(duration, scenes, size=10.0, overlap=2.0):
+    """By a loop."""
+    step = size - overlap if size > overlap else size
+    grid = []
+    while duration > 0 and (not grid or grid[-1][1] < duration):
+        grid.append((len(grid) * step, len(grid) * step + size))
+    for scene in sorted(s for s in scenes or [] if s is not None):
+        grid = [w for a, b in grid for w in ([(a, scene), (max(scene - overlap, a), b)] if scene - a > overlap and b - scene > overlap else [(a, b)])]
+    return [(max(0.0, a), min(b, duration)) for a, b in grid if min(b, duration) - max(0.0, a) >= overlap]
+
+
+def test_scene_windows(spark):
+    assert windows_of(30.0, []) == [(0.0, 10.0), (8.0, 18.0), (16.0, 26.0), (24.0, 30.0)] and windows_of(10.0, [5.0]) == [(0.0, 5.0), (3.0, 10.0)]
+    rng = random.Random(3)
+    rows = [(0, 30.0, []), (1, 10.0, [5.0]), (2, 10.0, [1.0, 9.0]), (3, 0.0, [1.0]), (4, None, [1.0]), (5, 12.0, None), (6, 25.0, [None, 12.5]), (7, 10.0, [4.0, 4.0, 7.0])]
+    rows += [(i, rng.randint(0, 400) / 4, [rng.randint(0, 440) / 4 for _ in range(rng.randint(0, 12))]) for i in range(8, 150)]
+    df = spark.createDataFrame(rows, "id int, duration double, scenes array<double>")
+    for size, overlap in ((10.0, 2.0), (3.0, 4.0), (7.5, 0.25)):
+        found = {}
+        for r in A.scene_windows(df, "id", size, overlap).orderBy("id", "window_no").collect():
+            found.setdefault(r["id"], []).append((r["start"], r["stop"]))
+        assert found == {i: w for i, d, s in rows if d and (w := windows_of(d, s, size, overlap))}
+    assert A.scene_windows(df.where("id >= 100"), "id", most=3).groupBy("id").count().agg(F.max("count")).first()[0] == 3
 
 
 def test_chapters_and_cooldown(spark):
