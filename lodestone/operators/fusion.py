@@ -21,8 +21,11 @@ def first_seen(results: DataFrame) -> DataFrame:
     """Each document once, where the earliest query has it; ranked anew by query and rank."""
     w = Window.partitionBy("doc_id").orderBy("query_id", "rank")
     kept = results.withColumn("n", F.row_number().over(w)).where("n = 1").drop("n")
-    # a run of one request: as many rows as it has results
-    return kept.withColumn("place", F.row_number().over(Window.orderBy("query_id", "rank")))
+    # places within a query, behind those of the queries before: the one window without keys has a row a query
+    counts = kept.groupBy("query_id").agg(F.count("*").alias("n"))
+    before = counts.select(F.col("query_id").alias("_q"), (F.sum("n").over(Window.orderBy("query_id")) - F.col("n")).alias("_before"))
+    placed = kept.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")))
+    return placed.join(before, F.col("query_id").eqNullSafe(F.col("_q"))).withColumn("place", (F.col("place") + F.col("_before")).cast("long")).drop("_q", "_before")
 
 
 def distinct_queries(queries: DataFrame) -> DataFrame:

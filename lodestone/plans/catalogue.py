@@ -176,6 +176,12 @@ def first_seen_dedupe(spark, d):
     return U.first_seen(dense_topk(spark, d))
 
 
+@_query("with q as (select conv_id * 1000 + turn as pos, text from conversations where role = 'user') select min(pos) as pos, text from q group by text")
+def distinct_queries(spark, d):
+    rows = K.table(spark, d, "conversations").where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("pos"), "text")
+    return U.distinct_queries(rows)
+
+
 @_query("""with g as (select l_orderkey, count(*) as n, max(l_extendedprice) as best from lineitem group by 1),
 merged as (select * from g where n >= 2 and l_orderkey in (select o_orderkey from orders))
 select 'O' || l_orderkey as doc_id, best as score from merged union all

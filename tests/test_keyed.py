@@ -148,3 +148,22 @@ def test_last_row_of_an_id_stays(spark, tmp_path):
     assert store.get("a").first()["content"] == "49" and store.count() == 1
     store.upsert(spark.createDataFrame([("a", str(i), i) for i in range(50)], "doc_id string, content string, n int"), [F.asc("n")])
     assert store.get("a").first()["content"] == "0" and store.remove(spark.createDataFrame([("a",), ("b",)], "doc_id string")) == 1
+
+
+def test_index_writers(spark, tmp_path):
+    """Of two changes of the stored index from one state the second fails and changes nothing."""
+    from lodestone.operators.index import SparseIndex
+
+    index, other = (SparseIndex(spark, str(tmp_path), id_type="string") for _ in range(2))
+    rows = spark.createDataFrame([("a", "red fox"), ("a", "red owl"), ("b", "blue fox")], "doc_id string, text string")
+    assert index.add(rows.coalesce(1)) == 2
+    state = other._manifest()
+    index.remove(spark.createDataFrame([("b",)], "doc_id string"))
+    other._manifest = lambda: state
+    with pytest.raises(Conflict):
+        other.add(spark.createDataFrame([("c", "red hen")], "doc_id string, text string"))
+    asked = spark.createDataFrame([(1, "fox"), (2, "owl"), (3, "hen")], "query_id long, text string")
+    assert [(r["query_id"], r["doc_id"]) for r in index.search(asked).collect()] == [(2, "a")] and index.stats()["documents"] == 1
+    # the cut to k comes after what may be found
+    within = spark.createDataFrame([("b",)], "doc_id string")
+    assert index.search(asked, k=1, within=within).count() == 0
