@@ -19,6 +19,7 @@ from lodestone.operators import fusion as U
 from lodestone.operators import jsontext as N
 from lodestone.operators.index import SparseIndex
 from lodestone.plans.catalogue import ASKED, BM25, CLAIMS, COSINE, CUT, SEGMENTS, STAGES, TERMS, _asked, _asking, _claims, _dense, _documents, _event_json, _outcomes, _query, _segments, _steps, _vectors, cases, rounded
+from lodestone.sources import elements as H
 from lodestone.sources import store as K
 
 
@@ -526,6 +527,26 @@ def url_filter(spark, d):
     return pages.crossJoin(F.broadcast(home)).select("page_id", T.wanted_url(F.col("url"), F.col("home"), ["[0-9]"], ["print"]).alias("wanted"))
 
 
+def _replaced(text: str) -> str:
+    for name, mark in R.ENTITIES:
+        text = f"replace({text}, '{name}', '{mark}')"
+    return text
+
+
+# a page's text as a cell under its article, so that each page has a table
+@_query(rf"""with marked as (select page_id, regexp_replace(regexp_replace(replace(html, '<footer>', '<table><tr><th>page</th><th>' || page_id || '</th></tr><tr><td>'), '(?is)<(script|style)[^>]*>.*?</(script|style)>|<!--.*?-->', '', 'g'), '(?i)<(/?)({H.BLOCKS})(\s[^>]*)?>', chr(1) || '\1\2' || chr(2), 'g') as html from pages),
+parts as (select page_id, generate_subscripts(string_split(html, chr(1)), 1) as i, unnest(string_split(html, chr(1))) as part from marked),
+named as (select page_id, i, case when contains(part, chr(2)) then lower(split_part(part, chr(2), 1)) else '' end as tag, trim(regexp_replace({_replaced("regexp_replace(case when contains(part, chr(2)) then split_part(part, chr(2), 2) else part end, '<[^>]*>', ' ', 'g')")}, '\s+', ' ', 'g')) as text from parts),
+kept as (select page_id, row_number() over (partition by page_id order by i) - 1 as place, tag, text from named where text <> '')
+select page_id, place, case when tag in ('td', 'th') then 'cell' when tag = 'p' then 'paragraph' when tag = 'li' then 'list_item' when tag = 'title' then 'title' when tag similar to 'h[1-6]' then 'heading' else 'text' end as kind,
+  case when tag similar to 'h[1-6]' then substr(tag, 2)::int else 0 end as level, case when tag in ('td', 'th') then 1 else 0 end as table_no, case tag when 'th' then 1 when 'td' then 2 else 0 end as row_no,
+  case when tag = 'td' then 1 when tag = 'th' and text = 'page' then 1 when tag = 'th' then 2 else 0 end as cell_no, sha256(text) as text_sha256 from kept""")
+def html_elements(spark, d):
+    head = F.concat(F.lit("<table><tr><th>page</th><th>"), F.col("page_id"), F.lit("</th></tr><tr><td>"))
+    pages = K.table(spark, d, "pages").select("page_id", F.replace(F.col("html"), F.lit("<footer>"), head).alias("html"))
+    return H.html_elements(pages, "page_id", "html").withColumn("text_sha256", F.sha2("text", 256)).drop("text").fillna(0)
+
+
 def _linked(spark: SparkSession, d: str) -> DataFrame:
     """Pages of one site that link to the pages of twice their number and the one after."""
     pages = K.table(spark, d, "pages").select("page_id")
