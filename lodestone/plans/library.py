@@ -11,6 +11,7 @@ from lodestone.functions import rules as R
 from lodestone.functions import text as T
 from lodestone.functions.arithmetic import evaluate
 from lodestone.operators import analytics as A
+from lodestone.operators import boundaries as B
 from lodestone.operators import chunking as C
 from lodestone.operators import cite, compress, crawl
 from lodestone.operators import dense as D
@@ -433,16 +434,38 @@ def hierarchical_ingest_counts(spark, d):
     return C.hierarchical(_documents(spark, d), text_col="text").groupBy("doc_level").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_ids"), F.sum(F.length("content")).alias("chars"))
 
 
-@_query("""with g as (select doc_id, (k * 300)::int as start, (k * 300 + 100)::int as stop from documents, unnest(range(0, 1 + (doc_id % 3))) u(k) where length(text) >= 1000),
+@_query("""with g as (select doc_id, (k * 300)::int as start, least(k * 300 + 100, length(text))::int as stop from documents, unnest(range(0, 1 + (doc_id % 3))) u(k) where length(text) > k * 300),
 w as (select *, coalesce(lag(stop) over (partition by doc_id order by start), 0) as before from g), l as (select doc_id, max(stop) as stop from g group by 1)
 select doc_id, start, stop, 'chunk' as chunk_type from g union all select doc_id, before, start, 'gap_fill' from w where start > before + 50
 union all select doc_id, stop, length(text)::int, 'remainder' from l join documents using (doc_id) where length(text) > stop + 50""")
 def coverage_gaps(spark, d):
-    docs = _documents(spark, d).where("length(text) >= 1000")
-    given = docs.select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("doc_id") % 3)).alias("k")).selectExpr("doc_id", "cast(k * 300 as int) as start", "cast(k * 300 + 100 as int) as stop", "'chunk' as chunk_type")
+    docs = _documents(spark, d)
+    ks = docs.select("doc_id", F.length("text").alias("n"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("doc_id") % 3)).alias("k")).where("n > k * 300")
+    given = ks.selectExpr("doc_id", "cast(k * 300 as int) as start", "cast(least(k * 300 + 100, n) as int) as stop", "'chunk' as chunk_type")
     return C.fill_gaps(given, docs, least=1)
 
 
+_CLAMPED = "select doc_id, n, greatest(start, 0) as start, least(stop, n) as stop, chunk_type from p where least(stop, n) - greatest(start, 0) >= 100"
+
+
+# proposals of any length at places that overlap, leave gaps and stand outside
+@_query(rf"""with d as (select doc_id, text, length(text) as n from documents where text <> ''), p as (select doc_id, n, start, start + (k * doc_id * 17) % 3000 as stop, 'proposed' as chunk_type from (select doc_id, n, k, (k * 397 + doc_id * 31) % (n + 50) - 20 as start from d, unnest(range(0, 1 + doc_id % 7)) u(k))),
+c as ({_CLAMPED}), o as (select *, greatest(start, coalesce(max(stop) over (partition by doc_id order by start, stop desc rows between unbounded preceding and 1 preceding), 0)) as begins from c),
+a as (select doc_id, n, begins as start, stop, lag(stop) over w as before, coalesce(lead(begins) over w, n) as next from o where stop - begins >= 100 window w as (partition by doc_id order by begins)),
+f as (select *, case when before is null and start <= 50 then 0 else start end as b, case when next - stop <= 50 then next else stop end as e from a),
+s as (select doc_id, b as start, e as stop, 'proposed' as chunk_type from f union all select doc_id, e, next, 'gap_fill' from f where e < next union all select doc_id, 0, b, 'gap_fill' from f where before is null and b > 0
+  union all select doc_id, 0, n, 'whole' from d where doc_id not in (select doc_id from f)),
+t as (select doc_id, start, chunk_type, regexp_extract_all(substr(text, start + 1, stop - start), '{B.pattern(900)}') as parts from s join d using (doc_id)),
+r as (select doc_id, start as span, chunk_type, generate_subscripts(parts, 1) as part, unnest(parts) as content from t)
+select doc_id, row_number() over w - 1 as place, (sum(length(content)) over w - length(content))::bigint as start, (sum(length(content)) over w)::bigint as stop, chunk_type, sha256(content) as content_sha256 from r window w as (partition by doc_id order by span, part)""")
+def repaired_chunks(spark, d):
+    docs = _documents(spark, d)
+    ks = docs.where("text <> ''").select("doc_id", F.length("text").alias("n"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("doc_id") % 7)).alias("k"))
+    starts = ks.selectExpr("doc_id", "k", "(k * 397 + doc_id * 31) % (n + 50) - 20 as start")
+    given = starts.selectExpr("doc_id", "start", "start + (k * doc_id * 17) % 3000 as stop", "'proposed' as chunk_type")
+    return B.repaired(given, docs, most=900).withColumn("content_sha256", F.sha2("content", 256)).drop("content")
+
+
 # --- text
 
 
