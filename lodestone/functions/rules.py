@@ -169,3 +169,7 @@ MARKERS_BY_STYLE = {"inline": (" [", ", ", "]"), "footnote": ("^[", ",", "]"), "
 # Answers of a hop that add nothing to what is known, and the mode of the next attempt after each.
 UNKNOWN_ANSWERS = ["unknown", "not found", ""]
 MODE_CYCLE = {"hybrid": "dense", "dense": "bm25", "bm25": "hybrid"}
+
+# Names of a repository's first file, in the order tried; the form of a link to a Markdown file.
+READMES = ["README.md", "readme.md", "README.MD", "Readme.md"]
+MARKDOWN_LINK = r"\[[^\]]+\]\(([^)#]+\.md)(?:#[^)]+)?\)"

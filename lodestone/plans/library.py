@@ -18,6 +18,7 @@ from lodestone.operators import dense as D
 from lodestone.operators import evaluate as E
 from lodestone.operators import fusion as U
 from lodestone.operators import jsontext as N
+from lodestone.operators import repositories as G
 from lodestone.operators.index import SparseIndex
 from lodestone.plans.catalogue import ASKED, BM25, CLAIMS, COSINE, CUT, SEGMENTS, STAGES, TERMS, _asked, _asking, _claims, _dense, _documents, _event_json, _outcomes, _query, _segments, _steps, _vectors, cases, rounded
 from lodestone.sources import elements as H
@@ -584,6 +585,23 @@ def crawl_bfs(spark, d):
     return crawl.crawl(_linked(spark, d), ["https://site.example/p0"], depth=4).select("page_id", "depth")
 
 
+# seven repositories whose files link to the two under them, to the one before, to the README and to one outside
+@_query("""with recursive m as (select 'site/r' || doc_id % 7 as repo, doc_id // 7 as n from documents where text <> ''),
+b(repo, n, depth) as (select repo, n, 0 from m where n = 0 union select b.repo, t.n, b.depth + 1 from b join m on m.repo = b.repo and m.n = b.n, unnest([2 * b.n + 1, 2 * b.n + 2, greatest(b.n - 1, 0)]) t(n) where b.depth < 6),
+f as (select repo, n, min(depth)::int as depth from b group by all)
+select repo, case n when 0 then 'README.md' else 'docs/' || n % 10 || '/' || n || '.md' end as path, depth, (repo, n) in (select (repo, n) from m) as found from f""")
+def repository_walk(spark, d):
+    n = F.expr("doc_id div 7")
+    name = lambda c: F.concat((c % 10).cast("string"), F.lit("/"), c.cast("string"), F.lit(".md"))
+    down = lambda c: F.when(n == 0, F.concat(F.lit("docs/"), name(c))).otherwise(F.concat(F.lit("./../"), name(c)))
+    back = F.when(n <= 1, F.lit("/README.md#top")).otherwise(F.concat(F.lit("https://github.com/site/r"), (F.col("doc_id") % 7).cast("string"), F.lit("/blob/main/docs/"), name(n - 1)))
+    link = lambda c: F.concat(F.lit(" [more]("), c, F.lit(")"))
+    text = F.concat(F.col("text"), link(down(2 * n + 1)), link(down(2 * n + 2)), link(back), link(F.lit("https://other.example/x.md")))
+    path = F.when(n == 0, "README.md").otherwise(F.concat(F.lit("docs/"), name(n)))
+    files = _documents(spark, d).where("text <> ''").select(F.concat(F.lit("site/r"), (F.col("doc_id") % 7).cast("string")).alias("repo"), path.alias("path"), text.alias("text"))
+    return G.walk(files, depth=6, most=1 << 40)
+
+
 @_query("""with recursive b(page_id, depth) as (select 0::bigint, 0 union select 2 * page_id + k, depth + 1 from b, (values (1), (2)) t(k) where depth < 4 and 2 * page_id + k in (select page_id from pages)),
 f as (select depth, count(*) as n, sum(13 * 2 + length('/p') * 2 + length((2 * page_id + 1)::varchar) + length((2 * page_id + 2)::varchar) + 2 * length('x</a>') + length('<a href="#top">t</a><a href="https://other.example/">o</a>') - 4)::bigint as bytes from b group by 1)
 select sum(n)::bigint as pages, string_agg(depth || ':' || n, ',' order by depth) as by_depth, 'text/html:' || sum(n)::bigint as by_type from f""")
