@@ -4,13 +4,16 @@
 result over a stack of numbers.  It knows + - * / % ** (which binds to the right, and more than a sign before it), signs,
 parentheses, and sqrt, abs, round (one or two arguments; halves go to the even), min and max of several arguments or one
 list, and sum of a list.  Numbers are doubles; % has the sign of its right side.  The value is null for null, for what
-isn't such an expression, and where there is no real finite value."""
+isn't such an expression, and where there is no real finite value.
+
+``evaluated`` gives the same values for whole tables: texts that differ in their numbers alone have one form, the most frequent
+forms are put into postfix order once, and their rows need plain arithmetic; the rows of all other forms go through ``evaluate``."""
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _NUMBER = r"(?:[0-9]+(?:_[0-9]+)*\.?(?:[0-9]+(?:_[0-9]+)*)?|\.[0-9]+(?:_[0-9]+)*)(?:e[+-]?[0-9]+)?"
@@ -19,6 +22,8 @@ _PRECEDENCE = {"+": 1, "-": 1, "*": 2, "/": 2, "%": 2, "~+": 3, "~-": 3, "**": 4
 _FUNCTIONS = ["sqrt", "abs", "round", "min", "max", "min#", "max#", "sum#"]
 #: Lists within lists are taken from the inside out, so many levels deep.
 _LISTS = 4
+#: Forms of texts, the most frequent ones, that ``evaluated`` puts into postfix order once.
+FORMS = 32
 
 
 def _let(value: Column, use) -> Column:
@@ -117,36 +122,48 @@ def _called(name: Column, args: Column) -> Column:
     )
 
 
+def _pair(token: Column | str, a: Column, b: Column) -> Column:
+    """What an operator makes of two numbers; a token that is known needs no choice."""
+    remainder = _let(F.try_mod(a, b), lambda r: F.when((r != 0) & ((r < 0) != (b < 0)), r + b).otherwise(r))
+    made = {"*": a * b, "+": a + b, "-": a - b, "/": F.try_divide(a, b), "%": remainder}
+    if isinstance(token, str):
+        return made.get(token, _power(a, b))
+    return reduce(lambda out, op: F.when(token == op, made[op]).otherwise(out), reversed(made), _power(a, b))
+
+
+def _number(token: Column) -> Column:
+    return _real(F.regexp_replace(token, "_", "").try_cast("double"))
+
+
+def _of_two(token: str, a: Column, b: Column) -> Column:
+    # both are used more than once
+    return _let(F.struct(a.alias("a"), b.alias("b")), lambda p: _pair(token, p["a"], p["b"]))
+
+
+def _called_with(name: Column, args: Column) -> Column:
+    return _let(args, lambda own: F.when(~F.exists(own, lambda x: x.isNull()), _called(name, own)))
+
+
 def _applied(stack: Column, token: Column) -> Column:
     """The numbers after a token of the postfix order, latest first; null is no value, and a mark where a call begins is NaN."""
     b, a = F.get(stack, F.lit(0)), F.get(stack, F.lit(1))
-    remainder = _let(F.try_mod(a, b), lambda r: F.when((r != 0) & ((r < 0) != (b < 0)), r + b).otherwise(r))
-    two = (
-        F.when(token == "*", a * b)
-        .when(token == "+", a + b)
-        .when(token == "-", a - b)
-        .when(token == "/", F.try_divide(a, b))
-        .when(token == "%", remainder)
-        .otherwise(_power(a, b))
-    )
     top = lambda x, rest: F.concat(F.array(x.cast("double")), rest)
 
     def call(n: Column) -> Column:
-        value = _let(F.slice(stack, F.lit(1), n), lambda own: F.when(~F.exists(own, lambda x: x.isNull()), _called(token, own)))
-        return top(value, _after(stack, n + 1))
+        return top(_called_with(token, F.slice(stack, F.lit(1), n)), _after(stack, n + 1))
 
     return (
-        F.when(token.rlike(r"^[0-9.]"), top(_real(F.regexp_replace(token, "_", "").try_cast("double")), stack))
+        F.when(token.rlike(r"^[0-9.]"), top(_number(token), stack))
         .when(token == "~-", top(-b, _after(stack, 1)))
         .when(token == "~+", top(b, _after(stack, 1)))
         .when(token == "|", top(F.lit(float("nan")), stack))
         .when(token.isin(*_FUNCTIONS), _let(_leading(stack, lambda x: ~F.coalesce(F.isnan(x), F.lit(False))), call))
-        .otherwise(top(_real(two), _after(stack, 2)))
+        .otherwise(top(_real(_pair(token, a, b)), _after(stack, 2)))
     )
 
 
-def evaluate(text: Column) -> Column:
-    """The value of an expression, as a double; null if it has none."""
+def _parse(text: Column, use) -> Column:
+    """use(state after the last token), null for texts that can't be cut into tokens."""
     # a list as the only argument becomes a call of its own kind
     listed = reduce(lambda t, _: F.regexp_replace(t, r"\b(min|max|sum)\s*\(\s*\[([^\[\]]*)\]\s*\)", "$1#($2)"), range(_LISTS), F.lower(text))
     none = F.array().cast("array<string>")
@@ -154,11 +171,68 @@ def evaluate(text: Column) -> Column:
     def parsed(plain: Column) -> Column:
         whole = lambda tokens: (F.array_join(tokens, "") == F.regexp_replace(plain, r"[ \t\r\n\f]+", "")) & ~text.contains("#")
         start = _state(none, none, F.lit(True), F.lit(True), F.lit(""))
-        return _let(F.regexp_extract_all(plain, F.lit(_TOKEN), F.lit(0)), lambda tokens: F.when(whole(tokens), _let(F.aggregate(tokens, start, _ordered), ordered)))
+        return _let(F.regexp_extract_all(plain, F.lit(_TOKEN), F.lit(0)), lambda tokens: F.when(whole(tokens), _let(F.aggregate(tokens, start, _ordered), use)))
+
+    return _let(listed, parsed)
 
-    def ordered(s: Column) -> Column:
-        open_ = F.exists(s["ops"], lambda o: (o == "(") | o.isin(*_FUNCTIONS))
-        value = F.get(F.aggregate(F.concat(s["out"], s["ops"]), F.array().cast("array<double>"), _applied), F.lit(0))
-        return F.when(s["ok"] & ~s["want"] & ~open_, value)
 
-    return _real(_let(listed, parsed))
+def _complete(s: Column) -> Column:
+    return s["ok"] & ~s["want"] & ~F.exists(s["ops"], lambda o: (o == "(") | o.isin(*_FUNCTIONS))
+
+
+def evaluate(text: Column) -> Column:
+    """The value of an expression, as a double; null if it has none."""
+
+    def value(s: Column) -> Column:
+        return F.when(_complete(s), F.get(F.aggregate(F.concat(s["out"], s["ops"]), F.array().cast("array<double>"), _applied), F.lit(0)))
+
+    return _real(_parse(text, value))
+
+
+def _compiled(postfix: list[str], numbers: Column) -> Column:
+    """The value of a form whose postfix order is known, from the numbers of a text, which keep their order there."""
+    stack: list[Column | None] = []
+    used = 0
+    for token in postfix:
+        if token == "0":
+            stack.append(_number(F.get(numbers, F.lit(used))))
+            used += 1
+        elif token == "|":
+            stack.append(None)
+        elif token in ("~-", "~+"):
+            x = stack.pop()
+            stack.append(-x if token == "~-" else x)
+        elif token in _FUNCTIONS:
+            own = []
+            while (x := stack.pop()) is not None:
+                own.append(x.cast("double"))
+            stack.append(_called_with(F.lit(token), F.array(*own) if own else F.array().cast("array<double>")))
+        else:
+            b, a = stack.pop(), stack.pop()
+            stack.append(_real(_of_two(token, a, b)))
+    return _real(stack[-1])
+
+
+def evaluated(rows: DataFrame, **texts: Column) -> DataFrame:
+    """rows with further columns: the value of each text, as ``evaluate`` gives it.
+
+    A text's form is the text with 0 for each of its numbers. One job counts the forms; postfix orders of the ``FORMS`` most
+    frequent ones come to the driver."""
+    number = lambda name: F.lower(F.col(f"{name}_text"))
+    wide = rows.withColumns({f"{name}_text": text for name, text in texts.items()})
+    # a blank behind keeps neighbours apart
+    wide = wide.withColumns({f"{name}_form": F.regexp_replace(number(name), _NUMBER, "0 ") for name in texts})
+    forms = wide.select(F.explode(F.array(*[F.col(f"{name}_form") for name in texts])).alias("form")).where("form is not null")
+    often = forms.groupBy("form").count().orderBy(F.desc("count"), "form").limit(FORMS)
+    order = _parse(F.col("form"), lambda s: F.when(_complete(s), F.concat(s["out"], s["ops"])))
+    known = [(r["form"], r["postfix"]) for r in often.select("form", order.alias("postfix")).collect()]
+    wide = wide.withColumns({f"{name}_numbers": F.regexp_extract_all(number(name), F.lit(_NUMBER), F.lit(0)) for name in texts})
+
+    def value(name: str) -> Column:
+        out = evaluate(F.col(f"{name}_text"))
+        for form, postfix in reversed(known):
+            own = _compiled(postfix, F.col(f"{name}_numbers")) if postfix else F.lit(None).cast("double")
+            out = F.when(F.col(f"{name}_form") == form, own).otherwise(out)
+        return out
+
+    return wide.withColumns({name: value(name) for name in texts}).select(*rows.columns, *texts)

@@ -7,7 +7,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from lodestone.functions.arithmetic import evaluate
+from lodestone.functions import arithmetic
+from lodestone.functions.arithmetic import evaluate, evaluated
 
 OPERATORS = {ast.Add: operator.add, ast.Sub: operator.sub, ast.Mult: operator.mul, ast.Div: operator.truediv, ast.Pow: operator.pow, ast.Mod: operator.mod}
 FUNCTIONS = {"sqrt": lambda x: x**0.5, "abs": abs, "round": round, "min": min, "max": max, "sum": sum}
@@ -84,3 +85,26 @@ def test_against_python(spark):
 def test_no_python(spark):
     plan = spark.range(1).select(evaluate(F.lit("1").cast("string")).alias("v"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_tables_equal_single_texts(spark, monkeypatch):
+    """All forms compiled, then few of them, so that the others take the general way."""
+    rng = random.Random(6)
+    texts = CASES + [made(rng, 3) for _ in range(60)] + ["2min([3])", "1_0.5 + .5.5", "MAX([1, 2E3])", "x1", "sqrt4", "1. .5"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(len(texts), None)], "i int, t string").repartition(8)
+    single = {r["i"]: r["v"] for r in rows.select("i", evaluate(F.col("t")).alias("v")).collect()}
+    for forms in (3, 200):
+        monkeypatch.setattr(arithmetic, "FORMS", forms)
+        assert {r["i"]: r["v"] for r in evaluated(rows, v=F.col("t")).collect()} == single
+        assert evaluated(rows, v=F.col("t")).columns == ["i", "t", "v"]
+
+
+def test_compiled_rows_need_no_parse(spark):
+    """Rows of one form with many numbers: the time of the general way for as many would be minutes."""
+    import time
+
+    rows = spark.range(400_000).select(F.concat(F.col("id"), F.lit(" * (1 - 0.5) + -"), F.col("id"), F.lit("**2 - 7%3")).alias("t"))
+    begin = time.monotonic()
+    total = evaluated(rows, v=F.col("t")).agg(F.sum("v")).first()[0]
+    assert math.isclose(total, sum(i * 0.5 - i**2 - 1 for i in range(400_000)), rel_tol=1e-9)
+    assert time.monotonic() - begin < 30
