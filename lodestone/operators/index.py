@@ -11,17 +11,19 @@ read, so weights are exact after every change.  ``compact`` writes everything an
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.functions import text as T
 from lodestone.operators import sparse as S
 from lodestone.sources.keyed import Log
+from lodestone.sources.store import written
 
-#: Buckets of terms; query terms that become a local table at most, and those that become a filter.
-BUCKETS, FEW, FEW_TERMS = 32, 10_000, 200
+#: Buckets of terms; query terms that become a filter at most.
+BUCKETS, FEW_TERMS = 32, 200
 EMPTY = {"segments": [], "removed": [], "n": 0, "terms": 0}
 
 
@@ -30,8 +32,9 @@ def _bucket(term: F.Column) -> F.Column:
 
 
 class SparseIndex:
-    def __init__(self, spark: SparkSession, folder: str, k1: float = 1.5, b: float = 0.75, id_type: str = "long") -> None:
-        self.spark, self.folder, self.k1, self.b, self.id_type = spark, folder.rstrip("/"), k1, b, id_type
+    def __init__(self, spark: SparkSession, folder: str, k1: float = 1.5, b: float = 0.75, id_type: str = "long", termless: bool = False) -> None:
+        """``termless``: documents without a term are in the index too; they are counted, but found by no search."""
+        self.spark, self.folder, self.k1, self.b, self.id_type, self.termless = spark, folder.rstrip("/"), k1, b, id_type, termless
         self.log = Log(spark, f"{self.folder}/manifests")
         self.kinds = {"docs": f"doc_id {id_type}, dl int", "postings": f"doc_id {id_type}, term string, tf long, dl int, bucket int"}
 
@@ -52,7 +55,8 @@ class SparseIndex:
 
     # --- what stands
 
-    def _all(self, kind: str, state: dict, buckets: list[int] | None = None) -> DataFrame:
+    def _all(self, kind: str, state: dict, buckets: list[int] | None = None, only: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
+        """``only``: what is left of the rows before those of removed documents go."""
         schema = self.kinds[kind]
         segments = list(state["segments"])
         if buckets is None:
@@ -68,7 +72,7 @@ class SparseIndex:
         # an id that is removed and added again counts from its new segment on
         at = {x: i for i, x in enumerate(state["segments"])}
         parts = [p.withColumn("segment", F.lit(at[x])) for x, p in zip(segments, parts, strict=True)]
-        rows = reduce(DataFrame.unionByName, parts)
+        rows = only(reduce(DataFrame.unionByName, parts))
         if gone:
             late = reduce(DataFrame.unionByName, gone).groupBy("doc_id").agg(F.max("upto").alias("upto"))
             rows = rows.join(late, "doc_id", "left").where("upto is null or segment >= upto").drop("upto")
@@ -88,12 +92,12 @@ class SparseIndex:
 
     def stats(self) -> dict:
         _, state = self._manifest()
-        return {"documents": state["n"], "avgdl": state["terms"] / state["n"] if state["n"] else 0.0, "terms": self.postings().select("term").distinct().count() if state["n"] else 0}
+        return {"documents": state["n"] + state.get("termless", 0), "avgdl": state["terms"] / state["n"] if state["n"] else 0.0, "terms": self.postings().select("term").distinct().count() if state["n"] else 0}
 
     # --- changes
 
     def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> int:
-        """Add documents that aren't in the index and have a term; how many those were.  Of rows of one id the last in
+        """Add documents that aren't in the index and have a term, or may be without; how many those were.  Of rows of one id the last in
         the frame counts."""
         number, state = self._manifest()
         rows = docs.select(F.col(id_col).cast(self.id_type).alias("doc_id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("at")).where("doc_id is not null")
@@ -101,18 +105,27 @@ class SparseIndex:
             rows = rows.join(self.documents().select("doc_id"), "doc_id", "left_anti")
         rows = rows.groupBy("doc_id").agg(F.max_by("text", "at").alias("text"))
         name = f"segment-{uuid.uuid4().hex}"
-        post = S.postings(rows).withColumn("bucket", _bucket(F.col("term")))
+        rows = written(rows, "added") if self.termless else rows
+        post = S.counted(rows).withColumn("bucket", _bucket(F.col("term")))
         # a frequent term's postings are dealt to several tasks and files
         parts = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
         dealt = post.repartition(parts, "bucket", F.pmod(F.xxhash64("doc_id"), F.lit(max(1, parts // BUCKETS))))
         dealt.sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{self.folder}/{name}/postings")
         # from the postings as written, so that both tell of the same texts
         stands = self.spark.read.schema(self.kinds["postings"]).parquet(f"{self.folder}/{name}/postings")
-        stands.groupBy("doc_id").agg(F.max("dl").alias("dl")).write.parquet(f"{self.folder}/{name}/docs")
-        new = self.spark.read.schema(self.kinds["docs"]).parquet(f"{self.folder}/{name}/docs").agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
-        if new[0]:
-            self._commit(number, state | {"segments": [*state["segments"], name], "n": state["n"] + new[0], "terms": state["terms"] + new[1]})
-        return new[0]
+        lengths = stands.groupBy("doc_id").agg(F.max("dl").alias("dl"))
+        if self.termless:
+            lengths = rows.select("doc_id").join(lengths, "doc_id", "left").select("doc_id", F.coalesce("dl", F.lit(0)).alias("dl"))
+        lengths.write.parquet(f"{self.folder}/{name}/docs")
+        new = self._sums(f"{name}/docs")
+        if new[0] + new[2]:
+            self._commit(number, state | {"segments": [*state["segments"], name], "n": state["n"] + new[0], "terms": state["terms"] + new[1], "termless": state.get("termless", 0) + new[2]})
+        return new[0] + new[2]
+
+    def _sums(self, folder: str) -> tuple[int, int, int]:
+        """How many documents with a term a folder names, their terms, and how many without."""
+        rows = self.spark.read.schema(self.kinds["docs"]).parquet(f"{self.folder}/{folder}")
+        return tuple(rows.agg(F.count_if(F.col("dl") > 0), F.coalesce(F.sum("dl"), F.lit(0)), F.count_if(F.col("dl") == 0)).first())
 
     def remove(self, ids: DataFrame, id_col: str = "doc_id") -> int:
         """Remove the documents of these ids; how many there were."""
@@ -122,10 +135,10 @@ class SparseIndex:
         name = f"removed-{uuid.uuid4().hex}"
         gone = self.documents().join(ids.select(F.col(id_col).cast(self.id_type).alias("doc_id")).distinct(), "doc_id", "left_semi")
         gone.withColumn("upto", F.lit(len(state["segments"]))).write.parquet(f"{self.folder}/{name}")
-        old = self.spark.read.schema(f"{self.kinds['docs']}, upto int").parquet(f"{self.folder}/{name}").agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
-        if old[0]:
-            self._commit(number, state | {"removed": [*state["removed"], name], "n": state["n"] - old[0], "terms": state["terms"] - old[1]})
-        return old[0]
+        old = self._sums(name)
+        if old[0] + old[2]:
+            self._commit(number, state | {"removed": [*state["removed"], name], "n": state["n"] - old[0], "terms": state["terms"] - old[1], "termless": state.get("termless", 0) - old[2]})
+        return old[0] + old[2]
 
     def sync(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[int, int]:
         """Make the index hold exactly these documents' ids: (added, removed)."""
@@ -146,10 +159,10 @@ class SparseIndex:
         """One segment of all documents, without deletions; what it replaces is deleted."""
         number, state = self._manifest()
         name = f"segment-{uuid.uuid4().hex}"
-        if state["n"]:
+        if state["n"] + state.get("termless", 0):
             self.postings().repartition("bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{self.folder}/{name}/postings")
             self.documents().write.parquet(f"{self.folder}/{name}/docs")
-        self._commit(number, state | {"segments": [name] if state["n"] else [], "removed": []})
+        self._commit(number, state | {"segments": [name] if state["n"] + state.get("termless", 0) else [], "removed": []})
         for old in [*state["segments"], *state["removed"]]:
             path, fs = self._path(old)
             fs.delete(path, True)
@@ -160,21 +173,25 @@ class SparseIndex:
         """queries (query_id, text) to (query_id, doc_id, score, rank) by BM25; ``within``: the documents (doc_id) that
         may be found, all without it.  Weights are those of the whole index."""
         _, state = self._manifest()
-        asked = S.asked_terms(queries).withColumn("bucket", _bucket(F.col("term")))
-        # few queries become a table of known size, which joins without a shuffle
-        few = asked.limit(FEW + 1).toArrow()
-        if few.num_rows <= FEW:
-            buckets = sorted(set(few["bucket"].to_pylist()))
-            terms = sorted(set(few["term"].to_pylist()))
-            asked = self.spark.createDataFrame(few)
-        else:
-            terms = []
-            # at most BUCKETS numbers
-            buckets = [r[0] for r in asked.select("bucket").distinct().collect()]
-        asked = asked.drop("bucket")
-        post = self._all("postings", state, buckets).drop("bucket")
-        # few terms are a filter of the scan; files are sorted by term, so that it skips what can't hold them
-        post = post.where(F.col("term").isin(terms)) if 0 < len(terms) <= FEW_TERMS else post.join(asked.select("term").distinct(), "term", "left_semi")
-        avgdl = state["terms"] / state["n"] if state["n"] else 1.0
-        scored = S.score(post, asked, F.lit(state["n"]), F.lit(avgdl), self.k1, self.b)
-        return S.top_k(scored if within is None else scored.join(within, "doc_id", "left_semi"), k)
+        made = S.result_type(queries, self.spark.createDataFrame([], self.kinds["docs"]).schema["doc_id"].dataType)
+        parts = []
+        for ids, terms, times in S.blocks(S.asked_terms(queries)) if state["n"] else ():
+            rows = self._matched(state, terms)
+            parts.append(S.ranked(rows, ids, times, state["n"], state["terms"] / state["n"], k, self.k1, self.b, made, within))
+        return S.top_k(reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], made), k)
+
+    def _matched(self, state: dict, terms: list[str]) -> DataFrame:
+        """``sparse.matched`` from the postings of these terms: written, a row a document."""
+        slots = self.spark.createDataFrame(pa.table({"term": pa.array(terms, pa.string()), "slot": pa.array(range(len(terms)), pa.int32())}))
+        slots = slots.withColumn("bucket", _bucket(F.col("term")))
+        buckets = [r[0] for r in slots.select("bucket").distinct().collect()]  # at most BUCKETS numbers
+
+        def asked(post: DataFrame) -> DataFrame:
+            # files are sorted by term, so that a filter by few terms skips what can't hold them
+            post = post.where(F.col("term").isin(terms)) if len(terms) <= FEW_TERMS else post
+            return post.join(F.broadcast(slots.select("term", "slot")), "term")
+
+        post = self._all("postings", state, buckets, asked)
+        pairs = F.collect_list(F.struct("slot", F.col("tf").cast("int").alias("tf")))
+        rows = post.groupBy("doc_id", "dl").agg(pairs.alias("p"))
+        return written(rows.select("doc_id", "dl", F.col("p.slot").alias("slots"), F.col("p.tf").alias("tfs")), "matched")
