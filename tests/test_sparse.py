@@ -68,3 +68,18 @@ def test_best_with_ties():
     row, column = S.best(score, 7)
     assert [c for r, c in zip(row, column, strict=True) if r == 4] == list(np.argsort(-np.round(score[4], 9), kind="stable")[:7])
     assert len(S.best(score[:, :3], 7)[0]) == 60 and len(S.best(score[:0], 7)[0]) == 0
+
+
+def test_sync_counts_documents_without_terms(spark, tmp_path, made):
+    """As the query's SQL does; they change no weights, and can be removed."""
+    docs, queries = (spark.createDataFrame(x, f"{c} long, text string") for x, c in zip(made, ("doc_id", "query_id"), strict=True))
+    index, plain = SparseIndex(spark, str(tmp_path / "a"), termless=True), SparseIndex(spark, str(tmp_path / "b"))
+    index.add(docs.where("doc_id % 10 <> 0"))
+    plain.add(docs)
+    assert index.sync(docs) == (docs.where("doc_id % 10 = 0").count(), 0) and index.sync(docs) == (0, 0)
+    assert index.stats()["documents"] == docs.count() and index.documents().count() == docs.count()
+    assert index.stats()["avgdl"] == plain.stats()["avgdl"]
+    assert index.search(queries).orderBy("query_id", "rank").collect() == plain.search(queries).orderBy("query_id", "rank").collect()
+    index.compact()
+    assert index.stats()["documents"] == docs.count()
+    assert index.remove(docs.where("doc_id >= 900")) == docs.where("doc_id >= 900").count() and index.documents().count() == 300
