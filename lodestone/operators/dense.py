@@ -14,7 +14,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from lodestone.functions.vector import dot, int8, norm
-from lodestone.operators.sparse import DECIMALS, top_k
+from lodestone.operators.sparse import DECIMALS, TILE, best, top_k
 
 BLOCK = 2048
 #: Vectors that are compared: neither null nor empty nor with null components.
@@ -60,13 +60,19 @@ def _search(ids: list, queries: np.ndarray, k: int, binary: bool, kinds: tuple[p
             order = pc.sort_indices(batch.column(0))
             doc, m = batch.column(0).take(order), _matrix(batch.column(1))[order.to_numpy()]
             m = np.where(m > 0, 1.0, -1.0) if binary else _unit(m)
-            for lo in range(0, len(doc), 4096):
-                own, score = doc.slice(lo, 4096), q @ m[lo : lo + 4096].T
+            # as many scores at once whatever the number of queries
+            step, kept = max(64, TILE // len(ids)), []
+            for lo in range(0, len(doc), step):
+                score = q @ m[lo : lo + step].T
                 # as binary: agreeing less differing signs, so that the distance is (d - score) / 2
                 score = -(q.shape[1] - score) / 2 if binary else score
-                best = np.argsort(-np.round(score, DECIMALS), axis=1, kind="stable")[:, :k]
-                n = best.shape[1]
-                yield pa.RecordBatch.from_arrays([asked.take(pa.array(np.repeat(np.arange(len(ids)), n))), own.take(pa.array(best.reshape(-1))), pa.array(np.take_along_axis(score, best, 1).reshape(-1))], names=["query_id", "doc_id", "score"])
+                row, column = best(score, k)
+                kept.append((row, column + lo, score[row, column]))
+            row, column, score = (np.concatenate(x) for x in zip(*kept, strict=True))
+            order = np.lexsort((column, -np.round(score, DECIMALS), row))
+            row, column, score = row[order], column[order], score[order]
+            first = np.arange(len(row)) - np.searchsorted(row, row) < k
+            yield pa.RecordBatch.from_arrays([asked.take(pa.array(row[first])), doc.take(pa.array(column[first])), pa.array(score[first])], names=["query_id", "doc_id", "score"])
 
     return run
 

@@ -3,6 +3,7 @@
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -126,3 +127,29 @@ def test_centroids_are_means(spark):
     # starting points may share a middle, but each ends as the mean of its rows
     cell = np.array([np.linalg.norm(found - np.array(v), axis=1).argmin() for _, v in rows])
     assert all(np.allclose(found[c], np.mean([v for (_, v), own in zip(rows, cell, strict=True) if own == c], axis=0), atol=1e-6) for c in set(cell)) and len(near) <= 4
+
+
+from lodestone.operators.sparse import best as D_best  # noqa: E402
+
+
+def test_scores_held_at_once(monkeypatch):
+    """As many whatever the number of queries, in the exact search."""
+    from lodestone.operators import dense as D
+
+    sizes = []
+    monkeypatch.setattr(D, "best", lambda score, k: (sizes.append(score.size), D_best(score, k))[1])
+    rng = np.random.default_rng(2)
+    vectors, asked = rng.standard_normal((3000, 8)), rng.standard_normal((2048, 8))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(3000)), pa.array(vectors.tolist())], names=["doc_id", "embedding"])
+    found = pa.Table.from_batches(list(D._search(list(range(2048)), asked, 5, False, (pa.int64(), pa.int64()))(iter([batch])))).to_pandas()
+    assert max(sizes) <= D.TILE
+    found = found.sort_values(["query_id", "score"], ascending=[True, False]).groupby("query_id").head(5)
+    exact = (vectors / np.linalg.norm(vectors, axis=1, keepdims=True)) @ (asked / np.linalg.norm(asked, axis=1, keepdims=True)).T
+    assert found["doc_id"].to_numpy().reshape(-1, 5).tolist() == np.argsort(-exact, axis=0, kind="stable")[:5].T.tolist()
+
+
+def test_recall_asks_every_fiftieth(spark):
+    from lodestone.plans import catalogue
+
+    rows = catalogue.queries()["vector_index_recall"](spark, "/root/testdata/sf0.001").collect()
+    assert sorted(r["query_id"] for r in rows) == list(range(0, 500, 50)) and sum(r["found"] for r in rows) >= 0.9 * sum(r["wanted"] for r in rows)
