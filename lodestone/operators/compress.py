@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
+from lodestone.operators.setjoin import similar_classes, similar_pairs  # noqa: F401
 
 
 def needs_summary(docs: DataFrame, key: str, text_col: str = "text", budget: int = 8000, most: int = 2000) -> DataFrame:
@@ -42,26 +43,6 @@ def totals(rows: DataFrame) -> DataFrame:
     return out.withColumn("ratio", F.when(F.col("original") > 0, F.col("compressed") / F.col("original")).otherwise(1.0))
 
 
-def similar_pairs(docs: DataFrame, least: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(a, b, similarity) of texts whose word sets have a Jaccard similarity over ``least``.
-
-    Prefix filter: a set's rarest words, as many as a partner must share one of, are joined,
-    so that frequent words bring no pairs; equal sets meet as one."""
-    sets = docs.select(F.col(id_col).alias("id"), F.array_sort(T.word_set(F.col(text_col))).alias("w")).where("size(w) > 0")
-    own = sets.groupBy("w").agg(F.min("id").alias("id"))
-    words = own.select("id", F.size("w").alias("n"), F.explode("w").alias("word"))
-    rare = words.groupBy("word").agg(F.count("*").alias("df"))
-    w = Window.partitionBy("id").orderBy("df", "word")
-    prefix = words.join(rare, "word").withColumn("place", F.row_number().over(w))
-    prefix = prefix.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * least) + 1).where("df > 1").select("id", "n", "word")
-    sizes = (F.col("n") >= F.col("n2") * least) & (F.col("n2") >= F.col("n") * least)
-    met = prefix.join(prefix.select(F.col("id").alias("id2"), F.col("n").alias("n2"), "word"), "word").where((F.col("id") < F.col("id2")) & sizes)
-    pairs = met.select("id", "id2").distinct().join(own, "id").join(own.select(F.col("id").alias("id2"), F.col("w").alias("w2")), "id2")
-    alike = pairs.select(F.col("id").alias("a"), F.col("id2").alias("b"), T.jaccard(F.col("w"), F.col("w2")).alias("similarity"))
-    copies = sets.join(own.select("w", F.col("id").alias("a")), "w").where("a < id").select("a", F.col("id").alias("b"), F.lit(1.0).alias("similarity"))
-    return alike.where(F.col("similarity") > least).unionByName(copies)
-
-
 def distinct_results(results: DataFrame, least: float = 0.85) -> DataFrame:
     """results (query_id, rank, doc_id, content) without those whose words are those of one kept
     before (similarity over ``least``)."""
