@@ -1,19 +1,27 @@
 """A stored cache of results by key: only what isn't stored is computed.
 
 Values lie in one keyed table, and when each was last used in another, so that a use doesn't rewrite a value.  Every call adds a
-row of how many keys were asked, found and computed, from which ``stats`` makes the hit rate."""
+row of how many keys were asked, found and computed, from which ``stats`` makes the hit rate.  A key of more than ``LONG`` bytes is
+stored as its SHA-256, so that whole texts as keys are moved once, to compute their values, and never written."""
 
 from __future__ import annotations
 
 import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.sources.keyed import KeyedTable
 from lodestone.sources.store import written
 
+LONG = 64
+
+
+def stored_key(key: Column) -> Column:
+    """The key, or a digest that no shorter key equals; null for null."""
+    return F.when(F.octet_length(key) <= LONG, key).otherwise(F.concat(F.lit("sha256:"), F.sha2(key.cast("binary"), 256)))
+
 
 class ResultCache:
     def __init__(self, spark: SparkSession, folder: str, value_type: str, ttl: float | None = None, most: int | None = None, clock: Callable[[], float] = time.time) -> None:
@@ -30,12 +38,14 @@ class ResultCache:
         ``compute`` gets the distinct rows of keys that aren't stored, one a key, and returns (key, value); values that are null, and
         keys that are, aren't stored and stay null."""
         now = self.clock()
-        asked = written(rows.where(F.col(key).isNotNull()).dropDuplicates([key]).withColumnRenamed(key, "key"), "asked")
+        given = rows.where(F.col(key).isNotNull()).withColumnRenamed(key, "key").withColumn("_id", stored_key(F.col("key").cast("string")))
+        asked = written(given.select(F.col("_id").alias("key")).distinct(), "asked")
         fresh = self.values.rows().where(F.lit(True) if self.ttl is None else F.col("made") > now - self.ttl)
-        hits = written(asked.select("key").join(fresh, "key", "left_semi"), "hits")
-        missing = asked.join(hits, "key", "left_anti")
+        hits = written(asked.join(fresh, "key", "left_semi"), "hits")
+        absent = asked.join(hits, "key", "left_anti").withColumnRenamed("key", "_id")
+        missing = given.join(absent, "_id", "left_semi").dropDuplicates(["_id"]).drop("_id")
         # written before it is filtered, as Spark may compute a function for the filter and again for the value
-        made = written(compute(missing).select(F.col("key").cast("string"), "value"), "made").where("value is not null")
+        made = written(compute(missing).select(stored_key(F.col("key").cast("string")).alias("key"), "value"), "made").where("value is not null")
         self.values.upsert(made.withColumn("made", F.lit(now)))
         self.uses.upsert(hits.union(made.select("key")).withColumn("used", F.lit(now)))
         n, hit = asked.count(), hits.count()
@@ -44,7 +54,8 @@ class ResultCache:
         values = written(asked.select("key").join(self.values.rows(), "key").select("key", F.col("value").alias(out)), "values")
         if n > hit:
             self.evict()
-        return rows.join(values.withColumnRenamed("key", key), key, "left")
+        found = rows.withColumn("_id", stored_key(F.col(key).cast("string"))).join(values.withColumnRenamed("key", "_id"), "_id", "left")
+        return found.select(key, *[c for c in rows.columns if c != key], out)
 
     def evict(self) -> int:
         """Drop what has expired, and beyond ``most`` what was used longest ago, ties by key; how many values went."""

@@ -159,6 +159,21 @@ def test_only_misses_are_computed(spark, tmp_path):
     assert cache.values.count() == 0
 
 
+def test_cache_stores_no_long_keys(spark, tmp_path):
+    cache = ResultCache(spark, str(tmp_path / "cache"), "int")
+    long = ["x" * 5000, "é" * 40, "x" * 64, "x" * 65, None]
+    rows = spark.createDataFrame([(i, k) for i, k in enumerate([*long, *long])], "n long, k string")
+    for _ in range(2):
+        found = cache.fetch(rows, "k", lambda m: m.select("key", F.length("key").alias("value")))
+        assert found.columns == ["k", "n", "value"]
+        assert sorted((r["n"], r["k"], r["value"]) for r in found.collect()) == [(i, k, k and len(k)) for i, k in enumerate([*long, *long])]
+    assert max(len(r["key"]) for r in cache.values.rows().union(cache.uses.rows().withColumn("value", F.lit(0)).select("key", "value", "used")).collect()) == 71
+    # a key that looks like a stored one is another key
+    same = [r["key"] for r in cache.values.rows().collect() if r["key"].startswith("sha256:")]
+    cache.fetch(spark.createDataFrame([(k,) for k in same], "k string"), "k", lambda m: m.select("key", F.lit(1).alias("value")))
+    assert tuple(cache.stats().first())[:4] == (3, 11, 4, 7)
+
+
 def test_engine_embeds_each_text_once(spark, tmp_path):
     calls = Counting(tmp_path / "calls")
     engine = Engine(spark, str(tmp_path / "engine"), embed=calls, cache=True)
