@@ -346,6 +346,13 @@ def test_markers():
     assert cite.insert_markers(answer, [("It scales well!", [1, 2, 3, 4])], "footnote") == "Spark is fast. It scales well!^[1,2,3] Nothing else"
 
 
+def test_sentences_match_what_stands_late_in_a_source(spark):
+    results = spark.createDataFrame([(1, 7, "filler " * 100 + "granite quarry", 0.9), (1, 8, "granite", 0.8)], "query_id long, doc_id long, content string, score double")
+    sentences = spark.createDataFrame([(1, 1, "The granite quarry.")], "query_id long, sentence_no long, sentence string")
+    found = cite.match(sentences, cite.sources(results)).select("sentence_no", "number", "overlap").collect()
+    assert [tuple(r) for r in found] == [(1, 1, 2)]
+
+
 # --- providers, settings, facade
 
 
