@@ -353,6 +353,15 @@ def test_sentences_match_what_stands_late_in_a_source(spark):
     assert [tuple(r) for r in found] == [(1, 1, 2)]
 
 
+def test_all_sentences_of_long_answers(spark, tmp_path):
+    from lodestone.plans import library
+
+    text = " ".join(f"Sentence number {k} ends here." for k in range(45))
+    spark.createDataFrame([(1, text)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    found = library._sentences(spark, str(tmp_path)).orderBy("sentence_no").collect()
+    assert [(r["sentence_no"], r["sentence"]) for r in found] == [(k + 1, f"Sentence number {k} ends here.") for k in range(45)]
+
+
 # --- providers, settings, facade
 
 
