@@ -1,5 +1,6 @@
 """Definitions of operators that SQL doesn't state, on small cases and random texts."""
 
+import hashlib
 import json
 import random
 from urllib.parse import urljoin
@@ -362,6 +363,12 @@ def test_all_sentences_of_long_answers(spark, tmp_path):
     assert [(r["sentence_no"], r["sentence"]) for r in found] == [(k + 1, f"Sentence number {k} ends here.") for k in range(45)]
 
 
+def test_audit_ids_tell_answers_of_one_beginning_apart(spark):
+    df = spark.createDataFrame([("a" * 150 + "b", "2024-01-01"), ("a" * 150 + "c", "2024-01-01")], "answer string, at string")
+    found = [r[0] for r in df.select(T.audit_id(F.col("answer"), F.col("at"))).collect()]
+    assert found == [hashlib.sha256((x + "2024-01-01").encode()).hexdigest()[:16] for x in ("a" * 150 + "b", "a" * 150 + "c")]
+
+
 # --- providers, settings, facade
 
 
